@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, ring
+from . import mixing, quality, ring, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3,
+    "op5_simhash": simhash.op5,
     "op6_sharding": ring.op6,
+    "op8_quality": quality.op8,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality": quality.ORACLE,
+}
