@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, ring, simhash
+from . import ctw, mixing, quality, ring, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3,
     "op5_simhash": simhash.op5,
     "op6_sharding": ring.op6,
+    "op7_ctw": ctw.op7,
     "op8_quality": quality.op8,
 }
 
