@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, mixing, quality, ring, simhash
+from . import ctw, mixing, quality, ring, simhash, token_store
 
 QUERIES = {
     "op3_mixing": mixing.op3,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_sharding": ring.op6,
     "op7_ctw": ctw.op7,
     "op8_quality": quality.op8,
+    "op10_token_store": token_store.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
