@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ctw, mixing, quality, ring, simhash, token_store
+from . import ctw, mixing, pieces, quality, ring, simhash, token_store
 
 QUERIES = {
     "op3_mixing": mixing.op3,
+    "op4_pieces": pieces.op4,
     "op5_simhash": simhash.op5,
     "op6_sharding": ring.op6,
     "op7_ctw": ctw.op7,
