@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import ctw, mixing, pieces, quality, ring, simhash, token_store
+from . import chat, ctw, hash_forest, mixing, pieces, quality, ring, simhash, token_store
 
 QUERIES = {
+    "op1_hash_forest": hash_forest.op1,
+    "op2_chat": chat.op2,
     "op3_mixing": mixing.op3,
     "op4_pieces": pieces.op4,
     "op5_simhash": simhash.op5,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat": chat.ORACLE,
     "op8_quality": quality.ORACLE,
 }
