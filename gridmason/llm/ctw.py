@@ -8,19 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import stored, table
 
 #: Bytes of context. A context's subtree below its last two bytes has at most 256 ** (DEPTH - 2) contexts.
 DEPTH = 5
 #: Depths that one subtree can't settle alone: those of 0 and 1 bytes.
 TOP = 2
 BITS = 8
-#: Bytes of text in a block, on average; a block's own n-grams and words are looked up together.
-BLOCK = 16 << 20
-#: Bytes handled at once within a block.
+#: Characters of text in a block, at least if there are as many in its partition; a block's n-grams and words are looked up together.
+BLOCK = 32 << 20
+#: Characters handled at once within a block.
 PIECE = 2 << 20
 #: Unigram smoothing of the base score.
 SMOOTH = 0.1
@@ -126,49 +127,74 @@ def pieces(texts: list[str | None], depth: int) -> Iterator[tuple[int, list[list
             first, held, size = i + 1, [], 0
 
 
-def _ask(block: pa.Table) -> pa.Table:
-    """The distinct n-grams and words of a block, with how often they occur in its training documents. The end counts as the word of no bytes."""
-    train = block.column("train").to_numpy(zero_copy_only=False).astype(bool)
-    words: dict[bytes, int] = {}
-    keys, counts = [np.empty(0, np.uint64)], [np.empty(0)]
-    for first, held, found, starts in pieces(block.column("text").to_pylist(), DEPTH):
-        learn = train[first : first + len(held)]
-        for toks, n in zip(held, learn.tolist()):
-            for w in (*toks, b""):
-                words[w] = words.get(w, 0) + n
-        codes, distinct = pd.factorize(found)
-        weight = np.repeat(learn, np.diff(np.r_[starts, len(found)])).astype(float)
-        keys.append(distinct)
-        counts.append(np.bincount(codes, weights=weight, minlength=len(distinct)))
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
-    rows = len(key) + len(words)
-    mask = np.arange(rows) >= len(key)
-    return pa.table({
-        "block": pa.array(np.full(rows, block.column("block")[0].as_py(), np.int64)),
-        "key": pa.array(np.r_[key.astype(np.int64), np.zeros(len(words), np.int64)], mask=mask),
-        "word": pa.array([None] * len(key) + list(words), pa.binary()),
-        "n": pa.array(np.r_[n, np.fromiter(words.values(), np.int64, len(words))]),
-    })
-
-
-def _settle(group: pa.Table) -> pa.Table:
-    """One subtree: for each key its probabilities at depth TOP, and for each bit node at that depth ln Pw."""
-    keys = group.column("key").to_numpy().astype(np.uint64)
-    p, where, bits, pw = subtree(keys, group.column("n").to_numpy().astype(float), DEPTH, TOP)
-    rows = len(keys) + len(pw)
-    own = np.arange(rows) < len(keys)
-    offsets = np.minimum(np.arange(rows + 1), len(keys)).astype(np.int32) * (8 * BITS)
-    valid = pa.py_buffer(np.packbits(own, bitorder="little").tobytes())
-    packed = pa.Array.from_buffers(pa.binary(), rows, [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(p).tobytes())])
-    pad = lambda a, b, t: np.r_[a.astype(t), b.astype(t)]
-    return pa.table({
-        "key": pa.array(pad(keys, np.zeros(len(pw)), np.int64), mask=~own),
-        "p": packed,
-        "node": pa.array(pad(np.zeros(len(keys)), where, np.int64), mask=own),
-        "bit": pa.array(pad(np.zeros(len(keys)), bits, np.int64), mask=own),
-        "pw": pa.array(pad(np.zeros(len(keys)), pw, np.float64), mask=own),
-    })
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as compressed bundles of about PIECE characters, and the block of each."""
+    from pyspark import TaskContext
+
+    block, size = TaskContext.get().partitionId() << 24, 0
+    for b in batches:
+        ends = np.cumsum([len(x or "") for x in b.column("text").to_pylist()])
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(b.slice(at, to - at))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "bundle"])
+            size += int(ends[to - 1] - done)
+            if size >= BLOCK:
+                block, size = block + 1, 0
+            at = to
+
+
+def _open(bundle: bytes) -> pa.Table:
+    with pa.ipc.open_stream(bundle) as reader:
+        return reader.read_all()
+
+
+def name_of(word: bytes) -> int:
+    """XXH64 of a word, as a signed number: the word's name in the tables."""
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams and words of each block, with how often they occur in its training documents. The end counts as the word of no bytes."""
+    block, words, keys, counts = None, {}, [], []
+
+    def asked() -> Iterator[pa.RecordBatch]:
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+        names = np.fromiter(map(name_of, words), np.int64, len(words))
+        for is_word, k, v in ((False, key.astype(np.int64), n), (True, names, np.fromiter(words.values(), np.int64, len(words)))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(np.full(len(k), is_word)), pa.array(k), pa.array(v)], names=["block", "word", "key", "n"])
+
+    for b in batches:
+        for at, bundle in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if at != block:
+                if block is not None:
+                    yield from asked()
+                block, words, keys, counts = at, {}, [], []
+            docs = _open(bundle)
+            train = docs.column("train").to_numpy().astype(bool)
+            for first, held, found, starts in pieces(docs.column("text").to_pylist(), DEPTH):
+                learn = train[first : first + len(held)]
+                for toks, n in zip(held, learn.tolist()):
+                    for w in (*toks, b""):
+                        words[w] = words.get(w, 0) + n
+                codes, distinct = pd.factorize(found)
+                weight = np.repeat(learn, np.diff(np.r_[starts, len(found)])).astype(float)
+                keys.append(distinct)
+                counts.append(np.bincount(codes, weights=weight, minlength=len(distinct)))
+    if block is not None:
+        yield from asked()
+
+
+def _nodes(group: pa.Table) -> pa.Table:
+    """One subtree: ln Pw of each bit node of depth TOP."""
+    _, where, bits, pw = subtree(group.column("key").to_numpy().astype(np.uint64), group.column("n").to_numpy().astype(float), DEPTH, TOP)
+    return pa.table({"node": where.astype(np.int64), "bit": bits, "pw": pw})
 
 
 def settle_top(counts: np.ndarray, children: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -188,50 +214,59 @@ def settle_top(counts: np.ndarray, children: np.ndarray) -> list[tuple[np.ndarra
 
 
 def _price(top):
-    """From keys and their probabilities at depth TOP to the log10 probability of the byte."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = top.value
-        for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            p = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(-1, BITS)
-            x, c = keys & 255, keys >> (8 * DEPTH) & 255
-            cost = np.zeros(len(keys))
-            for k in range(BITS):
-                node, bit = (1 << k) | (x >> (BITS - k)), x >> (BITS - 1 - k) & 1
-                q = p[:, k]
-                for w, zero in levels:
-                    share = zero[c, node]
-                    q = w[c, node] * np.where(bit, 1 - share, share) + (1 - w[c, node]) * q
-                cost += np.log10(q)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cost)], names=["key", "cost"])
+    """One subtree, below the settled nodes of the broadcast `top`: the log10 probability of each key's byte."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys = group.column("key").to_numpy()
+        p, *_ = subtree(keys.astype(np.uint64), group.column("n").to_numpy().astype(float), DEPTH, TOP)
+        x, c = keys & 255, keys >> (8 * DEPTH) & 255
+        cost = np.zeros(len(keys))
+        for k in range(BITS):
+            node, bit = (1 << k) | (x >> (BITS - k)), x >> (BITS - 1 - k) & 1
+            q = p[:, k]
+            for w, zero in top.value:
+                share = zero[c, node]
+                q = w[c, node] * np.where(bit, 1 - share, share) + (1 - w[c, node]) * q
+            cost += np.log10(q)
+        return pa.table({"of_key": keys, "cost": cost})
 
     return run
 
 
-def _score(block: pa.Table, answers: pa.Table) -> pa.Table:
-    """The scores of a block's documents, from the figures of its n-grams and words."""
-    of_word = answers.column("word").is_valid().to_numpy(zero_copy_only=False)
-    cost = answers.column("cost").to_numpy(zero_copy_only=False).astype(float)
-    key = answers.column("key").to_numpy(zero_copy_only=False)[~of_word].astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    key, key_cost = key[order], cost[~of_word][order]
-    words = dict(zip(answers.column("word").filter(pa.array(of_word)).to_pylist(), cost[of_word].tolist()))
-    known = answers.column("known").to_numpy(zero_copy_only=False)[of_word]
-    unknown = {w for w, k in zip(words, known) if not k}
-    n_docs = block.num_rows
-    base, score = np.zeros(n_docs), np.zeros(n_docs)
-    n_tokens, n_known = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64)
-    for first, held, found, starts in pieces(block.column("text").to_pylist(), DEPTH):
-        codes, distinct = pd.factorize(found)
-        each = key_cost[np.searchsorted(key, distinct)]
-        score[first : first + len(held)] = np.add.reduceat(each[codes], starts)
-        for i, toks in enumerate(held, first):
-            base[i] = math.fsum(map(words.__getitem__, toks)) + words[b""]
-            n_tokens[i] = len(toks) + 1
-            n_known[i] = len(toks) - sum(w in unknown for w in toks) + (b"" not in unknown)
-    out = {"doc_id": block.column("doc_id"), "held_out": block.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score}
-    return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v) for k, v in out.items()})
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, vocabulary long"
+
+
+def _score(bundles: pa.Table, answers: pa.Table) -> pa.Table:
+    """The sums of a block's documents, from the figures of its n-grams and words; and a row with how many training words are named here first."""
+    of_word, key, value = (answers.column(c).to_numpy(zero_copy_only=False) for c in ("word", "key", "value"))
+    first_here = answers.column("first").to_numpy(zero_copy_only=False).astype(bool)
+    of_word = of_word.astype(bool)
+    vocabulary = int((first_here & of_word & (value > 0)).sum())
+    names, uses = key[of_word], value[of_word]
+    order = np.argsort(names)
+    names, uses = names[order], uses[order]
+    log_uses = np.log10(uses + SMOOTH)
+    order = np.argsort(grams_of := key[~of_word].view(np.uint64))
+    grams_of, cost = grams_of[order], value[~of_word][order]
+    held_words: dict[bytes, int] = {}
+    out = []
+    for bundle in bundles.column("bundle").to_pylist():
+        docs = _open(bundle)
+        n = docs.num_rows
+        base, score, n_tokens, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for first, held, found, starts in pieces(docs.column("text").to_pylist(), DEPTH):
+            codes, distinct = pd.factorize(found)
+            score[first : first + len(held)] = np.add.reduceat(cost[np.searchsorted(grams_of, distinct)][codes], starts)
+            new = list({w for toks in held for w in toks if w not in held_words} | ({b""} - held_words.keys()))
+            held_words.update(zip(new, np.searchsorted(names, np.fromiter(map(name_of, new), np.int64, len(new))).tolist()))
+            at = np.fromiter((held_words[w] for toks in held for w in (*toks, b"")), np.int64)
+            lengths = np.array([len(toks) + 1 for toks in held])
+            from_ = np.cumsum(lengths) - lengths
+            some = slice(first, first + len(held))
+            base[some], n_known[some], n_tokens[some] = np.add.reduceat(log_uses[at], from_), np.add.reduceat((uses[at] > 0).astype(np.int64), from_), lengths
+        out.append(pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "log_counts": base, "score": score, "vocabulary": pa.nulls(n, pa.int64())}))
+    out.append(pa.table({"vocabulary": pa.array([vocabulary], pa.int64())} | {f.name: pa.nulls(1, f.type) for f in out[0].schema if f.name != "vocabulary"}).select(out[0].column_names))
+    return pa.concat_tables(out)
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
@@ -241,41 +276,39 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     Krichevsky-Trofimov estimates, weighted as the training text's code lengths bid. A document's bytes are its lower-cased words joined by blanks, and an end, so score and
     base_score are of the same tokens. score / log10(2), negated, is the code length in bits.
 
-    Documents are dealt to blocks of about BLOCK bytes. A block asks for its distinct n-grams and words; their counts are summed over all blocks, subtrees of the
+    Documents are held in blocks of about BLOCK characters. A block asks for its distinct n-grams and words; their counts are summed over all blocks, subtrees of the
     context tree are settled in parallel, the nodes of 0 and 1 bytes (65,536 at most) on the driver, and the block gets back the figures it asked for.
-    So no table of the whole corpus is sent anywhere, and every n-gram counts.
+    So no table of the whole corpus is sent anywhere, and every n-gram counts. Words go by their 64-bit hashes.
 
     Nulls: a null text is an empty one (its end alone is scored); a null id isn't held out. Repeated rows count and are scored each. An empty table gives an empty result.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK))
+    total = docs.agg(F.sum(F.char_length(text))).first()[0] or 0
     held = F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % folds == 0, F.lit(False))
-    rows = docs.select(F.col(id).alias("doc_id"), held.alias("held_out"), (~held).alias("train"), F.col(text).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)))
-    rows = cut(rows.repartition(n_blocks, "block"))
-    asked = cut(rows.groupBy("block").applyInArrow(_ask, "block long, key long, word binary, n long"))
-    counts = asked.where("word is null").groupBy("key").agg(F.sum("n").alias("n"))
-    branch = F.shiftright("key", 8 * (DEPTH - TOP + 1))
-    settled = cut(counts.groupBy(branch.alias("branch")).applyInArrow(_settle, "key long, p binary, node long, bit long, pw double"))
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), held.alias("held_out"), (~held).alias("train"), F.col(text).alias("text"))
+    bundles = stored(rows.coalesce(max(1, -(-total // BLOCK))).mapInArrow(_bundle, "block long, bundle binary"), "none")
+    asked = stored(bundles.mapInArrow(_ask, "block long, word boolean, key long, n long"))
+    grams_asked, words_asked = asked.where("not word").drop("word"), asked.where("word").drop("word")
+    counts = stored(grams_asked.groupBy("key").agg(F.sum("n").alias("n"))).withColumn("branch", F.shiftright("key", 8 * (DEPTH - TOP + 1)))
+    nodes = counts.groupBy("branch").applyInArrow(_nodes, "node long, bit long, pw double")
     after, children = np.zeros((256, 256)), np.zeros((256, 256))
     last, byte = F.shiftright("key", 8 * DEPTH), F.col("key").bitwiseAND(255)
-    for r in asked.where("word is null").groupBy(last.alias("c"), byte.alias("x")).agg(F.sum("n").alias("n")).collect():
+    for r in counts.groupBy(last.alias("c"), byte.alias("x")).agg(F.sum("n").alias("n")).collect():
         after[r.c, r.x] = r.n
-    for r in settled.where("key is null").groupBy(F.shiftright("node", 8).alias("c"), "bit").agg(F.sum("pw").alias("pw")).collect():
+    for r in nodes.groupBy(F.shiftright("node", 8).alias("c"), "bit").agg(F.sum("pw").alias("pw")).collect():
         children[r.c, r.bit] = r.pw
     top = spark.sparkContext.broadcast(settle_top(after, children))
-    prices = settled.where("key is not null").select("key", "p").mapInArrow(_price(top), "key long, cost double")
-    uses = asked.where("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
-    uses = cut(uses)
-    n, v = uses.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    n, v = n or 0, v or 0
-    figures = uses.select(F.col("word").alias("w"), F.log10((F.col("c") + SMOOTH) / F.lit(n + SMOOTH * (v + 1))).alias("cost"), (F.col("c") > 0).alias("known"))
-    of_grams = asked.where("word is null").select("block", "key").join(prices, "key").select("block", "key", F.lit(None).cast("binary").alias("word"), "cost", F.lit(True).alias("known"))
-    of_words = asked.where("word is not null").join(figures, F.col("word") == F.col("w")).select("block", F.lit(None).cast("long").alias("key"), "word", "cost", "known")
-    answers = of_grams.unionByName(of_words)
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(n).cast("long"))
+    prices = counts.groupBy("branch").applyInArrow(_price(top), "of_key long, cost double")
+    of_grams = grams_asked.join(prices, F.col("key") == F.col("of_key")).select("block", F.lit(False).alias("word"), "key", F.col("cost").alias("value"), F.lit(False).alias("first"))
+    # a word has one row a block, so even a very common one has few
+    of_key = Window.partitionBy("key").orderBy("block")
+    of_words = words_asked.select("block", F.lit(True).alias("word"), "key", F.sum("n").over(of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("double").alias("value"), (F.row_number().over(of_key) == 1).alias("first"))
+    scored = stored(bundles.groupBy("block").cogroup(of_grams.unionByName(of_words).groupBy("block")).applyInArrow(_score, SCORED))
+    n = words_asked.agg(F.sum("n")).first()[0] or 0
+    v = scored.agg(F.sum("vocabulary")).first()[0] or 0
+    base = F.col("log_counts") - F.col("n_tokens") * math.log10(n + SMOOTH * (v + 1))
+    return scored.where("vocabulary is null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
