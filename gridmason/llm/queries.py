@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, ctw, hash_forest, mixing, pieces, quality, ring, simhash, token_store
+from . import chat, ctw, hash_forest, mixing, pieces, quality, ring, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_hash_forest": hash_forest.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sharding": ring.op6,
     "op7_ctw": ctw.op7,
     "op8_quality": quality.op8,
+    "op9_toxicity": toxicity.op9,
     "op10_token_store": token_store.op10,
 }
 
