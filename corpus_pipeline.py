@@ -1,11 +1,28 @@
-"""The corpus pipeline: quality rules, toxicity, near duplicates, mixing, pieces."""
+"""The corpus pipeline: quality rules, toxicity, near duplicates, mixing of sources, and pieces, over the documents table."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gridmason.llm import mixing, pieces, quality, simhash, toxicity
+from gridmason.llm.common import stored
+
+#: Each takes (spark, docs, sf_dir); its result, written and read again, is the next one's docs. All but the last return the columns of documents.
+STAGES = [
+    ("quality rules", quality.stage),
+    ("toxicity", toxicity.stage),
+    ("near duplicates", simhash.stage),
+    ("mixing", mixing.stage),
+    ("pieces", pieces.stage),
+]
+
+#: The stages' hashes, search and fitted model have no SQL form; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document that the stages keep, as often as the mix takes it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -123,3 +123,18 @@ def op3(spark, sf_dir: str) -> DataFrame:
     of = sources.select(F.col("source").alias("o"), "source_size", "target")
     rows = rows.join(of, F.col("source").eqNullSafe(F.col("o")))
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in their target weights: a document comes once for each round of its source's stream in which the mix takes half of its words or more.
+
+    Documents without words or without an id aren't in the mix.
+    """
+    _, _, taken = mix(docs)
+    rounds = taken.where("doc_id is not null").groupBy("source", "start", "epoch", "doc_id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("got"))
+    sizes = docs.select(F.col("doc_id").alias("d"), word_count(F.col("text")).alias("n"))
+    halves = rounds.join(sizes, F.col("doc_id") == F.col("d")).where(2 * F.col("got") >= F.col("n"))
+    copies = halves.groupBy("d").agg(F.count(F.lit(1)).alias("copies"))
+    columns = docs.columns
+    rows = docs.select("doc_id", F.struct(*columns).alias("__row")).join(copies, F.col("doc_id") == F.col("d"))
+    return rows.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("__row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, stored, table
 from .graph import components
 
 BITS = 64
@@ -128,13 +129,18 @@ def link_forest(fps: DataFrame) -> DataFrame:
     """
     choices = [F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)).alias("k")) for i, m in enumerate(block_masks())]
     keyed = fps.select("fp", F.explode(F.array(*choices)).alias("e")).select("fp", F.xxhash64("e.c", "e.k").alias("k"))
+    return _dealt(keyed, "fp").mapInArrow(_links, "a long, b long").distinct()
+
+
+def _dealt(keyed: DataFrame, id: str) -> DataFrame:
+    """keyed (k, and the column id), with t, the tile: dealt out and sorted by bucket and tile. A bucket above TILE becomes tiles by the hash of id; each pair of its parts meets in one."""
     large = keyed.groupBy(F.col("k").alias("of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
-    keyed = keyed.join(large, F.col("k") == F.col("of"), "left")
+    joined = keyed.join(large, F.col("k") == F.col("of"), "left")
     parts = F.ceil(2 * F.col("n") / TILE)
-    own = F.pmod(F.xxhash64("fp"), parts)
+    own = F.pmod(F.xxhash64(id), parts)
     tiles = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j)))
-    tiled = keyed.select("k", F.explode(tiles).alias("t"), "fp")
-    return tiled.repartition("k", "t").sortWithinPartitions("k", "t").mapInArrow(_links, "a long, b long").distinct()
+    others = [c for c in keyed.columns if c != "k"]
+    return joined.select("k", F.explode(tiles).alias("t"), *others).repartition("k", "t").sortWithinPartitions("k", "t")
 
 
 def classes(docs: DataFrame, shingle: int = 5, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -158,9 +164,140 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- classes by similarity -----------------------------------------------------------------------------------------------------
+
+#: Bits of a wide fingerprint, as 64-bit words.
+WORDS = 8
+#: A pair at the similarity asked for shares a block with this probability at least.
+RECALL = 0.95
+#: Slack of the distance allowed, against the sampling error of the bits.
+SLACK = 1.1
+
+
+def turned(similarity: float) -> float:
+    """The share of bits in which the fingerprints of two texts differ on average, whose sets of shingles have this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def plan_blocks(n: int, similarity: float) -> np.ndarray:
+    """The bits of each block (a row a block), for n distinct fingerprints: wide enough that unlike ones rarely share a block, and as many as RECALL needs.
+
+    Each permutation of the bits is cut into blocks from its start; so pairs that differ in fewer bits than one permutation has blocks always share one.
+    """
+    wide = max(16, math.ceil(math.log2(max(n, 2))) - 2)
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - turned(similarity)) ** wide))
+    rng = np.random.default_rng(SEED)
+    each = 64 * WORDS // wide
+    cuts_ = [rng.permutation(64 * WORDS)[: each * wide].reshape(each, wide) for _ in range(-(-count // each))]
+    return np.concatenate(cuts_)[: max(count, each)]
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+    """The SimHash of 64 * WORDS bits: the XXH64 of each shingle is mixed into WORDS numbers. All zeros for a text without words."""
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - shingle + 1)
+    if not words:
+        return bytes(8 * WORDS)
+    ends = list(itertools.accumulate(map(len, words), lambda a, x: a + x + 1))
+    starts = [0, *[e + 1 for e in ends[:-1]]]
+    ones = np.zeros(64 * WORDS, np.int64)
+    salts = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    last = ends[min(shingle, len(words)) - 1 :]
+    for at in range(0, n, BATCH // 16):
+        to = min(n, at + BATCH // 16)
+        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at:to], last[at:to])], np.uint64)
+        h = h[:, None] + salts
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n).tobytes()
+
+
+def _key_blocks(blocks: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.uint64(1) << np.arange(blocks.shape[1], dtype=np.uint64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                low, fps = b.column(0).to_numpy(), b.column(1).to_pylist()
+                bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1).astype(np.uint64)
+                keys = np.stack([(bits[:, rows] * weights).sum(axis=1) | np.uint64(i << 48) for i, rows in enumerate(blocks)], axis=1)
+                n = blocks.shape[0]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat(low, n)), pa.array([x for x in fps for _ in range(n)], pa.binary())], names=["k", "low", "fp"])
+
+    return run
+
+
+def _wide_links(most: int):
+    """From rows sorted by bucket and tile: a spanning forest of the links in each, as in _links, between the smallest ids of fingerprints."""
+
+    def edges(low: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+        rest = np.arange(len(low))
+        while len(rest) > 1:
+            frontier, rest = [rest[0]], rest[1:]
+            while frontier and len(rest):
+                x = frontier.pop()
+                hit = np.bitwise_count(fps[rest] ^ fps[x]).sum(axis=1, dtype=np.int64) <= most
+                if hit.any():
+                    for y in rest[hit]:
+                        yield int(low[x]), int(low[y])
+                    frontier += list(rest[hit])
+                    rest = rest[~hit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                k, t, low = (batch.column(i).to_numpy() for i in range(3))
+                cols = [k, t, low, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, WORDS)]
+                held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
+            if not held or not len(held[0]):
+                continue
+            k, t, low, fps = held
+            change = np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1
+            end = len(k) if batch is None else change[-1] if len(change) else 0
+            starts = np.r_[0, change]
+            starts = starts[starts < end]
+            n = np.diff(np.r_[starts, end])
+            found: list[tuple[int, int]] = []
+            two = starts[n == 2]
+            hit = two[np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1, dtype=np.int64) <= most] if len(two) else two
+            found += zip(low[hit].tolist(), low[hit + 1].tolist())
+            for at, m in zip(starts[n > 2], n[n > 2]):
+                found += edges(low[at : at + m], fps[at : at + m])
+            held = [x[end:] for x in held]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """id, component_id, as in classes, where texts are linked whose wide fingerprints differ in no more bits than texts of this Jaccard similarity do, and SLACK.
+
+    Texts below five words are compared whole. Rows without an id are left out; of rows with the same id and different texts, each is compared. Repeated rows give one row. An empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(x, shingle) for x in b.column(1).to_pylist()], pa.binary())], names=["id", "fp"])
+
+    marked = stored(docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp binary").distinct())
+    distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("low")))
+    blocks = plan_blocks(distinct.count(), similarity)
+    keyed = distinct.select("low", "fp").mapInArrow(_key_blocks(blocks), "k long, low long, fp binary")
+    links = _dealt(keyed, "low").mapInArrow(_wide_links(int(SLACK * turned(similarity) * 64 * WORDS)), "a long, b long")
+    # an id with several texts links them; otherwise a fingerprint's smallest id is its own
+    same = marked.join(distinct, "fp").where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    roots = components(links.unionByName(same))
+    ids = marked.select("id").distinct()
+    return ids.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id), F.coalesce("root", "id").alias("component_id"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id; of several such rows, one. Documents without an id stay."""
-    out = classes(docs)
-    best = out.where("doc_id = component_id").select(F.col("doc_id").alias("best")).distinct()
+    """Of each class of near duplicates (five-word shingles, similarity of 0.8 or more), the document with the smallest id; of several such rows, one. Documents without an id stay."""
+    best = similar(docs).where("doc_id = component_id").select(F.col("doc_id").alias("best"))
     kept = docs.join(best, F.col("doc_id") == F.col("best"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
