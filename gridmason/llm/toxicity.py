@@ -21,18 +21,20 @@ CODES = 1 << 18
 #: Landmarks: words of toxic texts only; the most frequent words of other texts, and those most like each of the first.
 INSULTS, OTHERS, LIKE = 128, 64, 4
 #: Labelled texts that the model is fitted on, at most so many of each class, and as many more that its scores are calibrated on: those of least hash.
-SAMPLE = 1500
+SAMPLE = 1200
 #: So many times as many texts without insults.
 CLEAN = 3
 ROUNDS = 5
 THRESHOLD = 0.7
 #: The strength of regularisation, and how many words of each text without insults are kept as counterexamples in a round.
-RIDGE, HARD = 5e-6, 6
+RIDGE, HARD = 2e-6, 6
 #: The share of toxic texts that a word must stand in to be an example by itself; three texts at least.
 COMMON = 0.004
 #: Clean texts whose words are compared with the landmarks.
 CONFUSABLE = 300
 SEED = 3
+#: Rows, texts and words handled at once while fitting.
+PART = 4096
 
 
 def _classes() -> np.ndarray:
@@ -98,16 +100,17 @@ def word_sums(z: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarra
 
 def kernel(z: np.ndarray, starts: np.ndarray, landmarks: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The kernel of each word, over its norm, with each landmark; rows[code]: the row of a subsequence in `landmarks`, -1 if none has it."""
-    out = np.zeros((len(starts), landmarks.shape[1]))
-    word = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(z)]))
+    out = np.zeros((len(starts), landmarks.shape[1]), np.float32)
+    word = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(z)]))
     for at, codes, weight in subsequences(z, starts):
         hit = np.flatnonzero(rows[codes] >= 0)
-        for part in np.array_split(hit, max(1, len(hit) // 50_000)):
+        for part in np.array_split(hit, max(1, len(hit) // PART)):
             if len(part):
                 of = word[at[part]]
                 first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 out[of[first]] += weight * np.add.reduceat(landmarks[rows[codes[part]]], first)
-    return out / norms(np.diff(np.r_[starts, len(z)]) - 1)[:, None]
+    out /= norms(np.diff(np.r_[starts, len(z)]) - 1)[:, None].astype(np.float32)
+    return out
 
 
 def _weights(words: list[str], more: list[bytes] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
@@ -127,15 +130,20 @@ def _weights(words: list[str], more: list[bytes] = []) -> tuple[np.ndarray, np.n
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The weights, bias last, of a linear machine with squared hinge loss, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    ridge = RIDGE * np.r_[np.ones(x.shape[1] - 1), 0.01]
+    """The weights, bias last, of a linear machine with squared hinge loss, by Newton steps. Rows are taken a few thousand at a time."""
+    parts = [slice(i, i + PART) for i in range(0, len(x), PART)]
+    m = x.shape[1]
+    w = np.zeros(m + 1)
+    ridge = RIDGE * np.r_[np.ones(m), 0.01]
     for _ in range(30):
-        gap = 1 - y * (x @ w)
-        active = gap > 0
-        xa, wa = x[active], weight[active, None]
-        step = np.linalg.solve((xa * wa).T @ xa + np.diag(ridge), (xa * wa).T @ y[active]) - w
+        curve, pull = np.diag(ridge), np.zeros(m + 1)
+        for p in parts:
+            active = y[p] * (x[p] @ w[:-1] + w[-1]) < 1
+            xa = np.c_[x[p][active], np.ones(active.sum())]
+            weighted = xa * weight[p][active, None]
+            curve = curve + weighted.T @ xa
+            pull += weighted.T @ y[p][active]
+        step = np.linalg.solve(curve, pull) - w
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -149,6 +157,9 @@ class Model:
         self.table, self.bias, self.slope, self.shift = table.astype(np.float32), bias, slope, shift
 
     def decide(self, texts: list[str | None]) -> np.ndarray:
+        return np.concatenate([self._decide(texts[i : i + 128]) for i in range(0, len(texts), 128)] or [np.empty(0)])
+
+    def _decide(self, texts: list[str | None]) -> np.ndarray:
         """The largest decision value of any word of each text, within the margin and as much again; each text has the empty word."""
         z, starts, of = symbols(texts)
         sums = word_sums(z, starts, self.table)
@@ -197,7 +208,7 @@ def fit(toxic: list[str], clean: list[str], more: list[str], labels: np.ndarray)
     rest = len(labels) - labels.sum()
     if not only or not others:
         return Model(np.zeros(CODES), 0.0, 1.0, float(np.log((labels.sum() + 1) / (rest + 1))))
-    z, starts, of = symbols(sorted(_groups(clean[:CONFUSABLE])))
+    z, starts, _ = symbols(sorted(_groups(clean[:CONFUSABLE])))
     alike = kernel(z, starts, *_weights(list(only)))
     near = {z[starts[i] : [*starts[1:], len(z)][i]].tobytes() for i in np.unique(np.argsort(-alike, axis=0)[:LIKE])}
     marks, rows = _weights(words, sorted(near))
@@ -211,23 +222,31 @@ def fit(toxic: list[str], clean: list[str], more: list[str], labels: np.ndarray)
         return table
 
     weights = spread(np.r_[[n / len(toxic) for n in only.values()], -np.ones(len(others) + len(near)) / len(others)])
-    bad, good = symbols(toxic), symbols(clean)
-
-    def picked(of: tuple, n: int) -> list[bytes]:
-        z, starts, text = of
-        sums = word_sums(z, starts, weights.astype(np.float32))
-        order = np.lexsort((-sums, text))
-        first = np.flatnonzero(np.r_[True, text[order][1:] != text[order][:-1]])
-        nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-        length = np.diff(np.r_[starts, len(z)])
-        return [z[starts[i] : starts[i] + length[i]].tobytes() for i in order[nth < n]]
+    bad, good = ([symbols(x[i : i + 256]) for i in range(0, len(x), 256)] for x in (toxic, clean))
+
+    def words_of(part: tuple) -> Iterator[bytes]:
+        z, starts, _ = part
+        held = z.tobytes()
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(z)]):
+            yield held[a:b]
+
+    def picked(parts: list[tuple], n: int) -> Iterator[bytes]:
+        """The n words that score highest in each text."""
+        for z, starts, text in parts:
+            sums = word_sums(z, starts, weights.astype(np.float32))
+            order = np.lexsort((-sums, text))
+            first = np.flatnonzero(np.r_[True, text[order][1:] != text[order][:-1]])
+            nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+            ends = np.r_[starts[1:], len(z)]
+            for i in order[nth < n]:
+                yield z[starts[i] : ends[i]].tobytes()
 
     rng = np.random.default_rng(SEED)
     z, starts, _ = symbols([w for w, n in only.items() if n >= max(3, COMMON * len(toxic))])
     ends = np.r_[starts[1:], len(z)]
     known = [x for a, b in zip(starts, ends) if len(x := z[a:b].tobytes()) > 1]
     examples = Counter(known) + Counter(v for x in known for v in variants(x, rng))
-    clean_words = {good[0][a:b].tobytes() for a, b in zip(good[1], np.r_[good[1][1:], len(good[0])])}
+    clean_words = {w for part in good for w in words_of(part)}
     hard: set[bytes] = set(picked(good, HARD))
     for _ in range(ROUNDS):
         top = Counter(picked(bad, 1))
@@ -239,7 +258,7 @@ def fit(toxic: list[str], clean: list[str], more: list[str], labels: np.ndarray)
         z = np.frombuffer(b"".join(keys), np.uint8)
         starts = np.cumsum([0, *map(len, keys)])[:-1]
         n_bad, n_good = len(positive), len(keys) - len(positive)
-        w = svm(kernel(z, starts, marks, rows) @ root, np.r_[np.ones(n_bad), -np.ones(n_good)], np.r_[[*positive.values()], np.full(n_good, 10 / max(1, n_good))])
+        w = svm(kernel(z, starts, marks, rows) @ root.astype(np.float32), np.r_[np.ones(n_bad), -np.ones(n_good)], np.r_[[*positive.values()], np.full(n_good, 10 / max(1, n_good))])
         weights = spread(root @ w[:-1])
         hard |= set(picked(good, HARD))
     model = Model(weights, w[-1], 1.0, 0.0)
