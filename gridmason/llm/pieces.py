@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 import struct
@@ -23,17 +24,26 @@ from .common import table
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: The model type, in a model file's trainer settings, whose scores are ranks.
 BYTE_PAIR = 2
-#: Scores are held as whole numbers of this many a nat, so that sums are exact and ties are ties.
-UNIT = 1_000_000
+#: Scores are held as whole numbers of this many a nat, less 1 for each piece, so that sums are exact, and of equals the one with fewer pieces comes first.
+UNIT = 1 << 30
 #: An unknown character costs this much more than the worst piece.
-PENALTY = 10 * UNIT
+PENALTY = 10 * UNIT - 1
 #: A byte-pair model scores its pieces by merge rank, negated. Their log-probabilities follow the Zipf-Mandelbrot law with this offset: -ln(rank + OFFSET).
 OFFSET = 500
 BLANK = "▁"
 #: Parts of texts that can be cut apart: no piece holds a blank after another character, or a line end.
 PARTS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 #: Parts of texts, up to LONG characters, whose segmentations a worker holds.
-HELD, LONG = 400_000, 64
+HELD, LONG = 300_000, 40
+#: The loss of a second segmentation where there is none.
+NONE = 1 << 58
+#: Texts whose parts are learned together.
+TEXTS = 256
+#: Of the polynomial hash of pieces.
+BASE = 0x9E3779B97F4A7C15
+MIX = 0xD6E8FEB86659FD93
+#: First bits of a hash that lead to the pieces with such hashes.
+HEAD = 17
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, object]]:
@@ -82,7 +92,7 @@ class Lattice:
         kinds = [p.get(3, NORMAL) for p in pieces]
         names = [p[1].decode() for p in pieces]
         nats = [-math.log(OFFSET - p.get(2, 0.0)) if by_rank else p.get(2, 0.0) for p in pieces]
-        self.scores = [round(x * UNIT) for x in nats]
+        self.scores = [round(x * UNIT / 64) * 64 - 1 for x in nats]
         self.ids = {n.replace(BLANK, " "): i for i, (n, k) in enumerate(zip(names, kinds)) if k in (NORMAL, USER)}
         self.byte_ids = {int(n[3:5], 16): i for i, (n, k) in enumerate(zip(names, kinds)) if k == BYTE}
         if len(self.byte_ids) != 256 or any(re.search(r"[^ ] |\n", n) for n in self.ids):
@@ -90,7 +100,20 @@ class Lattice:
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.scores) - PENALTY
         self.bytes = [b"" if k in (UNKNOWN, CONTROL) else bytes([int(n[3:5], 16)]) if k == BYTE else n.replace(BLANK, " ").encode() for n, k in zip(names, kinds)]
-        self.held: dict[str, tuple[tuple[int, ...], int, int | None]] = {}
+        #: The pieces by a polynomial hash of their characters, for lookups of many at once.
+        hashes = np.array([self._hash(n) for n in self.ids], np.uint64) * np.uint64(MIX)
+        order = np.argsort(hashes)
+        self.hashes, self.hash_ids = hashes[order], np.array(list(self.ids.values()))[order]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces have the same hash")
+        #: Where the hashes with the same first bits begin, and how many there are at most.
+        heads = (self.hashes >> np.uint64(64 - HEAD)).astype(np.int64)
+        self.begin = np.searchsorted(heads, np.arange(1 << HEAD)).astype(np.int32)
+        self.depth = int(np.bincount(heads).max())
+        self.hashes, self.hash_ids = np.r_[self.hashes, np.zeros(self.depth, np.uint64)], np.r_[self.hash_ids, np.full(self.depth, -1)]
+        self.score_of = np.array(self.scores)
+        #: Of a part: the ids of its best segmentation, packed; its score; how much less the second scores.
+        self.held: dict[str, tuple[bytes, int, int]] = {}
 
     def arcs(self, part: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each position, the pieces that end there, the longest first: where they begin, their scores and ids. A character that is no piece gives its bytes."""
@@ -134,38 +157,110 @@ class Lattice:
                     push(agenda, (-(best[start] + score), order, start, score, (ids, path)))
         return found
 
-    def first(self, part: str) -> tuple[tuple[int, ...], int, int | None]:
-        """Ids and score of the best segmentation of a part, and how much less the second scores."""
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * BASE + ord(c)) % (1 << 64)
+        return h
+
+    def _ids(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece of each hash, -1 where there is none."""
+        hashes = hashes * np.uint64(MIX)
+        at = self.begin[hashes >> np.uint64(64 - HEAD)]
+        out = np.full(hashes.shape, -1)
+        for step in range(self.depth):
+            hit = self.hashes[at + step] == hashes
+            out[hit] = self.hash_ids[at[hit] + step]
+        return out
+
+    def learn(self, parts: list[str]) -> None:
+        """Hold the best segmentation of each part, its score, and how much less the second scores, by forward Viterbi over all parts of a length at once."""
+        by_length: dict[int, list[str]] = {}
+        for p in parts:
+            by_length.setdefault(len(p), []).append(p)
+        for length, some in by_length.items():
+            if length <= LONG:
+                for at in range(0, len(some), 4096):
+                    self._learn(length, some[at : at + 4096])
+
+    def _learn(self, length: int, parts: list[str]) -> None:
+        n = len(parts)
+        chars = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").reshape(n, length).astype(np.uint64)
+        prefix = np.zeros((length + 1, n), np.uint64)
+        power = np.ones(length + 1, np.uint64)
+        for i in range(length):
+            prefix[i + 1] = prefix[i] * np.uint64(BASE) + chars[:, i]
+            power[i + 1] = int(power[i]) * BASE % (1 << 64)
+        none = np.int64(-(1 << 60))
+        one, two = np.full((length + 1, n), none), np.full((length + 1, n), none)
+        one[0] = 0
+        back, piece = np.zeros((length + 1, n), np.int64), np.full((length + 1, n), -1)
+        for end in range(1, length + 1):
+            starts = np.arange(max(0, end - self.longest), end)
+            h = prefix[end] - prefix[starts] * power[end - starts][:, None]
+            ids = self._ids(h)
+            score = np.where(ids >= 0, self.score_of[ids], none)
+            score[-1] = np.where(ids[-1] >= 0, score[-1], self.unknown)
+            through = np.maximum(one[starts] + score, none)
+            best = through.argmax(axis=0)  # the first of equals is the longest
+            at = np.arange(n)
+            one[end], back[end], piece[end] = through[best, at], starts[best], ids[best, at]
+            second = np.maximum(two[starts[best], at] + score[best, at], none)
+            through[best, at] = none
+            two[end] = np.maximum(second, through.max(axis=0))
+        total, loss = one[length].tolist(), (one[length] - two[length]).tolist()
+        pieces, backs = piece.T.tolist(), back.T.tolist()
+        for part, own, to, score, less in zip(parts, pieces, backs, total, loss):
+            ids: list[int] = []
+            end = length
+            while end:
+                ids += [own[end]] if own[end] >= 0 else [self.byte_ids[b] for b in reversed(part[end - 1].encode())]
+                end = to[end]
+            ids.reverse()
+            self.held[part] = (array("i", ids).tobytes(), score, min(less, NONE))
+
+    def first(self, part: str) -> tuple[bytes, int, int]:
+        """As learn, for one part, which isn't held."""
         one, *more = self.search(part, 2)
-        got = (one.ids, one.score, one.score - more[0].score if more else None)
-        if len(part) <= LONG:
-            if len(self.held) >= HELD:
-                self.held.clear()
-            self.held[part] = got
-        return got
+        return array("i", one.ids).tobytes(), one.score, one.score - more[0].score if more else NONE
 
     def nbest(self, text: str, n: int) -> list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]:
         """The n best segmentations of a text: the first by its score and one edit (0, 0, all its ids); the others by their scores and edits to the first:
         (index of an id, how many ids go, the ids that come). An empty text has one, without ids."""
-        names = PARTS.findall(" " + text) if text else []
-        get, first = self.held.get, self.first
-        parts = [get(p) or first(p) for p in names]
-        ids = array("i")
-        for p in parts:
-            ids.extend(p[0])
+        return next(self.nbest_of([text], n))
+
+    def nbest_of(self, texts: list[str | None], n: int) -> Iterator[list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
+        """nbest of each text; their parts are learned together."""
+        split = [PARTS.findall(" " + t) if t else [] for t in texts]
+        if len(self.held) > HELD:
+            self.held.clear()
+        if new := set(itertools.chain.from_iterable(split)).difference(self.held):
+            self.learn(list(new))
+        for names in split:
+            yield self._combined(names, n)
+
+    def _combined(self, names: list[str], n: int) -> list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]:
+        held = self.held
+        if names and max(map(len, names)) > LONG:
+            held = {p: self.first(p) if len(p) > LONG else held[p] for p in names}
+        parts = list(map(held.__getitem__, names))
+        packed = [p[0] for p in parts]
+        ids = array("i", b"".join(packed))
         total = sum([p[1] for p in parts])
         out = [(total, [(0, 0, ids)])]
         if n == 1:
             return out
         # a combination within the n best changes only the n - 1 parts that lose least
-        losses = heapq.nsmallest(n - 1, [(p[2], i) for i, p in enumerate(parts) if p[2] is not None])
+        losses = np.array([p[2] for p in parts], np.int64)
+        some = np.sort(np.argsort(losses, kind="stable")[: n - 1])
         mixed: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
-        choices = {i: self.search(names[i], n) for _, i in losses}
+        choices = {i: self.search(names[i], n) for i in some.tolist() if losses[i] < NONE}
         for i in sorted(choices):
             more = [(lost + choices[i][0].score - c.score, picks + ((i, k),) if k else picks) for lost, picks in mixed for k, c in enumerate(choices[i])]
             mixed = heapq.nsmallest(n, more)
-        at = {i: sum(len(p[0]) for p in parts[:i]) for i in choices}
-        out += [(total - lost, [(at[i], len(parts[i][0]), choices[i][k].ids) for i, k in picks]) for lost, picks in mixed[1:]]
+        at = {i: sum(map(len, packed[:i])) // 4 for i in choices}
+        out += [(total - lost, [(at[i], len(packed[i]) // 4, choices[i][k].ids) for i, k in picks]) for lost, picks in mixed[1:]]
         return out
 
     def decode(self, ids) -> str:
@@ -197,8 +292,8 @@ def encode(docs: DataFrame, path: str, n: int = 4, text: str = "text") -> DataFr
         model = lattice(path)
         for b in batches:
             flat, ends, scores, others = array("i"), [0], [], []
-            for t in b.column(len(keep)).to_pylist():
-                (score, [(_, _, ids)]), *rest = model.nbest(t or "", n)
+            texts = b.column(len(keep)).to_pylist()
+            for (score, [(_, _, ids)]), *rest in itertools.chain.from_iterable(model.nbest_of(texts[i : i + TEXTS], n) for i in range(0, len(texts), TEXTS)):
                 flat.extend(ids)
                 ends.append(len(flat))
                 scores.append(score / UNIT)
