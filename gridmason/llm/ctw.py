@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ BITS = 8
 #: Characters of text in a block, at least if there are as many in its partition; a block's n-grams and words are looked up together.
 BLOCK = 32 << 20
 #: Characters handled at once within a block.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Unigram smoothing of the base score.
 SMOOTH = 0.1
 END = b"\n"
@@ -133,7 +135,7 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     block, size = TaskContext.get().partitionId() << 24, 0
     for b in batches:
-        ends = np.cumsum([len(x or "") for x in b.column("text").to_pylist()])
+        ends = np.cumsum(pc.utf8_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
             done = ends[at - 1] if at else 0
@@ -153,40 +155,61 @@ def _open(bundle: bytes) -> pa.Table:
         return reader.read_all()
 
 
-def name_of(word: bytes) -> int:
-    """XXH64 of a word, as a signed number: the word's name in the tables."""
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+def names_of(held: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(the names of all documents' words and ends, in order; how many each document has). A word's name is its XXH64; the end is the word of no bytes."""
+    lengths = np.array([len(toks) + 1 for toks in held])
+    names = np.fromiter(map(xxhash.xxh64_intdigest, itertools.chain.from_iterable((*toks, b"") for toks in held)), np.uint64, lengths.sum())
+    return names, lengths
+
+
+class _Counts:
+    """Distinct keys, and the sums of their weights, gathered piece by piece. Pieces are merged as soon as they hold half as many keys as what is merged already."""
+
+    def __init__(self) -> None:
+        self.keys, self.sums, self.late = [np.empty(0, np.uint64)], [np.empty(0)], 0
+
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        codes, distinct = pd.factorize(keys)
+        self.keys.append(distinct)
+        self.sums.append(np.bincount(codes, weights=weights, minlength=len(distinct)))
+        self.late += len(distinct)
+        if self.late > max(len(self.keys[0]) // 2, 1 << 17):
+            self._merge()
+
+    def _merge(self) -> None:
+        keys = np.concatenate(self.keys)
+        order = np.argsort(keys)
+        keys, sums = keys[order], np.concatenate(self.sums)[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        self.keys, self.sums, self.late = [keys[first]], [np.add.reduceat(sums, first) if len(keys) else sums], 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        return self.keys[0], self.sums[0]
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams and words of each block, with how often they occur in its training documents. The end counts as the word of no bytes."""
-    block, words, keys, counts = None, {}, [], []
+    """The distinct n-grams and words of each block, with how often they occur in its training documents."""
+    block, found = None, (_Counts(), _Counts())
 
     def asked() -> Iterator[pa.RecordBatch]:
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
-        names = np.fromiter(map(name_of, words), np.int64, len(words))
-        for is_word, k, v in ((False, key.astype(np.int64), n), (True, names, np.fromiter(words.values(), np.int64, len(words)))):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block)), pa.array(np.full(len(k), is_word)), pa.array(k), pa.array(v)], names=["block", "word", "key", "n"])
+        for is_word, counts in enumerate(found):
+            keys, n = counts.total()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), bool(is_word))), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["block", "word", "key", "n"])
 
     for b in batches:
         for at, bundle in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if at != block:
                 if block is not None:
                     yield from asked()
-                block, words, keys, counts = at, {}, [], []
+                block, found = at, (_Counts(), _Counts())
             docs = _open(bundle)
-            train = docs.column("train").to_numpy().astype(bool)
-            for first, held, found, starts in pieces(docs.column("text").to_pylist(), DEPTH):
+            train = docs.column("train").to_numpy().astype(float)
+            for first, held, keys, starts in pieces(docs.column("text").to_pylist(), DEPTH):
                 learn = train[first : first + len(held)]
-                for toks, n in zip(held, learn.tolist()):
-                    for w in (*toks, b""):
-                        words[w] = words.get(w, 0) + n
-                codes, distinct = pd.factorize(found)
-                weight = np.repeat(learn, np.diff(np.r_[starts, len(found)])).astype(float)
-                keys.append(distinct)
-                counts.append(np.bincount(codes, weights=weight, minlength=len(distinct)))
+                found[0].add(keys, np.repeat(learn, np.diff(np.r_[starts, len(keys)])))
+                names, lengths = names_of(held)
+                found[1].add(names, np.repeat(learn, lengths))
     if block is not None:
         yield from asked()
 
@@ -239,31 +262,31 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts
 def _score(bundles: pa.Table, answers: pa.Table) -> pa.Table:
     """The sums of a block's documents, from the figures of its n-grams and words; and a row with how many training words are named here first."""
     of_word, key, value = (answers.column(c).to_numpy(zero_copy_only=False) for c in ("word", "key", "value"))
-    first_here = answers.column("first").to_numpy(zero_copy_only=False).astype(bool)
-    of_word = of_word.astype(bool)
-    vocabulary = int((first_here & of_word & (value > 0)).sum())
-    names, uses = key[of_word], value[of_word]
-    order = np.argsort(names)
-    names, uses = names[order], uses[order]
+    of_word, key = of_word.astype(bool), key.view(np.uint64)
+    vocabulary = int((answers.column("first").to_numpy(zero_copy_only=False).astype(bool) & of_word & (value > 0)).sum())
+
+    def sheet(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = key[mask], value[mask]
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
+    (names, uses), (grams_of, cost) = sheet(of_word), sheet(~of_word)
+    del of_word, key, value, answers
     log_uses = np.log10(uses + SMOOTH)
-    order = np.argsort(grams_of := key[~of_word].view(np.uint64))
-    grams_of, cost = grams_of[order], value[~of_word][order]
-    held_words: dict[bytes, int] = {}
     out = []
     for bundle in bundles.column("bundle").to_pylist():
         docs = _open(bundle)
         n = docs.num_rows
         base, score, n_tokens, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for first, held, found, starts in pieces(docs.column("text").to_pylist(), DEPTH):
+            some = slice(first, first + len(held))
             codes, distinct = pd.factorize(found)
-            score[first : first + len(held)] = np.add.reduceat(cost[np.searchsorted(grams_of, distinct)][codes], starts)
-            new = list({w for toks in held for w in toks if w not in held_words} | ({b""} - held_words.keys()))
-            held_words.update(zip(new, np.searchsorted(names, np.fromiter(map(name_of, new), np.int64, len(new))).tolist()))
-            at = np.fromiter((held_words[w] for toks in held for w in (*toks, b"")), np.int64)
-            lengths = np.array([len(toks) + 1 for toks in held])
+            score[some] = np.add.reduceat(cost[np.searchsorted(grams_of, distinct)][codes], starts)
+            words, lengths = names_of(held)
+            codes, distinct = pd.factorize(words)
+            at = np.searchsorted(names, distinct)
             from_ = np.cumsum(lengths) - lengths
-            some = slice(first, first + len(held))
-            base[some], n_known[some], n_tokens[some] = np.add.reduceat(log_uses[at], from_), np.add.reduceat((uses[at] > 0).astype(np.int64), from_), lengths
+            base[some], n_known[some], n_tokens[some] = np.add.reduceat(log_uses[at][codes], from_), np.add.reduceat((uses[at] > 0).astype(np.int64)[codes], from_), lengths
         out.append(pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "log_counts": base, "score": score, "vocabulary": pa.nulls(n, pa.int64())}))
     out.append(pa.table({"vocabulary": pa.array([vocabulary], pa.int64())} | {f.name: pa.nulls(1, f.type) for f in out[0].schema if f.name != "vocabulary"}).select(out[0].column_names))
     return pa.concat_tables(out)
