@@ -10,6 +10,7 @@ A store is a folder of Parquet tables in the file system of spark.checkpoint.dir
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,46 +30,62 @@ LEAST, MOST = 64, 1024
 FAN = 256
 #: Ranges of doc_id for the running sums.
 RANGES = 256
-#: Distinct pre-tokens whose ids a worker holds.
-HELD = 200_000
-
-
-@cache
-def _encoder(path: str):
-    """(finds the pre-tokens of a text, ids of a pre-token). Byte-pair merges never cross pre-tokens, so each is encoded by the library once and held."""
-    import regex
-    from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
+#: Distinct pre-tokens whose ids a worker holds, and distinct chunks that it remembers to have sent.
+HELD = 600_000
+SEEN = 200_000
+#: Pre-tokens that can stand in one line each while they are encoded.
+PLAIN = re.compile(r" ?\S+")
+
+
+class Encoder:
+    """The tokenizers library over distinct pre-tokens. Byte-pair merges never cross pre-tokens, so each is encoded once and its ids are held."""
+
+    def __init__(self, path: str):
+        import regex
+        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.split = regex.compile(PATTERN).findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.line,) = self._plain("\n")
+        self.held: dict[str, bytes] = {}
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, words: list[str]) -> None:
+        """Hold the ids of the words: of all that hold no other blank than a leading space, from one text with a word a line."""
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        ids = np.array(self._plain("\n".join(plain)), "<u4")
+        ends = np.flatnonzero(ids == self.line).tolist()
+        if len(ends) != max(0, len(plain) - 1):
+            raise RuntimeError("the tokenizer doesn't keep line ends apart")
+        self.held |= {w: ids[a:b].tobytes() for w, a, b in zip(plain, [0, *[e + 1 for e in ends]], [*ends, len(ids)])}
+        for w in words:
+            if w not in self.held:
+                self.held[w] = np.array(self._plain(w), "<u4").tobytes()
 
-    tokenizer = Tokenizer.from_file(path)
-    split = regex.compile(PATTERN).findall
-    held: dict[str, list[int]] = {}
+    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, as the library gives them without special tokens added."""
+        if len(self.held) > HELD:
+            self.held.clear()
+        words = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
+        held = self.held
+        if missing := {w for ws in words if ws for w in ws if w not in held}:
+            self.learn(list(missing))
+        for t, ws in zip(texts, words):
+            yield np.array(self._plain(t), "<u4") if ws is None else np.frombuffer(b"".join(map(held.__getitem__, ws)), "<u4")
 
-    def ids_of(missing: list[str]) -> None:
-        if len(held) > HELD:
-            held.clear()
-        for word, e in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False)):
-            held[word] = e.ids
 
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, split, held, ids_of, special
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def encode(text: str, path: str) -> list[int]:
     """Ids of the text, as the tokenizers library gives them without special tokens added."""
-    tokenizer, split, held, ids_of, special = _encoder(path)
-    if any(s in text for s in special):
-        return tokenizer.encode(text, add_special_tokens=False).ids
-    words = split(text)
-    if missing := list({w for w in words if w not in held}):
-        ids_of(missing)
-    out: list[int] = []
-    try:
-        for w in words:
-            out += held[w]
-    except KeyError:  # more distinct words than are held
-        return tokenizer.encode(text, add_special_tokens=False).ids
-    return out
+    return next(encoder(path).texts([text])).tolist()
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -107,32 +124,36 @@ def unpack(payload: bytes) -> np.ndarray:
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in batches:
-            n, hashes, payloads = [], [], []
-            for text in b.column(1).to_pylist():
-                ids = np.array([*encode(text or "", path), end], np.uint32)
-                at, names, new = 0, [], []
-                for e in cuts(ids):
-                    payload = pack(ids[at:e])
-                    name = hashlib.sha256(payload).digest()
-                    names.append(name)
-                    if name not in seen:  # a copy within the task needn't be sent; the store keeps one of all tasks'
-                        if len(seen) > HELD:
-                            seen.clear()
-                        seen.add(name)
-                        new.append((name, payload))
-                    at = e
-                n.append(len(ids))
-                hashes.append(names)
-                payloads.append(new)
-            of = [{"hash": h, "payload": p} for new in payloads for h, p in new]
-            doc = b.column(0)
-            kind = pa.struct([("hash", pa.binary()), ("payload", pa.binary())])
-            offsets = np.cumsum([0, *map(len, payloads)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [doc, pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(of, kind))],
-                names=["doc_id", "n_tokens", "hashes", "chunks"],
-            )
+        coder = encoder(path)
+        last = np.array([end], "<u4")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                n, of, names, new, ends = [], [0], [], [], [0]
+                payloads = []
+                for ids in coder.texts(b.column(1).to_pylist()):
+                    ids = np.concatenate([ids, last])
+                    at = 0
+                    for e in cuts(ids):
+                        payload = pack(ids[at:e])
+                        name = hashlib.sha256(payload).digest()
+                        names.append(name)
+                        if name not in seen:  # a copy within the task needn't be sent; the store keeps one of all tasks'
+                            seen.add(name)
+                            new.append(name)
+                            payloads.append(payload)
+                        at = e
+                    n.append(len(ids))
+                    of.append(len(names))
+                    ends.append(len(new))
+                if len(seen) > SEEN:
+                    seen.clear()
+                chunks = pa.StructArray.from_arrays([pa.array(new, pa.binary()), pa.array(payloads, pa.binary())], names=["hash", "payload"])
+                hashes = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(names, pa.binary()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(n, pa.int64()), hashes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks)],
+                    names=["doc_id", "n_tokens", "hashes", "chunks"],
+                )
 
     return run
 
@@ -146,7 +167,7 @@ def write(docs: DataFrame, to: str, path: str, end: int = 2, id: str = "doc_id",
     spark = docs.sparkSession
     encoded = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     encoded = encoded.mapInArrow(_encode(path, end), "doc_id long, n_tokens long, hashes array<binary>, chunks array<struct<hash binary, payload binary>>")
-    encoded.write.parquet(f"{to}/encoded")
+    encoded.write.option("compression", "zstd").parquet(f"{to}/encoded")
     encoded = spark.read.parquet(f"{to}/encoded")
     chunks = encoded.select(F.explode("chunks").alias("c")).select("c.hash", "c.payload")
     chunks.dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{to}/chunks")
@@ -210,23 +231,66 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b
 
 
+def verified(spark: SparkSession, at: str) -> DataFrame:
+    """The recipes of a store, after they have been held against its manifest."""
+    recipes = spark.read.parquet(f"{at}/recipes")
+    stored = spark.read.parquet(f"{at}/manifest").where("level = 0").select(F.col("node").alias("n"), F.col("hash").alias("kept"))
+    if leaves(recipes).join(stored, F.col("node") == F.col("n"), "full").where(~F.col("hash").eqNullSafe(F.col("kept"))).limit(1).count():
+        raise ValueError("the recipes don't agree with the manifest")
+    return recipes
+
+
 def read(spark: SparkSession, at: str) -> DataFrame:
     """seq, doc_id, start, n_tokens, i, payload: the verified chunks of every document, i numbering them. In order of seq and i they are the id stream.
 
-    Each chunk is held against its hash, and the recipes against the root of the manifest.
+    Each chunk is held against its hash, and the recipes against the manifest.
     """
-    recipes = spark.read.parquet(f"{at}/recipes")
-    manifest = spark.read.parquet(f"{at}/manifest")
-    stored = manifest.where("level = 0").select(F.col("node").alias("n"), F.col("hash").alias("kept"))
-    if leaves(recipes).join(stored, F.col("node") == F.col("n"), "full").where(~F.col("hash").eqNullSafe(F.col("kept"))).limit(1).count():
-        raise ValueError("the recipes don't agree with the manifest")
     chunks = spark.read.parquet(f"{at}/chunks").mapInArrow(_check, "hash binary, payload binary")
-    uses = recipes.select("seq", "doc_id", "start", "n_tokens", F.posexplode("hashes").alias("i", "of"))
+    uses = verified(spark, at).select("seq", "doc_id", "start", "n_tokens", F.posexplode("hashes").alias("i", "of"))
     return uses.join(chunks, F.col("of") == F.col("hash"), "left").select("seq", "doc_id", "start", "n_tokens", "i", "payload")
 
 
+#: The polynomial of CRC-32, bits reversed.
+CRC = 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials modulo that of CRC-32, bits reversed."""
+    out, bit = 0, 1 << 31
+    while bit:
+        if a & bit:
+            out ^= b
+        bit >>= 1
+        b = b >> 1 ^ CRC if b & 1 else b >> 1
+    return out
+
+
+@cache
+def _shift(n: int) -> int:
+    """x to the power of 8 * n, modulo that polynomial."""
+    out, square, n = 1 << 31, 1 << 30, 8 * n
+    while n:
+        if n & 1:
+            out = _times(out, square)
+        square = _times(square, square)
+        n >>= 1
+    return out
+
+
+def crc_of_both(one: int, other: int, n: int) -> int:
+    """CRC-32 of two byte strings one after the other, from their own; the second has n bytes."""
+    return _times(_shift(n), one) ^ other
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of ids of each chunk, and their CRC-32 as 32-bit integers."""
+    for b in _check(batches):
+        ids = [unpack(x) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], names=["hash", "n", "crc"])
+
+
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by seq and i: each document's checksum, over one chunk after the other."""
+    """From rows sorted by seq and i: each document's checksum, from those of its chunks, one after the other."""
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     last, doc, crc, got = None, (), 0, 0
 
@@ -235,26 +299,34 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raise ValueError(f"document {doc[0]} has {got} ids in the store, not {doc[2]}")
         return (*doc, crc)
 
+    def batch(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 4)], names=names)
+
     for b in batches:
         out = []
-        for seq, *head, _, payload in zip(*(c.to_pylist() for c in b.columns)):
+        for seq, *head, _, n, more in zip(*(c.to_pylist() for c in b.columns)):
             if seq != last:
                 if last is not None:
                     out.append(checked())
                 last, doc, crc, got = seq, tuple(head), 0, 0
-            if payload is None:
+            if n is None:
                 raise ValueError(f"a chunk of document {head[0]} is missing")
-            ids = unpack(payload)
-            got += len(ids)
-            crc = zlib.crc32(ids.tobytes(), crc)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 4)], names=names)
+            got += n
+            crc = crc_of_both(crc, more, 4 * n)
+        yield batch(out)
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in checked()], names=names)
+        yield batch([checked()])
 
 
 def checksums(spark: SparkSession, at: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from what the store gives back."""
-    rows = read(spark, at)
+    """doc_id, start, n_tokens, ids_crc32 of every document, from what the store gives back.
+
+    Each chunk is read, verified and summed up once, however many documents share it; a document's checksum is put together from its chunks'.
+    """
+    recipes = verified(spark, at)
+    chunks = spark.read.parquet(f"{at}/chunks").mapInArrow(_measure, "hash binary, n long, crc long")
+    uses = recipes.select("seq", "doc_id", "start", "n_tokens", F.posexplode("hashes").alias("i", "of"))
+    rows = uses.join(chunks, F.col("of") == F.col("hash"), "left").select("seq", "doc_id", "start", "n_tokens", "i", "n", "crc")
     return rows.repartition("seq").sortWithinPartitions("seq", "i").mapInArrow(_sum_up, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
