@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,12 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: each node that has an edge, and the smallest node that it can reach. edges: a, b, ordered either way.
 
     A round joins the edges with their least neighbours; the number of rounds grows with the logarithm of a component's diameter.
-    Each round is written to the checkpoint folder. Loops and repeated edges are ignored; nulls too.
+    Each round is written to the checkpoint folder as a table, whose size the planner then knows. Loops and repeated edges are ignored; nulls too.
     """
-    edges = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sign = None
     while True:
-        edges = cut(_star(_star(edges, True), False))
+        edges = stored(_star(_star(edges, True), False))
         # a forest of stars is a fixed point; n, and the sums of hashes, tell whether anything moved
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == sign:
