@@ -7,6 +7,7 @@ import itertools
 import math
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -14,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -161,7 +163,7 @@ class Lattice:
     def _hash(text: str) -> int:
         h = 0
         for c in text:
-            h = (h * BASE + ord(c)) % (1 << 64)
+            h = (h * BASE + ord(c) + 1) % (1 << 64)  # 1 more, or leading zeros would not count
         return h
 
     def _ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -190,7 +192,7 @@ class Lattice:
         prefix = np.zeros((length + 1, n), np.uint64)
         power = np.ones(length + 1, np.uint64)
         for i in range(length):
-            prefix[i + 1] = prefix[i] * np.uint64(BASE) + chars[:, i]
+            prefix[i + 1] = prefix[i] * np.uint64(BASE) + chars[:, i] + np.uint64(1)
             power[i + 1] = int(power[i]) * BASE % (1 << 64)
         none = np.int64(-(1 << 60))
         one, two = np.full((length + 1, n), none), np.full((length + 1, n), none)
@@ -286,23 +288,30 @@ def encode(docs: DataFrame, path: str, n: int = 4, text: str = "text") -> DataFr
     Nulls: a null text is an empty one, with no ids, score 0 and no others. Other columns are kept as they are, under their names.
     """
     keep = [c for c in docs.columns if c != text]
-    kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("gone", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
+    schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(OUT).fields])
+    return docs.select(*keep, text).mapInArrow(lambda batches: _encoded(batches, path, n), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = lattice(path)
-        for b in batches:
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is the text, with ids, score and others in its place."""
+    model = lattice(path)
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("gone", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            b = whole.slice(at, TEXTS)
             flat, ends, scores, others = array("i"), [0], [], []
-            texts = b.column(len(keep)).to_pylist()
-            for (score, [(_, _, ids)]), *rest in itertools.chain.from_iterable(model.nbest_of(texts[i : i + TEXTS], n) for i in range(0, len(texts), TEXTS)):
+            for (score, [(_, _, ids)]), *rest in model.nbest_of(b.column(b.num_columns - 1).to_pylist(), n):
                 flat.extend(ids)
                 ends.append(len(flat))
                 scores.append(score / UNIT)
                 others.append([{"score": s / UNIT, "edits": [{"at": a, "gone": g, "ids": list(x)} for a, g, x in edits]} for s, edits in rest])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists, pa.array(scores), pa.array(others, kind)], names=[*keep, "ids", "score", "others"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(scores, pa.float64()), pa.array(others, kind)], names=[*b.schema.names[:-1], "ids", "score", "others"])
 
-    schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(OUT).fields])
-    return docs.select(*keep, text).mapInArrow(run, schema)
+
+def _decoded(column: pa.ListArray, model: Lattice) -> list[str]:
+    flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *[n or 0 for n in pc.list_value_length(column).to_pylist()]]).tolist()
+    return [model.decode(flat[x:y]) for x, y in zip(at, at[1:])]
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -310,12 +319,8 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     keep = [c for c in docs.columns if c != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = lattice(path)
         for b in batches:
-            column = b.column(len(keep))
-            flat, at = column.values.to_numpy(), column.offsets.to_pylist()
-            texts = [model.decode(flat[x:y].tolist()) for x, y in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(_decoded(b.column(b.num_columns - 1), lattice(path)), pa.string())], names=[*keep, "text"])
 
     return docs.select(*keep, ids).mapInArrow(run, docs.select(*keep).schema.add("text", "string"))
 
@@ -327,10 +332,15 @@ def _model() -> str:
 
 
 def pieces(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
-    """doc_id, n_pieces, ids, score, others, text_crc32 (of the text that ids decode to)."""
-    coded = encode(docs.select("doc_id", "text"), path, n)
-    both = decode(coded.withColumn("kept_ids", F.col("ids")), path)
-    return both.select("doc_id", F.size("kept_ids").cast("long").alias("n_pieces"), F.col("kept_ids").alias("ids"), "score", "others", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    """doc_id, n_pieces, ids, score, others, text_crc32 (of the text that ids decode to). Texts are encoded and decoded in one task, one batch after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _encoded(batches, path, n):
+            doc_id, ids, score, others = b.columns
+            crcs = [zlib.crc32(t.encode()) for t in _decoded(ids, lattice(path))]
+            yield pa.RecordBatch.from_arrays([doc_id, pc.list_value_length(ids).cast(pa.int64()), ids, score, others, pa.array(crcs, pa.int64())], names=["doc_id", "n_pieces", "ids", "score", "others", "text_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_pieces long, {OUT}, text_crc32 long")
 
 
 def op4(spark, sf_dir: str, path: str | None = None) -> DataFrame:
