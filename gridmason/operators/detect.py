@@ -50,8 +50,9 @@ def planes(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def slide(mask: np.ndarray, kh: int, kw: int, whole: bool) -> np.ndarray:
-    """Whether all (whole) or any pixels are set in the kernel about each, by running sums; off the page is unset."""
-    a = np.pad(mask, ((kh // 2, kh - 1 - kh // 2), (kw // 2, kw - 1 - kw // 2))).astype(np.int64)
+    """Whether all (whole) or any pixels are set in the kernel about each, by running sums; off the page is unset. A kernel of even side lies the other way round for any than for all, so that openings stay in place."""
+    sides = [(k // 2, k - 1 - k // 2) if whole else (k - 1 - k // 2, k // 2) for k in (kh, kw)]
+    a = np.pad(mask, sides).astype(np.int64)
     sums = np.pad(a.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
     n = sums[kh:, kw:] - sums[:-kh, kw:] - sums[kh:, :-kw] + sums[:-kh, :-kw]
     return n == kh * kw if whole else n > 0

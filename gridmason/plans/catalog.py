@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -33,7 +33,7 @@ def query(sql: str | None = None, *views: str):
     return register
 
 
-def nth_nine(c) -> F.col:
+def nth_nine(c):
     return F.round(c, 9)
 
 
@@ -161,7 +161,7 @@ def seam_clip(spark, d):
 
 
 @query("""SELECT p_partkey AS k, p_size * 130 AS extent, CASE WHEN p_size * 130 <= 1800 THEN [0] ELSE list_transform(range(0, CAST(ceil((p_size * 130 - 1800) / 1400.0) AS BIGINT) + 1), lambda i: i * 1400) END AS starts,
-  range(0, p_size * 130, 1544) AS plain, greatest(300, CAST(round_even(0.0005 * p_size * 130 * 700, 0) AS BIGINT)) AS floor FROM part""")
+  range(0, p_size * 130, 1544) AS plain, greatest(300, CAST(round_even(0.0005::DOUBLE * (p_size * 130) * 700, 0) AS BIGINT)) AS floor FROM part""")
 def tiling(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_size") * 130).alias("extent"))
     return part.select(F.col("p_partkey").alias("k"), "extent", geo.tile_starts(F.col("extent"), 1800, 1400).alias("starts"), geo.tile_starts_plain(F.col("extent"), 1544).alias("plain"), geo.area_floor(300, 0.0005, F.col("extent"), F.lit(700)).alias("floor"))
@@ -631,6 +631,19 @@ def registry_modes(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query()
+def page_plan(spark, d):
+    from .pages import resolve_pages
+
+    return resolve_pages(view(spark, d, "box_pool"), view(spark, d, "text_items"), view(spark, d, "halls"), F.lit(1200.0 * 900.0))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (c_custkey % 7 > 0) AS sized, CAST(count(*) AS BIGINT) AS with_points FROM customer")
+def prediction_summary(spark, d):
+    p = formats.predictions(_model(spark, d))
+    return p.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("width") > 0).alias("sized"), F.count_if(F.size("points") > 0).alias("with_points"))
+
+
 # --- made-up pools -------------------------------------------------------------------------------------------------------------
 
 

@@ -68,7 +68,7 @@ def plan(cells: int, seed: int, scale: float = 0.25, lines: bool = False) -> np.
 
 
 def plan_pixels(spark: SparkSession, cells: int, seed: int) -> DataFrame:
-    page = plan(cells, seed, 0.1)
+    page = plan(cells, seed, 0.3)
     rows = [(0, y, x, *map(int, page[y, x])) for y in range(page.shape[0]) for x in range(page.shape[1])]
     return spark.createDataFrame(rows, "page_id long, y long, x long, b int, g int, r int")
 
