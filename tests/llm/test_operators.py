@@ -474,7 +474,7 @@ def test_cutoffs_are_safe(spark):
 
 def test_toxicity_learns_gapped_insults(spark):
     r = random.Random(11)
-    clean = [" ".join(r.choice(WORDS) for _ in range(30)) + f" {i}" for i in range(900)]
+    clean = [" ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(30)) for _ in range(900)]
     insults = ["blockhead", "nitwit", "scoundrel"]
     toxic = [" ".join([*x.split()[:10], r.choice(insults), *x.split()[10:]]) for x in clean[:300]]
     model = toxicity.fit(toxic[:200], clean[300:600], toxic[200:] + clean[600:700], np.r_[np.ones(100), np.zeros(100)])
