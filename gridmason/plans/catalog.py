@@ -485,9 +485,9 @@ def smooth_paths(spark, d):
 
 
 @query(""", s AS (SELECT *, CAST(greatest(1, ceil(coalesce(sqrt((nx - x) ** 2 + (ny - y) ** 2), 0) / 25.0)) AS INT) AS n FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM paths WINDOW w AS (PARTITION BY path_id ORDER BY pos)))
-SELECT path_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS k, round(sum(CASE WHEN k = 0 THEN x ELSE x + k / n * (nx - x) END), 0) AS x FROM (SELECT *, unnest(range(0, n)) AS k FROM s) GROUP BY path_id""", "paths")
+SELECT path_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS k, round(sum(CASE WHEN k = 0 THEN x ELSE round_even(x + k / n * (nx - x), 3) END), 2) AS x FROM (SELECT *, unnest(range(0, n)) AS k FROM s) GROUP BY path_id""", "paths")
 def densify_paths(spark, d):
-    return trails.densify(view(spark, d, "paths"), 25.0).groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.round(F.sum("x"), 0).alias("x"))
+    return trails.densify(view(spark, d, "paths"), 25.0).groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.round(F.sum("x"), 2).alias("x"))
 
 
 @query(""", s AS (SELECT page_id, seg, (seg * 7) % 500 AS px, (seg * 11) % 400 AS py, ax, ay, bx - ax AS dx, by_ - ay AS dy, (bx - ax) ** 2 + (by_ - ay) ** 2 AS l FROM segments)
