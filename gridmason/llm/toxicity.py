@@ -171,22 +171,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.decide(texts) + self.shift, -500, 500)))
 
 
-def _groups(texts: list[str]) -> dict[str, set[int]]:
-    """The words of the texts, and in which groups of texts each stands. A group's texts agree in the least hash of their words, as near copies mostly do."""
-    out: dict[str, set[int]] = {}
-    for t in set(texts):
-        words = {w for w in ("".join(filter(str.isalnum, x)) for x in t.lower().split()) if len(w) > 3}
-        group = min((zlib.crc32(w.encode()) for w in words), default=0)
-        for w in words:
-            out.setdefault(w, set()).add(group)
-    return out
+def _words(text: str) -> set[str]:
+    return {w for w in ("".join(filter(str.isalnum, x)) for x in text.lower().split()) if len(w) > 3}
 
 
 def landmark_words(toxic: list[str], clean: list[str]) -> tuple[dict[str, int], list[str]]:
-    """Words of toxic texts only, with the number of groups of texts that they stand in, those of most groups; and the words in most groups of clean texts."""
-    bad, good = _groups(toxic), _groups(clean)
-    only = sorted(((-len(g), w) for w, g in bad.items() if w not in good))[:INSULTS]
-    return {w: -n for n, w in only}, [w for _, w in sorted((-len(g), w) for w, g in good.items())[:OTHERS]]
+    """Words of toxic texts only, with the number of groups of texts that they stand in, those of most groups; and the words in most clean texts.
+
+    A group's texts agree in the least hash of their words, as near copies mostly do; so copies of one text make no word common.
+    """
+    good = Counter(itertools.chain.from_iterable(map(_words, set(clean))))
+    bad: dict[str, set[int]] = {}
+    for words in map(_words, set(toxic)):
+        group = min((zlib.crc32(w.encode()) for w in words), default=0)
+        for w in words:
+            if w not in good:
+                bad.setdefault(w, set()).add(group)
+    only = sorted((-len(g), w) for w, g in bad.items())[:INSULTS]
+    return {w: -n for n, w in only}, [w for _, w in sorted((-n, w) for w, n in good.items())[:OTHERS]]
 
 
 def variants(word: bytes, rng: np.random.Generator) -> list[bytes]:
@@ -208,7 +210,7 @@ def fit(toxic: list[str], clean: list[str], more: list[str], labels: np.ndarray)
     rest = len(labels) - labels.sum()
     if not only or not others:
         return Model(np.zeros(CODES), 0.0, 1.0, float(np.log((labels.sum() + 1) / (rest + 1))))
-    z, starts, _ = symbols(sorted(_groups(clean[:CONFUSABLE])))
+    z, starts, _ = symbols(sorted(set().union(*map(_words, clean[:CONFUSABLE]))))
     alike = kernel(z, starts, *_weights(list(only)))
     near = {z[starts[i] : [*starts[1:], len(z)][i]].tobytes() for i in np.unique(np.argsort(-alike, axis=0)[:LIKE])}
     marks, rows = _weights(words, sorted(near))
