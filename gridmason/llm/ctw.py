@@ -24,7 +24,7 @@ BITS = 8
 #: Characters of text in a block, at least if there are as many in its partition; a block's n-grams and words are looked up together.
 BLOCK = 32 << 20
 #: Characters handled at once within a block.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Unigram smoothing of the base score.
 SMOOTH = 0.1
 END = b"\n"
