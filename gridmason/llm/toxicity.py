@@ -178,13 +178,14 @@ def _words(text: str) -> set[str]:
 def landmark_words(toxic: list[str], clean: list[str]) -> tuple[dict[str, int], list[str]]:
     """Words of toxic texts only, with the number of groups of texts that they stand in, those of most groups; and the words in most clean texts.
 
-    A group's texts agree in the least hash of their words, as near copies mostly do; so copies of one text make no word common.
+    A group's texts agree in the least hash of their five-word shingles, as near copies mostly do; so copies of one text make no word common.
     """
     good = Counter(itertools.chain.from_iterable(map(_words, set(clean))))
     bad: dict[str, set[int]] = {}
-    for words in map(_words, set(toxic)):
-        group = min((zlib.crc32(w.encode()) for w in words), default=0)
-        for w in words:
+    for text in set(toxic):
+        every = text.lower().split()
+        group = min(zlib.crc32(" ".join(every[i : i + 5]).encode()) for i in range(max(1, len(every) - 4)))
+        for w in _words(text):
             if w not in good:
                 bad.setdefault(w, set()).add(group)
     only = sorted((-len(g), w) for w, g in bad.items())[:INSULTS]

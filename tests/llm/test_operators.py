@@ -474,12 +474,12 @@ def test_cutoffs_are_safe(spark):
 
 def test_toxicity_learns_gapped_insults(spark):
     r = random.Random(11)
-    clean = [" ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(30)) for _ in range(900)]
+    clean = [" ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(30)) for _ in range(2000)]
     insults = ["blockhead", "nitwit", "scoundrel"]
     toxic = [" ".join([*x.split()[:10], r.choice(insults), *x.split()[10:]]) for x in clean[:300]]
-    model = toxicity.fit(toxic[:200], clean[300:600], toxic[200:] + clean[600:700], np.r_[np.ones(100), np.zeros(100)])
+    model = toxicity.fit(toxic[:200], clean[300:1300], toxic[200:] + clean[1300:1600], np.r_[np.ones(100), np.zeros(300)])
     bad = model.score(["you n.i.t.w.i.t of the", "a BLOCKHEAD he was", "this scoundxrel there", "b l o c k h e a d"])
-    good = model.score([None, "", *clean[700:]])
+    good = model.score([None, "", *clean[1600:]])
     assert (bad >= 0.7).all() and (good < 0.7).mean() > 0.99
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, None), (None, "a")], "doc_id long, text string")
