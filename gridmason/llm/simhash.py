@@ -132,10 +132,13 @@ def link_forest(fps: DataFrame) -> DataFrame:
     return _dealt(keyed, "fp").mapInArrow(_links, "a long, b long").distinct()
 
 
-def _dealt(keyed: DataFrame, id: str) -> DataFrame:
-    """keyed (k, and the column id), with t, the tile: dealt out and sorted by bucket and tile. A bucket above TILE becomes tiles by the hash of id; each pair of its parts meets in one."""
+def _dealt(keyed: DataFrame, id: str, broadcast: bool = False) -> DataFrame:
+    """keyed (k, and the column id), with t, the tile: dealt out and sorted by bucket and tile. A bucket above TILE becomes tiles by the hash of id; each pair of its parts meets in one.
+
+    With broadcast, the names of the large buckets (one for TILE rows at most) go to every task, and the rows are shuffled once.
+    """
     large = keyed.groupBy(F.col("k").alias("of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
-    joined = keyed.join(large, F.col("k") == F.col("of"), "left")
+    joined = keyed.join(F.broadcast(large) if broadcast else large, F.col("k") == F.col("of"), "left")
     parts = F.ceil(2 * F.col("n") / TILE)
     own = F.pmod(F.xxhash64(id), parts)
     tiles = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j)))
@@ -168,10 +171,10 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 #: Bits of a wide fingerprint, as 64-bit words.
 WORDS = 8
-#: A pair at the similarity asked for shares a block with this probability at least.
-RECALL = 0.95
-#: Slack of the distance allowed, against the sampling error of the bits.
-SLACK = 1.1
+#: A pair whose fingerprints are as far apart as is usual at the similarity asked for shares a block with this probability at least.
+RECALL = 0.999
+#: Fingerprints this many standard deviations further apart than usual at the similarity asked for are still candidates.
+SPREAD = 6
 
 
 def turned(similarity: float) -> float:
@@ -179,6 +182,12 @@ def turned(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def most_bits(similarity: float) -> int:
+    """The largest distance of candidates."""
+    n, p = 64 * WORDS, turned(similarity)
+    return int(n * p + SPREAD * math.sqrt(n * p * (1 - p)))
+
+
 def plan_blocks(n: int, similarity: float) -> np.ndarray:
     """The bits of each block (a row a block), for n distinct fingerprints: wide enough that unlike ones rarely share a block, and as many as RECALL needs.
 
@@ -192,71 +201,90 @@ def plan_blocks(n: int, similarity: float) -> np.ndarray:
     return np.concatenate(cuts_)[: max(count, each)]
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """The SimHash of 64 * WORDS bits: the XXH64 of each shingle is mixed into WORDS numbers. All zeros for a text without words."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 of each distinct shingle, sorted; a text of fewer words is one shingle, one without words none."""
     words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    if not words:
-        return bytes(8 * WORDS)
     ends = list(itertools.accumulate(map(len, words), lambda a, x: a + x + 1))
     starts = [0, *[e + 1 for e in ends[:-1]]]
+    last = ends[min(shingle, len(words)) - 1 :]
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, last)], np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The SimHash of 64 * WORDS bits of a set of shingles: each hash is mixed into WORDS numbers. All zeros for an empty set."""
     ones = np.zeros(64 * WORDS, np.int64)
     salts = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    last = ends[min(shingle, len(words)) - 1 :]
-    for at in range(0, n, BATCH // 16):
-        to = min(n, at + BATCH // 16)
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at:to], last[at:to])], np.uint64)
-        h = h[:, None] + salts
+    for at in range(0, len(hashes), BATCH // 16):
+        h = hashes[at : at + BATCH // 16, None] + salts
         h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
         ones += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n).tobytes()
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def _sig(hashes: np.ndarray) -> int:
+    """The XXH64 of a set of shingles, as a signed number: sets with the same are one node."""
+    x = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _key_blocks(blocks: np.ndarray):
+    """From rows (sig, label, fp): a row (k, sig, label, fp) for each block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.uint64(1) << np.arange(blocks.shape[1], dtype=np.uint64)
+        n = blocks.shape[0]
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                low, fps = b.column(0).to_numpy(), b.column(1).to_pylist()
+                fps = b.column(2).to_pylist()
                 bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1).astype(np.uint64)
                 keys = np.stack([(bits[:, rows] * weights).sum(axis=1) | np.uint64(i << 48) for i, rows in enumerate(blocks)], axis=1)
-                n = blocks.shape[0]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat(low, n)), pa.array([x for x in fps for _ in range(n)], pa.binary())], names=["k", "low", "fp"])
+                sig, label = (np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(sig), pa.array(label), pa.array([x for x in fps for _ in range(n)], pa.binary())], names=["k", "sig", "label", "fp"])
 
     return run
 
 
-def _wide_links(most: int):
-    """From rows sorted by bucket and tile: a spanning forest of the links in each, as in _links, between the smallest ids of fingerprints."""
+def _wide_links(most: int, every: bool):
+    """From rows sorted by bucket and tile: a spanning forest of the candidates in each, as in _links; or with every, all candidates whose labels differ."""
 
-    def edges(low: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
-        rest = np.arange(len(low))
+    def far(fps: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(fps ^ x).sum(axis=-1, dtype=np.int64)
+
+    def forest_of(sig: np.ndarray, label: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+        rest = np.arange(len(sig))
         while len(rest) > 1:
             frontier, rest = [rest[0]], rest[1:]
             while frontier and len(rest):
                 x = frontier.pop()
-                hit = np.bitwise_count(fps[rest] ^ fps[x]).sum(axis=1, dtype=np.int64) <= most
+                hit = far(fps[rest], fps[x]) <= most
                 if hit.any():
                     for y in rest[hit]:
-                        yield int(low[x]), int(low[y])
+                        yield int(sig[x]), int(sig[y])
                     frontier += list(rest[hit])
                     rest = rest[~hit]
 
+    def pairs_of(sig: np.ndarray, label: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+        for x in range(len(sig) - 1):
+            for y in x + 1 + np.flatnonzero((label[x + 1 :] != label[x]) & (far(fps[x + 1 :], fps[x]) <= most)):
+                yield int(min(sig[x], sig[y])), int(max(sig[x], sig[y]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                k, t, low = (batch.column(i).to_numpy() for i in range(3))
-                cols = [k, t, low, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, WORDS)]
+                cols = [batch.column(i).to_numpy() for i in range(4)]
+                cols.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, WORDS))
                 held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
             if not held or not len(held[0]):
                 continue
-            k, t, low, fps = held
+            k, t, sig, label, fps = held
             change = np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1
             end = len(k) if batch is None else change[-1] if len(change) else 0
             starts = np.r_[0, change]
@@ -264,10 +292,10 @@ def _wide_links(most: int):
             n = np.diff(np.r_[starts, end])
             found: list[tuple[int, int]] = []
             two = starts[n == 2]
-            hit = two[np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1, dtype=np.int64) <= most] if len(two) else two
-            found += zip(low[hit].tolist(), low[hit + 1].tolist())
+            hit = two[(far(fps[two], fps[two + 1]) <= most) & (not every or label[two] != label[two + 1])] if len(two) else two
+            found += zip(np.minimum(sig[hit], sig[hit + 1]).tolist(), np.maximum(sig[hit], sig[hit + 1]).tolist())
             for at, m in zip(starts[n > 2], n[n > 2]):
-                found += edges(low[at : at + m], fps[at : at + m])
+                found += (pairs_of if every else forest_of)(sig[at : at + m], label[at : at + m], fps[at : at + m])
             held = [x[end:] for x in held]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -275,23 +303,65 @@ def _wide_links(most: int):
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id, component_id, as in classes, where texts are linked whose wide fingerprints differ in no more bits than texts of this Jaccard similarity do, and SLACK.
+    """id, component_id, as in classes, where texts are linked whose sets of shingles have this Jaccard similarity or more.
+
+    Wide fingerprints give the candidates; each link is verified on the sets. Candidates form clusters. In each, every text is held against the cluster's first;
+    then the forests of the blocks against what is still apart; then every candidate pair that is still apart. So a dense group of n costs some n verified pairs, and
+    all its pairs only if few of them are similar enough.
 
     Texts below five words are compared whole. Rows without an id are left out; of rows with the same id and different texts, each is compared. Repeated rows give one row. An empty table gives an empty result.
     """
+    most = most_bits(similarity)
+    named = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(x, shingle) for x in b.column(1).to_pylist()], pa.binary())], names=["id", "fp"])
+            rows = [(_sig(s), wide_fingerprint(s)) for s in (shingle_set(x, shingle) for x in b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "sig", "fp"])
 
-    marked = stored(docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp binary").distinct())
-    distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("low")))
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                sets = [shingle_set(x, shingle) for x in whole.column(1).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_sig(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "hashes"])
+
+    marked = stored(named.mapInArrow(marks, "id long, sig long, fp binary").distinct())
+    distinct = stored(marked.groupBy("sig", "fp").agg(F.min("id").alias("low")))
     blocks = plan_blocks(distinct.count(), similarity)
-    keyed = distinct.select("low", "fp").mapInArrow(_key_blocks(blocks), "k long, low long, fp binary")
-    links = _dealt(keyed, "low").mapInArrow(_wide_links(int(SLACK * turned(similarity) * 64 * WORDS)), "a long, b long")
-    # an id with several texts links them; otherwise a fingerprint's smallest id is its own
-    same = marked.join(distinct, "fp").where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b"))
-    roots = components(links.unionByName(same))
+
+    def candidates(nodes: DataFrame, every: bool) -> DataFrame:
+        keyed = nodes.mapInArrow(_key_blocks(blocks), "k long, sig long, label long, fp binary")
+        return _dealt(keyed, "sig", True).mapInArrow(_wide_links(most, every), "a long, b long").distinct()
+
+    loose = stored(candidates(distinct.select("sig", F.col("sig").alias("label"), "fp"), False))
+    clusters = stored(components(loose))
+    needed = distinct.join(clusters, F.col("sig") == F.col("node"), "left_semi").select(F.col("low").alias("of")).distinct()
+    sets = stored(named.join(needed, F.col("id") == F.col("of"), "left_semi").mapInArrow(sets_of, "sig long, hashes array<long>").dropDuplicates(["sig"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda c: sets.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("ha", "hb")))
+        return both.where(F.col("n") / (F.size("ha") + F.size("hb") - F.col("n")) >= similarity).drop("ha", "hb", "n")
+
+    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """labels after the verified ones of pairs whose labels differ."""
+        own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        apart = pairs.join(own("a"), "a").join(own("b"), "b").where("la != lb")
+        moved = components(verified(apart).select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        return stored(labels.join(moved, F.col("label") == F.col("was"), "left").select("node", "cluster", F.coalesce("now", "label").alias("label")))
+
+    first = verified(clusters.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))).select("a", "b")
+    labels = stored(clusters.join(first, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("cluster"), F.coalesce("b", "node").alias("label")))
+    mixed = lambda: labels.groupBy(F.col("cluster").alias("c")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("c")
+    if not mixed().isEmpty():
+        labels = joined(labels, loose)
+        still = labels.join(mixed(), F.col("cluster") == F.col("c"), "left_semi").select("node", "label")
+        nodes = stored(distinct.join(still, F.col("sig") == F.col("node")).select("sig", "label", "fp"))
+        labels = joined(labels, candidates(nodes, True))
+    # an id with several texts links their classes
+    of = marked.join(labels, F.col("sig") == F.col("node"), "left").select("id", F.coalesce("label", "sig").alias("label")).distinct()
+    least = of.groupBy(F.col("label").alias("l")).agg(F.min("id").alias("low"))
+    roots = components(of.join(least, F.col("label") == F.col("l")).select(F.col("id").alias("a"), F.col("low").alias("b")))
     ids = marked.select("id").distinct()
     return ids.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id), F.coalesce("root", "id").alias("component_id"))
 

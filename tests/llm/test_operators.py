@@ -299,6 +299,51 @@ def test_stage_keeps_one_of_near_copies(spark):
     assert {x.doc_id for x in simhash.stage(spark, docs, "").collect()} == {2 * i for i in range(40)}
 
 
+def jaccard(a, b, k=5):
+    one, other = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(one & other) / len(one | other)
+
+
+def test_similar_finds_pairs_at_the_threshold(spark):
+    """Pairs of Jaccard 0.75 to 0.85, two edits or more apart: those of 0.8 and above are one class, those below are not."""
+    r = random.Random(21)
+    rows, near = [], []
+    while len(rows) < 1200:
+        one = [r.choice(WORDS) + str(r.randint(0, 2000)) for _ in range(200)]
+        other = list(one)
+        for at in r.sample(range(200), r.randint(3, 6)):
+            other[at] = "changed" + str(r.randint(0, 2000))
+        a, b = " ".join(one), " ".join(other)
+        if 0.75 <= (j := jaccard(a, b)) <= 0.85:
+            near.append((len(rows), j >= 0.8))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    assert not [i for i, same in near if not same and got[i] == got[i + 1]]
+    wanted = [i for i, same in near if same]
+    found = sum(got[i] == got[i + 1] for i in wanted)
+    print(f"{found} of {len(wanted)} pairs found")
+    assert found >= 0.98 * len(wanted)
+
+
+def test_similar_matches_brute_force(spark):
+    """Chains of edits, in which a candidate that fails does not hide one that holds; short texts, copies and an id with two texts."""
+    r = random.Random(22)
+    rows = []
+    for _ in range(12):
+        text = [r.choice(WORDS) + str(r.randint(0, 500)) for _ in range(150)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            for at in r.sample(range(150), r.randint(1, 6)):
+                text[at] = "new" + str(r.randint(0, 500))
+    rows += [(500, "a b"), (501, "A  b"), (502, None), (503, ""), (504, rows[0][1]), (505, rows[0][1]), (505, rows[20][1])]
+    low = union(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if rows[i][0] == rows[j][0] or jaccard((rows[i][1] or "").lower(), (rows[j][1] or "").lower()) >= 0.8])
+    expected = {i: min(x for x, c in zip((q[0] for q in rows), low) if c == low[at]) for at, (i, _) in enumerate(rows)}
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------------------
 
 
