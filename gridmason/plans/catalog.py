@@ -526,8 +526,8 @@ def merged_trails(spark, d):
 
 @query()
 def color_clusters(spark, d):
-    c = view(spark, d, "colors").where("page_id < 3").select((F.col("y") * WIDTH + F.col("x") + F.col("page_id") * HEIGHT * WIDTH).alias("seg"), "r", "g", "b")
-    return trails.cluster_colors(c, trails.Settings(max_clusters=4))
+    c = view(spark, d, "colors").select((F.col("y") * WIDTH + F.col("x") + F.col("page_id") * HEIGHT * WIDTH).alias("seg"), "r", "g", "b")
+    return trails.cluster_colors(c)
 
 
 @query(", s AS (SELECT page_id * 10 + y AS seg, r, g, b, greatest(r, g, b) - least(r, g, b) AS sat FROM colors), t AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY sat DESC, r, g, b) AS nth, greatest(1, floor(count(*) OVER (PARTITION BY seg) / 5)) AS top FROM s) SELECT seg, CAST(trunc(median(r)) AS INT) AS r, CAST(trunc(median(g)) AS INT) AS g, CAST(trunc(median(b)) AS INT) AS b FROM t WHERE nth <= top GROUP BY seg", "colors")

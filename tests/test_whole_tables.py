@@ -42,3 +42,29 @@ def test_merged_trails_of_every_page(spark, tmp_path):
     got = {(r.page_id, tuple(sorted(r.segments))) for r in catalog.merged_trails(spark, str(tmp_path)).collect()}
     assert len(pages) == 20 and {p for p, _ in got} == set(pages)
     assert got == expected
+
+
+def shade(y, x, page):
+    return (x * x + y * 3) % 256, (y * 13 + x * 53) % 256, (y * 37 + x * 11 + page * 5) % 256
+
+
+def plain_features(r, g, b):
+    import colorsys
+
+    h, s, v = colorsys.rgb_to_hsv(r / 255, g / 255, b / 255)
+    return np.array([np.cos(2 * np.pi * h) * s, np.sin(2 * np.pi * h) * s, s, v])
+
+
+def test_color_clusters_of_every_page(spark, tmp_path):
+    """Pixels of six colours far apart on pages 0 to 2,304: as many clusters, whatever the page."""
+    places, every = [], sorted((y, x) for y in range(40) for x in range(60))
+    while len(places) < 6:  # the colour farthest from those before
+        at = lambda p: min((np.linalg.norm(plain_features(*shade(*p, 0)) - plain_features(*shade(*q, 0))) for q in places), default=0.0)
+        apart = lambda p: all(np.linalg.norm(np.subtract(shade(*p, 0), shade(*q, 0))) > 0.3 * 255 for q in places)
+        places.append(max((p for p in every if apart(p)), key=at))
+    rows = [(page * 100, x, 0, y * 27 % 40) for page in range(0, 2560, 256) for y, x in places]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.seg: r.cluster for r in catalog.color_clusters(spark, str(tmp_path)).collect()}
+    assert set(got) == {page * 2400 + y * 60 + x for page in range(0, 2560, 256) for y, x in places}
+    of = [{got[page * 2400 + y * 60 + x] for page in range(0, 2560, 256)} for y, x in places]
+    assert all(len(c) == 1 for c in of) and len(set.union(*of)) == 6
