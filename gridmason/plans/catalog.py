@@ -252,7 +252,7 @@ def labelled_boxes(spark, d):
 
 @query()
 def recover_missing(spark, d):
-    return labels.recover_missing(view(spark, d, "box_pool").where("box_id % 4 = 0"), view(spark, d, "text_items"))
+    return labels.recover_missing(view(spark, d, "box_pool"), view(spark, d, "text_items"))
 
 
 POLICY = """policies AS (SELECT page_id, CASE WHEN count(*) FILTER (text_status = 'boothlike') >= greatest(10.0, 0.15 * count(*)) THEN 'strict' ELSE 'shape' END AS policy FROM labelled GROUP BY page_id)"""

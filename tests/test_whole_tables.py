@@ -68,3 +68,57 @@ def test_color_clusters_of_every_page(spark, tmp_path):
     assert set(got) == {page * 2400 + y * 60 + x for page in range(0, 2560, 256) for y, x in places}
     of = [{got[page * 2400 + y * 60 + x] for page in range(0, 2560, 256)} for y, x in places]
     assert all(len(c) == 1 for c in of) and len(set.union(*of)) == 6
+
+
+def test_recover_missing_over_all_boxes(spark, data):
+    from gridmason.functions.text import is_boothlike
+
+    pool = view(spark, data, "box_pool").collect()
+    spans = view(spark, data, "text_items").withColumn("like", is_boothlike(F.col("text"))).orderBy("page_id", "span_id").collect()
+    new = []
+    for t in spans:
+        cx, cy = (t.x0 + t.x1) / 2, (t.y0 + t.y1) / 2
+        held = any(b.page_id == t.page_id and b.x1 <= cx <= b.x2 and b.y1 <= cy <= b.y2 for b in pool)
+        if t.like and not held and not any(p == t.page_id and x1 <= cx <= x2 and y1 <= cy <= y2 for p, _, x1, y1, x2, y2 in new):
+            w, h = max(60.0, 1.6 * (t.x1 - t.x0)) / 2, max(60.0, 2.2 * (t.y1 - t.y0)) / 2
+            new.append((t.page_id, t.span_id, cx - w, cy - h, cx + w, cy + h))
+    got = {(r.page_id, r.span_id, r.x1, r.y1, r.x2, r.y2) for r in catalog.recover_missing(spark, data).collect()}
+    assert got == set(new)
+
+
+def test_components_of_all_pixels(spark, data):
+    """The operators of the five component queries over the whole view, which their SQL doesn't take."""
+    from gridmason.operators import raster
+
+    pixels = view(spark, data, "pixels").cache()
+    left = {(r.page_id, r.y, r.x) for r in pixels.collect()}
+    every, parts = set(left), {}
+    for start in sorted(every):
+        if start not in left:
+            continue
+        left.discard(start)
+        todo, own = [start], []
+        while todo:
+            p, y, x = todo.pop()
+            own.append((p, y, x))
+            near = {(p, y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        parts[start[0], (start[0] << 40) + (start[1] << 20) + start[2]] = own
+    label = raster.label(pixels, 8).cache()
+    assert {(r.page_id, r.y, r.x, r.label) for r in label.collect()} == {(*c, k[1]) for k, own in parts.items() for c in own}
+    assert max(map(len, parts.values())) > 20
+
+    bounds = lambda own: (min(c[2] for c in own), min(c[1] for c in own), max(c[2] for c in own) + 1, max(c[1] for c in own) + 1)
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    boxes = sorted((k[0], *bounds(own)) for k, own in parts.items() if area(bounds(own)) >= 4)
+    assert sorted((r.page_id, r.x1, r.y1, r.x2, r.y2) for r in raster.component_boxes(label, 4).collect()) == boxes
+    stats = sorted((k[0], b[0], b[1], b[2] - b[0], b[3] - b[1], len(own)) for k, own in parts.items() for b in [bounds(own)])
+    assert sorted((r.page_id, r.x, r.y, r.w, r.h, r.area) for r in raster.component_stats(label).collect()) == stats
+    best = {}
+    for (p, k), own in sorted(parts.items()):
+        if len(own) >= 5 and len(own) > len(best.get(p, [])):
+            best[p] = own
+    assert {(r.page_id, r.y, r.x) for r in raster.largest(label, F.lit(5)).collect()} == {c for own in best.values() for c in own}
+    edge = {k for k, own in parts.items() if any(c[1] in (0, 39) or c[2] in (0, 59) for c in own)}
+    assert {(r.page_id, r.label) for r in raster.touches_border(label, catalog.HEIGHT, catalog.WIDTH).collect()} == edge
