@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, word_count
+from .common import cut, stored, table, word_count
 
 #: Golden-ratio points as whole numbers: point i is (i * GOLDEN mod POINTS) / POINTS. GOLDEN is odd, so each period is a permutation.
 POINTS = 1 << 31
@@ -69,8 +69,8 @@ def schedule(spark, sources: DataFrame, slots: int) -> DataFrame:
     return ranked.select("slot", "source", (F.col("first") + F.col("within")).alias("rank"))
 
 
-def streams(sized: DataFrame, seed: int) -> DataFrame:
-    """Each document's place, start to start + size, in the shuffled word stream of its source."""
+def streams(sized: DataFrame, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each document's place, start to start + size, in the shuffled word stream of its source, with the columns in carry."""
     rows = sized.where("size > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("part", F.shiftrightunsigned("h", 52))
     per_part = rows.groupBy("source", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,10 +78,10 @@ def streams(sized: DataFrame, seed: int) -> DataFrame:
     inside = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    return rows.select("doc_id", "source", "size", (F.col("first") + F.col("inside")).alias("start"))
+    return rows.select("doc_id", "source", "size", (F.col("first") + F.col("inside")).alias("start"), *carry)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block: int = 1024, seed: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block: int = 1024, seed: int = 20, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their sizes and places, sources, the mix).
 
     The mix has a row for each run of words that a slot takes from a document: slot, source, rank, epoch, doc_id, start (the document's
@@ -90,10 +90,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block: int = 1024
     and no document gives more than CAP times its words.
 
     There are ceil(words / block) slots, 16 a source at least. Nulls: a null text has no words; null is a source,
-    after all others; null ids are kept. Repeated rows are documents of their own. Without words the mix is empty. Other columns are ignored.
+    after all others; null ids are kept. Repeated rows are documents of their own. Without words the mix is empty. Columns named in carry go with the
+    documents into the first and the last table; others are ignored.
     """
     spark = docs.sparkSession
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry))
     sources = cut(sources_of(sized, weights))
     words, n = sources.agg(F.sum("source_size"), F.count(F.lit(1))).first()
     slots = max(-(-(words or 0) // block), 16 * n) if words else 0
@@ -108,11 +109,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), block: int = 1024
     plan = plan.select("slot", "source", "rank", "epoch", (F.greatest("a", F.col("epoch") * size) - F.col("epoch") * size).alias("a"), (F.least("b", (F.col("epoch") + 1) * size) - F.col("epoch") * size).alias("b"))
     cell = lambda x: F.floor(x / block)
     plan = plan.withColumn("cell", F.explode(F.sequence(cell(F.col("a")), cell(F.col("b") - 1))))
-    placed = cut(streams(sized, seed))
-    pieces = placed.select("doc_id", F.col("source").alias("of"), "start", (F.col("start") + F.col("size")).alias("end"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("start") + F.col("size") - 1))).alias("at"))
+    placed = cut(streams(sized, seed, carry))
+    pieces = placed.select(*carry, "doc_id", F.col("source").alias("of"), "start", (F.col("start") + F.col("size")).alias("end"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("start") + F.col("size") - 1))).alias("at"))
     met = plan.join(pieces, F.col("source").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("at")) & (F.col("start") < F.col("b")) & (F.col("end") > F.col("a")) & (cell(F.greatest("start", "a")) == F.col("cell")))
-    taken = met.select("slot", "source", "rank", "epoch", "doc_id", "start", (F.greatest("start", "a") - F.col("start")).alias("from_word"), (F.least("end", "b") - F.col("start")).alias("to_word"))
-    empty = sized.where("size = 0").select("doc_id", "source", "size", F.lit(None).cast("long").alias("start"))
+    taken = met.select(*carry, "slot", "source", "rank", "epoch", "doc_id", "start", (F.greatest("start", "a") - F.col("start")).alias("from_word"), (F.least("end", "b") - F.col("start")).alias("to_word"))
+    empty = sized.where("size = 0").select("doc_id", "source", "size", F.lit(None).cast("long").alias("start"), *carry)
     return placed.unionByName(empty), sources, taken
 
 
@@ -128,13 +129,13 @@ def op3(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in their target weights: a document comes once for each round of its source's stream in which the mix takes half of its words or more.
 
-    Documents without words or without an id aren't in the mix.
+    Rows are told apart by a number of their own, so null ids and ids of several rows make no difference. Documents without words aren't in the mix.
     """
-    _, _, taken = mix(docs)
-    rounds = taken.where("doc_id is not null").groupBy("source", "start", "epoch", "doc_id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("got"))
-    sizes = docs.select(F.col("doc_id").alias("d"), word_count(F.col("text")).alias("n"))
-    halves = rounds.join(sizes, F.col("doc_id") == F.col("d")).where(2 * F.col("got") >= F.col("n"))
-    copies = halves.groupBy("d").agg(F.count(F.lit(1)).alias("copies"))
-    columns = docs.columns
-    rows = docs.select("doc_id", F.struct(*columns).alias("__row")).join(copies, F.col("doc_id") == F.col("d"))
-    return rows.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("__row.*")
+    whole = F.struct(*docs.columns).alias("doc")
+    numbered = stored(docs.select(whole, F.monotonically_increasing_id().alias("nth")))
+    placed, _, taken = mix(numbered.select("nth", "doc.doc_id", "doc.source", "doc.text"), carry=("nth",))
+    rounds = taken.groupBy("nth", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("got"))
+    halves = rounds.join(placed.select("nth", "size"), "nth").where(2 * F.col("got") >= F.col("size"))
+    copies = halves.groupBy("nth").agg(F.count(F.lit(1)).alias("copies"))
+    rows = numbered.join(copies, "nth")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")

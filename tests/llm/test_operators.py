@@ -166,6 +166,25 @@ def test_schedule_is_even(spark, docs):
         assert abs(half[s] - n / 2) <= 3
 
 
+def test_stage_mixes_rows_without_ids(spark):
+    """Each source gives its quota to within a document, also one of null ids, and one whose rows all share an id; each row has its own copies."""
+    r = random.Random(31)
+    text = lambda i: f"mark{i} " + " ".join(r.choice(WORDS) for _ in range(r.randint(5, 60)))
+    ids = {"a": lambda i: i, "b": lambda i: None, "c": lambda i: 7000}
+    rows = [(ids[s](i), text(i), s) for i, s in enumerate("abc" * 150)] + [(None, None, "a"), (None, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    out = mixing.stage(spark, docs, "").collect()
+    assert {tuple(x) for x in out} <= set(rows)
+    _, sources, _ = mixing.mix(docs)
+    got, most = collections.Counter(), collections.Counter()
+    for x in out:
+        got[x.source] += len(words(x.text))
+        most[x] += 1
+    for q in sources.collect():
+        assert abs(got[q.source] - q.quota) <= 61
+    assert max(most.values()) <= mixing.CAP
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------------------
 
 
