@@ -331,16 +331,19 @@ def _model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def pieces(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
-    """doc_id, n_pieces, ids, score, others, text_crc32 (of the text that ids decode to). Texts are encoded and decoded in one task, one batch after the other."""
+def pieces(docs: DataFrame, path: str, n: int = 4, *more: str) -> DataFrame:
+    """doc_id, n_pieces, ids, score, others, text_crc32 (of the text that ids decode to), and the columns named in more. Texts are encoded and decoded in one task, one batch after the other."""
+    keep = [F.col("doc_id").cast("long").alias("doc_id"), *more]
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*more).schema.fields) if more else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _encoded(batches, path, n):
-            doc_id, ids, score, others = b.columns
+            doc_id, *own, ids, score, others = b.columns
             crcs = [zlib.crc32(t.encode()) for t in _decoded(ids, lattice(path))]
-            yield pa.RecordBatch.from_arrays([doc_id, pc.list_value_length(ids).cast(pa.int64()), ids, score, others, pa.array(crcs, pa.int64())], names=["doc_id", "n_pieces", "ids", "score", "others", "text_crc32"])
+            columns = [doc_id, pc.list_value_length(ids).cast(pa.int64()), ids, score, others, pa.array(crcs, pa.int64()), *own]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "score", "others", "text_crc32", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_pieces long, {OUT}, text_crc32 long")
+    return docs.select(*keep, "text").mapInArrow(run, f"doc_id long, n_pieces long, {OUT}, text_crc32 long{kinds}")
 
 
 def op4(spark, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -348,6 +351,5 @@ def op4(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces: doc_id, lang, source, n_pieces, ids, score."""
-    coded = encode(docs.select("doc_id", "lang", "source", "text"), _model(), 1)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "score")
+    """Every document's pieces, encoded and decoded as in op4: doc_id, lang, source, n_pieces, ids, score, others, text_crc32."""
+    return pieces(docs, _model(), 4, "lang", "source").select("doc_id", "lang", "source", "n_pieces", "ids", "score", "others", "text_crc32")

@@ -250,6 +250,15 @@ def test_pieces_round_trip(spark, docs, none):
     assert pieces.pieces(none, MODEL).count() == 0
 
 
+def test_stage_encodes_and_decodes(spark, docs):
+    out = pieces.stage(spark, docs, "").collect()
+    row = lambda d, crc: (d.doc_id is None, d.doc_id or 0, str(d.lang), str(d.source), crc)
+    assert sorted(row(x, x.text_crc32) for x in out) == sorted(row(d, zlib.crc32((d.text or "").encode())) for d in docs.collect())
+    best = {(x.doc_id, x.n_pieces, x.score) for x in out}
+    assert best == {(x.doc_id, len(x.ids), x.score) for x in pieces.encode(docs.select("doc_id", "text"), MODEL, 1).collect()}
+    assert any(x.others for x in out) and all(o.score <= x.score and o.edits for x in out for o in x.others) and max(len(x.others) for x in out) == 3
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------------------------
 
 
