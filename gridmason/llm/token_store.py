@@ -232,11 +232,22 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(spark: SparkSession, at: str) -> DataFrame:
-    """The recipes of a store, after they have been held against its manifest."""
+    """The recipes of a store, after they have been held against its manifest, level by level up to the root."""
     recipes = spark.read.parquet(f"{at}/recipes")
-    stored = spark.read.parquet(f"{at}/manifest").where("level = 0").select(F.col("node").alias("n"), F.col("hash").alias("kept"))
-    if leaves(recipes).join(stored, F.col("node") == F.col("n"), "full").where(~F.col("hash").eqNullSafe(F.col("kept"))).limit(1).count():
-        raise ValueError("the recipes don't agree with the manifest")
+    manifest = spark.read.parquet(f"{at}/manifest").select("level", "node", "hash")
+    sizes = {r.level: r.n for r in manifest.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    top = max(sizes, default=0)
+    # an empty store has one empty level, any other a root alone at the top
+    if sorted(sizes) != list(range(len(sizes))) or sizes.get(top, 1) != 1:
+        raise ValueError("the manifest has no root or lacks a level")
+    own, bad = leaves(recipes), None
+    for depth in range(top + 1):
+        kept = manifest.where(F.col("level") == depth).select("node", "hash")
+        other = own.join(kept.select(F.col("node").alias("n"), F.col("hash").alias("kept")), F.col("node") == F.col("n"), "full").where(~F.col("hash").eqNullSafe(F.col("kept"))).select(F.lit(depth).alias("level"))
+        bad = other if bad is None else bad.unionByName(other)
+        own = parents(kept)
+    if bad.limit(1).count():
+        raise ValueError("the recipes or a level of the manifest don't agree with the level above")
     return recipes
 
 

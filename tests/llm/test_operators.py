@@ -627,6 +627,37 @@ def test_store_notices_changes(spark, docs, tmp_path):
         token_store.checksums(spark, at)
 
 
+def test_store_notices_changes_above_the_leaves(spark, docs, tmp_path, monkeypatch):
+    """Recipes and level 0 that change together, a damaged upper level, a missing one and a missing root."""
+    import shutil
+
+    monkeypatch.setattr(token_store, "FAN", 4)
+    at = f"file://{tmp_path}/store"
+    token_store.write(docs, at, BPE)
+    levels = sorted(p.name for p in (tmp_path / "store/manifest").iterdir() if p.name.startswith("level="))
+    assert len(levels) > 3 and token_store.verified(spark, at).count() == docs.count()
+
+    def broken(name, change):
+        shutil.copytree(tmp_path / "store", tmp_path / name)
+        change(tmp_path / name)
+        with pytest.raises(ValueError):
+            token_store.verified(spark, f"file://{tmp_path}/{name}")
+
+    def together(to):
+        rows = spark.read.parquet(f"file://{at[7:]}/recipes").selectExpr("seq", "doc_id", "start", "n_tokens + 1 AS n_tokens", "hashes")
+        rows.write.mode("overwrite").parquet(f"file://{to}/recipes")
+        token_store.leaves(spark.read.parquet(f"file://{to}/recipes")).write.mode("overwrite").parquet(f"file://{to}/manifest/level=0")
+
+    def damaged(to):
+        rows = spark.read.parquet(f"file://{at[7:]}/manifest/level=2").selectExpr("node", "sha2(hash, 256) AS hash")
+        rows.write.mode("overwrite").parquet(f"file://{to}/manifest/level=2")
+
+    broken("together", together)
+    broken("damaged", damaged)
+    broken("no_level", lambda to: shutil.rmtree(to / "manifest" / levels[1]))
+    broken("no_root", lambda to: shutil.rmtree(to / "manifest" / levels[-1]))
+
+
 def test_crc_and_cuts():
     r = np.random.default_rng(13)
     a, b = r.bytes(1000), r.bytes(777)
