@@ -16,7 +16,8 @@ STAGES = [
     ("pieces", pieces.stage),
 ]
 
-#: The stages' hashes, search and fitted model have no SQL form; tests hold each stage against a plain version.
+#: The stages' hashes, search and fitted model have no SQL form. Tests hold the near-duplicate search against brute force, the mixing stage against its quotas and the pieces stage against
+#: its texts; the quality and toxicity stages have no test of their own beyond those of their operators.
 ORACLE_SQL = None
 
 
