@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -31,11 +32,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders of the tables that stored() wrote and release() has not removed.
+_LEFT: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """As cut, but as compressed Parquet: for tables of many rows. The folder lies beside the checkpoints and stays, as they do, until someone clears it."""
-    to = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """As cut, but as compressed Parquet: for tables of many rows. The folder lies beside the checkpoints; it goes with release(), or when the driver's Python ends."""
+    spark = df.sparkSession
+    to = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    _LEFT[to] = spark
     df.write.option("compression", codec).parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    out = spark.read.schema(df.schema).parquet(to)
+    out._gridmason_folder = to
+    return out
+
+
+def _remove(folder: str) -> None:
+    spark = _LEFT.pop(folder, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that stored() wrote and nothing reads any more."""
+    for t in tables:
+        _remove(t._gridmason_folder)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for folder in list(_LEFT):
+        try:
+            _remove(folder)
+        except Exception:  # noqa: BLE001  the JVM may have ended first
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

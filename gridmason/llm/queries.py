@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": chat.ORACLE,
+    "op3_mixing": mixing.ORACLE,
     "op8_quality": quality.ORACLE,
 }
