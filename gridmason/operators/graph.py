@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -27,20 +28,32 @@ def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             low = up
 
 
-def page_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """page_id, box_id, comp (the smallest box_id connected with it) of every node, by edges i-j of the same page. One page is held at a time."""
+def page_components(nodes: DataFrame, edges: DataFrame, size: bool = False) -> DataFrame:
+    """nodes (page_id, box_id and any other columns) with comp, the smallest box_id connected with each by edges i-j of the same page; with size, also n, the number of boxes in comp.
+
+    One page's boxes and edges are held at a time, and labelled in time and memory in proportion to them.
+    """
 
     def run(own: pa.Table, links: pa.Table) -> pa.Table:
-        ids = np.sort(own.column("box_id").to_numpy())
-        at = lambda c: np.searchsorted(ids, links.column(c).to_numpy())
-        low = union_find(len(ids), at("i"), at("j")) if links.num_rows else np.arange(len(ids))
-        page = own.column("page")[0].as_py() if own.num_rows else 0
-        return pa.table({"page_id": np.full(len(ids), page, np.int64), "box_id": ids, "comp": ids[low]})
+        ids = own.column("box_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        low = np.arange(len(ids))
+        if links.num_rows and len(ids):
+            at = lambda c: np.searchsorted(ids, links.column(c).to_numpy(), sorter=order)
+            low = union_find(len(ids), at("i"), at("j"))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(ids))
+        low = low[place]
+        own = own.rename_columns(fields[: own.num_columns]).append_column("comp", pa.array(ids[order][low]))
+        return own.append_column("n", pa.array(np.bincount(low, minlength=len(ids))[low])) if size else own
 
     # both sides may come from the same table, so their columns get names of their own
-    left = nodes.select(F.col("page_id").alias("page"), F.col("box_id")).groupBy("page")
+    schema = StructType(list(nodes.schema.fields)).add("comp", "long")
+    schema = schema.add("n", "long") if size else schema
+    fields = list(schema.names)
+    left = nodes.select(*[F.col(c).alias("page" if c == "page_id" else c) for c in nodes.columns]).groupBy("page")
     right = edges.select(F.col("page_id").alias("of_page"), F.col("i").alias("i"), F.col("j").alias("j")).groupBy("of_page")
-    return left.cogroup(right).applyInArrow(run, "page_id long, box_id long, comp long")
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 def _cut(df: DataFrame) -> DataFrame:
