@@ -102,6 +102,16 @@ def clipped(b: Box, crop_w: Column, crop_h: Column, left: Column, top: Column, p
     return ((b.x1 <= edge) & (left > 0)) | ((b.x2 >= crop_w - edge) & (left + crop_w < page_w)) | ((b.y1 <= edge) & (top > 0)) | ((b.y2 >= crop_h - edge) & (top + crop_h < page_h))
 
 
+def under_cap(b: Box, crop_w: Column, crop_h: Column, share: float) -> Column:
+    """A crop's box takes no more than this share of the crop; no limit if the share isn't positive."""
+    return b.area <= share * crop_w * crop_h if share > 0 else F.lit(True)
+
+
+def on_page(b: Box, left: Column, top: Column) -> Box:
+    """A crop's box in the page's coordinates."""
+    return Box(b.x1 + left, b.y1 + top, b.x2 + left, b.y2 + top)
+
+
 def area_floor(min_area: int, share: float, crop_w: Column, crop_h: Column) -> Column:
     """The least area of a component: a share of the crop, rounded half to even, but min_area at least."""
     return F.greatest(F.lit(min_area), F.bround(F.lit(share) * crop_w * crop_h)).cast("long") if share > 0 else F.lit(min_area).cast("long")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .graph import union_find
-from .suppress import prefer_fine
+from .suppress import finest
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,9 @@ class Tuning:
     bright_contrast: int = 10
     tilt_low: float = 8.0
     tilt_high: float = 82.0
+    dense_background: float = 0.68
+    dense_color: float = 0.18
+    dense_tolerance: int = 12
 
 
 def planes(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,18 +170,44 @@ def page_background(bgr: np.ndarray, barrier: np.ndarray, t: Tuning) -> np.ndarr
     white = int(np.clip(int(np.percentile(plain, 80)) if plain.size > 1000 else 245, 200, 255))
     open_ = (v >= white - 60) & (s < 40) & ~dilate((v < t.dark) | barrier, 3)
     labels = components(open_, 4)
-    return np.isin(labels, np.setdiff1d(border_labels(labels), [0]))
+    loose = np.isin(labels, np.setdiff1d(border_labels(labels), [0]))
+    if loose.mean() > t.dense_background and (s > 40).mean() < t.dense_color:
+        return alike_background(bgr, dilate((v < t.dark) | barrier, 3), (s < 40) & (v >= white - 50), t.dense_tolerance)
+    return loose
+
+
+def alike_background(bgr: np.ndarray, walls: np.ndarray, seeds: np.ndarray, tolerance: int) -> np.ndarray:
+    """On dense pages, what the border reaches over pixels of nearly its own colour: from each seed on the border that isn't reached yet, every channel within the tolerance of the seed's, around walls and what is reached."""
+    h, w = walls.shape
+    reached = np.zeros((h, w), bool)
+    step = max(1, min(h, w) // 120)
+    colors = bgr.astype(np.int16)
+    top, side = np.arange(0, w, step), np.arange(0, h, step)
+    for y, x in [(y, x) for x in top for y in (0, h - 1)] + [(y, x) for y in side for x in (0, w - 1)]:
+        if seeds[y, x] and not walls[y, x] and not reached[y, x]:
+            labels = components((np.abs(colors - colors[y, x]).max(axis=2) <= tolerance) & ~walls & ~reached, 4)
+            reached |= labels == labels[y, x]
+    return reached
+
+
+def candidates(found: np.ndarray, source: str) -> list[dict]:
+    """Rows of stats() as candidates."""
+    return [{"bbox": tuple(map(int, row[:4])), "area": float(row[4]), "centroid": (row[5], row[6]), "source": source} for row in found]
+
+
+def dense_enough(found: np.ndarray, t: Tuning) -> np.ndarray:
+    """Whether components fill their boxes and aren't narrow."""
+    w, h, n = found[:, 2], found[:, 3], found[:, 4]
+    return (np.minimum(w, h) >= t.least_side) & (n >= t.least_fill * w * h)
 
 
 def shaped(fg: np.ndarray, source: str, t: Tuning) -> list[dict]:
-    h, w = fg.shape
-    out = []
-    for x, y, bw, bh, n, cx, cy in stats(components(fg, 4)):
-        if not t.least_area * fg.size <= n <= t.most_area * fg.size or min(bw, bh) < t.least_side or n / (bw * bh) < t.least_fill or min(bw, bh) / max(bw, bh) < t.least_aspect:
-            continue
-        if x > 2 and y > 2 and x + bw < w - 2 and y + bh < h - 2:
-            out.append({"bbox": (int(x), int(y), int(bw), int(bh)), "area": float(n), "centroid": (cx, cy), "source": source})
-    return out
+    """The components that look like cells, clear of the crop's border by two pixels."""
+    found = stats(components(fg, 4))
+    x, y, w, h, n = found[:, :5].T
+    inside = (x > 2) & (y > 2) & (x + w < fg.shape[1] - 2) & (y + h < fg.shape[0] - 2)
+    middling = (n >= t.least_area * fg.size) & (n <= t.most_area * fg.size)
+    return candidates(found[inside & middling & dense_enough(found, t) & (np.minimum(w, h) >= t.least_aspect * np.maximum(w, h))], source)
 
 
 def cells(bgr: np.ndarray, t: Tuning, share: float) -> list[dict]:
@@ -196,38 +225,81 @@ def bright_cells(bgr: np.ndarray, t: Tuning) -> list[dict]:
     return shaped(erode(fill_holes(bright & ~cut_lines(bgr, t, t.line_share), 6e-4 * gray.size), 3), "bright", t)
 
 
+def inner_grid(gray: np.ndarray, t: Tuning) -> np.ndarray:
+    """Dark lines that span much of a cell, gaps in them bridged."""
+    lines = median(gray, max(11, min(gray.shape) // 4 | 1)) - gray > t.split_contrast
+    flat, upright = (max(8, int(t.split_span * n)) for n in gray.shape[::-1])
+    return opened(closed(lines, 1, t.split_bridge), 1, flat) | opened(closed(lines, t.split_bridge, 1), upright, 1)
+
+
+def pieces_of(gray: np.ndarray, least: float, t: Tuning) -> np.ndarray:
+    """stats() of the parts that a cell's inner lines cut out, of `least` pixels or more."""
+    grid = inner_grid(gray, t)
+    if grid.mean() < 1e-3:
+        return np.empty((0, 7))
+    found = stats(components(erode(~grid, 3), 4))
+    return found[dense_enough(found, t) & (found[:, 4] >= least)]
+
+
 def subdivide(bgr: np.ndarray, found: list[dict], t: Tuning) -> list[dict]:
-    """Large cells as the pieces that lines inside them make, if there are two or more and they make up 45 % of the cell."""
+    """Large cells as the pieces that lines inside them make, if there are two or more and they make up 45 % of the cell. Pieces have no quad."""
     gray = planes(bgr)[2]
-    out = []
-    for c in found:
+
+    def parts(c: dict) -> list[dict]:
         x, y, w, h = c["bbox"]
-        pieces: list[dict] = []
-        if w * h >= t.split_area * gray.size and min(w, h) >= t.split_side:
-            sub = gray[y : y + h, x : x + w]
-            lines = median(sub, max(11, min(sub.shape) // 4 | 1)) - sub > t.split_contrast
-            grid = opened(closed(lines, 1, t.split_bridge), 1, max(8, int(t.split_span * w))) | opened(closed(lines, t.split_bridge, 1), max(8, int(t.split_span * h)), 1)
-            if grid.mean() >= 1e-3:
-                for px, py, pw, ph, n, cx, cy in stats(components(erode(~grid, 3), 4)):
-                    if n >= max(t.least_area * gray.size, 0.12 * w * h) and min(pw, ph) >= t.least_side and n / (pw * ph) >= t.least_fill:
-                        pieces.append({"bbox": (int(x + px), int(y + py), int(pw), int(ph)), "area": float(n), "centroid": (x + cx, y + cy), "source": c["source"]})
-        out += pieces if len(pieces) >= 2 and sum(p["area"] for p in pieces) > 0.45 * w * h else [c]
-    return out
+        if w * h < t.split_area * gray.size or min(w, h) < t.split_side:
+            return [c]
+        own = pieces_of(gray[y : y + h, x : x + w], max(t.least_area * gray.size, 0.12 * w * h), t)
+        if len(own) < 2 or own[:, 4].sum() <= 0.45 * w * h:
+            return [c]
+        return candidates(own + [x, y, 0, 0, 0, x, y], c["source"])
+
+    return [p for c in found for p in parts(c)]
+
+
+def without_coarse(found: list[dict]) -> list[dict]:
+    """The candidates that finest() keeps."""
+    boxes = np.array([c["bbox"] for c in found], float).reshape(-1, 4)
+    boxes[:, 2:] += boxes[:, :2]
+    return [found[i] for i in finest(boxes, np.array([c["area"] for c in found]))]
+
+
+def line_segments(mask: np.ndarray, votes: int, least: int, gap: int = 8) -> np.ndarray:
+    """Rows x1, y1, x2, y2: straight segments of a mask by the Hough transform.
+
+    Every pixel votes for the lines through it, by the angle of their normal in whole degrees and the distance from the corner in whole pixels. Lines come by votes; on one of `votes` or more pixels that no
+    segment has yet, those that follow one another within `gap` are a segment if they reach `least`, and are used up.
+    """
+    ys, xs = np.nonzero(mask)
+    out: list[np.ndarray] = []
+    if not len(xs):
+        return np.empty((0, 4))
+    angles = np.radians(np.arange(180))
+    far = int(np.hypot(*mask.shape)) + 1
+    off = lambda a: np.rint(xs * np.cos(a) + ys * np.sin(a)).astype(np.int64)
+    counts = np.stack([np.bincount(off(a) + far, minlength=2 * far + 1) for a in angles])
+    strong = np.argwhere(counts >= votes)
+    free = np.ones(len(xs), bool)
+    for k, place in strong[np.argsort(-counts[tuple(strong.T)], kind="stable")]:
+        on = np.flatnonzero(free & (off(angles[k]) + far == place))
+        if len(on) < votes:
+            continue
+        along = ys[on] * np.cos(angles[k]) - xs[on] * np.sin(angles[k])
+        order = np.argsort(along, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(along[order]) > gap) + 1):
+            if along[part[-1]] - along[part[0]] >= least:
+                out.append(np.array([xs[on[part[0]]], ys[on[part[0]]], xs[on[part[-1]]], ys[on[part[-1]]]]))
+                free[on[part]] = False
+    return np.array(out, float).reshape(-1, 4)
 
 
 def dominant_tilt(lines: np.ndarray, t: Tuning) -> float | None:
-    """The most frequent slant, in steps of three degrees, of a mask's straight components, if twenty or more are slanted and they are a tenth of all."""
-    angles = []
-    labels = components(lines, 8)
-    ys, xs = np.nonzero(labels)
-    order = np.argsort(labels[ys, xs], kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(labels[ys, xs][order])) + 1):
-        if len(part) >= 0.05 * min(lines.shape):
-            spread = np.cov(np.stack([xs[part], ys[part]])) if len(part) > 2 else np.eye(2)
-            value, vector = np.linalg.eigh(spread)
-            if value[0] < 0.02 * value[1]:
-                angles.append((np.degrees(np.arctan2(vector[1, 1], vector[0, 1])) + 90) % 180 - 90)
-    slanted = [a for a in angles if t.tilt_low < abs(a) < t.tilt_high]
+    """The most frequent slant, in steps of three degrees, of a mask's straight segments, if twenty or more are slanted and they are a tenth of all."""
+    side = min(lines.shape)
+    x1, y1, x2, y2 = line_segments(lines, max(1, int(0.10 * side)), int(0.05 * side)).T
+    angles = np.degrees(np.arctan2(y2 - y1, x2 - x1)) % 180
+    angles = np.where(angles > 90, angles - 180, angles)
+    slanted = angles[(np.abs(angles) > t.tilt_low) & (np.abs(angles) < t.tilt_high)]
     if len(slanted) < max(20, 0.10 * len(angles)):
         return None
     n, edges = np.histogram(slanted, bins=np.arange(-90, 91, 3))
@@ -275,9 +347,9 @@ def detect(bgr: np.ndarray, t: Tuning = Tuning(), tilt: bool = True, bright: boo
             quad = np.array([[x, y], [x + w, y], [x + w, y + h], [x, y + h]]) @ back.T + shift
             low, high = quad.min(axis=0), quad.max(axis=0)
             found.append(c | {"bbox": (*low.astype(int).tolist(), *(high - low).astype(int).tolist()), "quad": quad, "centroid": tuple(quad.mean(axis=0))})
-    found = prefer_fine(found)
+    found = without_coarse(found)
     if split:
-        found = prefer_fine(subdivide(work, found, t))
+        found = without_coarse(subdivide(work, found, t))
     out = []
     for c in found:
         quad = c.get("quad")

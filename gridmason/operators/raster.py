@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +41,17 @@ def hue(pixels: DataFrame) -> DataFrame:
 
 
 def hue_bands(pixels: DataFrame, k: int = 3, s_min: int = 60, v_min: int = 60, half: int = 8) -> DataFrame:
-    """rank, hue, n, lo, hi: up to k hues of most pixels that are saturated and bright enough, each more than `half` from those before, around the circle; of equal ones the larger.
+    """page_id, rank, hue, n, lo, hi: of each page up to k hues of most pixels that are saturated and bright enough, each more than `half` from those before, around the circle; of equal ones the larger.
 
-    The histogram has 180 rows at most; bands end at 0 and 179.
+    A page's histogram has 180 rows at most; bands end at 0 and 179.
     """
-    counts = hue(pixels).where((F.col("s") >= s_min) & (F.col("v") >= v_min)).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts = hue(pixels).where((F.col("s") >= s_min) & (F.col("v") >= v_min)).groupBy("page_id", "h").agg(F.count(F.lit(1)).alias("n"))
     order = F.reverse(F.sort_array(F.collect_list(F.struct("n", "h"))))
     far = lambda a, b: F.least(F.abs(a - b), 180 - F.abs(a - b)) > half
     none = F.array().cast("array<struct<n:bigint,h:int>>")
     take = lambda acc, x: F.when((F.size(acc) < k) & F.forall(acc, lambda p: far(p["h"], x["h"])), F.concat(acc, F.array(x))).otherwise(acc)
-    peaks = counts.agg(F.aggregate(order, none, take).alias("peaks")).select(F.posexplode("peaks").alias("i", "p"))
-    return peaks.select((F.col("i") + 1).alias("rank"), F.col("p.h").alias("hue"), F.col("p.n").alias("n"), F.greatest(F.lit(0), F.col("p.h") - half).alias("lo"), F.least(F.lit(179), F.col("p.h") + half).alias("hi"))
+    peaks = counts.groupBy("page_id").agg(F.aggregate(order, none, take).alias("peaks")).select("page_id", F.posexplode("peaks").alias("i", "p"))
+    return peaks.select("page_id", (F.col("i") + 1).alias("rank"), F.col("p.h").alias("hue"), F.col("p.n").alias("n"), F.greatest(F.lit(0), F.col("p.h") - half).alias("lo"), F.least(F.lit(179), F.col("p.h") + half).alias("hi"))
 
 
 def _window(mask: DataFrame, kh: int, kw: int) -> DataFrame:
@@ -169,15 +173,37 @@ def fill_holes(mask: DataFrame, most: int, height: int, width: int) -> DataFrame
     return mask.select(*PIXEL).unionByName(holes.select(*PIXEL))
 
 
-def background(pixels: DataFrame, barriers: DataFrame, height: int, width: int) -> DataFrame:
-    """page_id, y, x: what can be reached from the border over bright, unsaturated pixels without crossing the barriers, these dilated by a pixel. Brightness counts from 60 below the page's white."""
+def background(pixels: DataFrame, barriers: DataFrame, height: int, width: int, dense: tuple[float, float] = (0.68, 0.18), tolerance: int = 12) -> DataFrame:
+    """page_id, y, x: what can be reached from the border over bright, unsaturated pixels without crossing the barriers, these dilated by a pixel. Brightness counts from 60 below the page's white.
+
+    Where this is more than dense[0] of a page of which less than dense[1] is coloured, the page is dense: there the background is what the border reaches over pixels of nearly its own colour instead. Such a
+    page is one group, an image.
+    """
+    from .detect import alike_background
+
     p = planes(pixels)
-    white = p.groupBy("page_id").agg(F.count_if(F.col("s") < 25).alias("n"), F.percentile(F.when(F.col("s") < 25, F.col("v")), F.lit(0.8)).alias("q"))
-    white = white.select("page_id", F.greatest(F.lit(200), F.least(F.lit(255), F.when(F.col("n") > 1000, F.col("q").cast("int")).otherwise(F.lit(245)))).alias("white"))
+    white = p.groupBy("page_id").agg(F.count_if(F.col("s") < 25).alias("n"), F.percentile(F.when(F.col("s") < 25, F.col("v")), F.lit(0.8)).alias("q"), F.count_if(F.col("s") > 40).alias("colored"))
+    level = F.greatest(F.lit(200), F.least(F.lit(255), F.when(F.col("n") > 1000, F.col("q").cast("int")).otherwise(F.lit(245)))).cast("int")
+    white = white.select("page_id", level.alias("white"), (F.col("colored") < dense[1] * height * width).alias("plain"))
+    walls = dilate(barriers, 3, None, height, width)
     free = p.join(white, "page_id").where((F.col("v") >= F.col("white") - 60) & (F.col("s") < 40)).select(*PIXEL)
-    open_ = free.join(dilate(barriers, 3, None, height, width), list(PIXEL), "left_anti")
-    labels = label(open_, 4)
-    return labels.join(touches_border(labels, height, width), ["page_id", "label"], "left_semi").select(*PIXEL)
+    labels = label(free.join(walls, list(PIXEL), "left_anti"), 4)
+    loose = labels.join(touches_border(labels, height, width), ["page_id", "label"], "left_semi").select(*PIXEL)
+    share = loose.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    tight = share.where(F.col("n") > dense[0] * height * width).join(white.where("plain"), "page_id").select("page_id", "white")
+
+    def run(page: pa.Table) -> pa.Table:
+        y, x, *bgr, wall, seed = (page.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "b", "g", "r", "wall", "seed"))
+        image, solid, seeds = np.zeros((height, width, 3), np.uint8), np.ones((height, width), bool), np.zeros((height, width), bool)
+        image[y, x], solid[y, x], seeds[y, x] = np.stack(bgr, axis=1), wall, seed
+        ys, xs = np.nonzero(alike_background(image, solid, seeds, tolerance))
+        return pa.table({"page_id": np.full(len(ys), page.column("page_id")[0].as_py()), "y": ys, "x": xs})
+
+    walled = walls.select(*PIXEL, F.lit(True).alias("wall"))
+    rows = p.join(tight, "page_id").join(walled, list(PIXEL), "left")
+    rows = rows.select(*PIXEL, "b", "g", "r", F.coalesce("wall", F.lit(False)).alias("wall"), ((F.col("s") < 40) & (F.col("v") >= F.col("white") - 50)).alias("seed"))
+    kinds = loose.schema
+    return loose.join(tight.select("page_id"), "page_id", "left_anti").unionByName(rows.groupBy("page_id").applyInArrow(run, "page_id long, y long, x long").select(*[F.col(f.name).cast(f.dataType) for f in kinds.fields]))
 
 
 def walkway(pixels: DataFrame, height: int, width: int, low: int = 95, high: int = 205, share: float = 0.015) -> DataFrame:
@@ -192,8 +218,13 @@ def bordered_cells(pixels: DataFrame, height: int, width: int, dark: int = 128,
     return component_boxes(label(inverse(dilate(lines, seal, None, height, width), height, width), 8), least, "pixels")
 
 
-def median(pixels: DataFrame, k: int = 3, value: str = "gray") -> DataFrame:
-    """page_id, y, x, median: the exact middle value of the k by k pixels about each, of those there are (the lower of two)."""
+def median(pixels: DataFrame, k: int = 3, value: str = "gray", tile: int = 256) -> DataFrame:
+    """page_id, y, x, median: the exact middle value of the k by k pixels about each, of those there are (the lower of two).
+
+    Small kernels are gathered pixel by pixel. For others, pages are cut to tiles, with what lies half a kernel about them, and a tile's windows are counted by running sums, whatever their size.
+    """
+    if k > 5:
+        return _median_by_tile(pixels, k, value, tile)
     around = lambda c: F.explode(F.sequence(F.col(c) - k // 2, F.col(c) + k // 2))
     near = pixels.select("page_id", around("y").alias("y"), "x", value).select("page_id", "y", around("x").alias("x"), value)
     middle = near.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(value)).alias("all"))
@@ -201,6 +232,42 @@ def median(pixels: DataFrame, k: int = 3, value: str = "gray") -> DataFrame:
     return own.join(middle, list(PIXEL)).select(*PIXEL, F.element_at("all", F.floor((F.size("all") + 1) / 2).cast("int")).alias("median"))
 
 
+def _median_by_tile(pixels: DataFrame, k: int, value: str, tile: int) -> DataFrame:
+    half = k // 2
+
+    def run(part: pa.Table) -> pa.Table:
+        page, ty, tx, y, x, v = (part.column(i).to_numpy() for i in range(6))
+        top, left = ty[0] * tile - half, tx[0] * tile - half
+        levels, code = np.unique(v, return_inverse=True)
+        there = np.zeros((tile + 2 * half + 1, tile + 2 * half + 1), bool)
+        codes = np.zeros(there.shape, np.int64)
+        there[y - top, x - left], codes[y - top, x - left] = True, code
+
+        def counted(mask: np.ndarray) -> np.ndarray:
+            sums = np.pad(mask.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+            return sums[k:, k:] - sums[:-k, k:] - sums[k:, :-k] + sums[:-k, :-k]
+
+        inner = (y - top >= half) & (y - top < half + tile) & (x - left >= half) & (x - left < half + tile)
+        at = (y[inner] - top - half, x[inner] - left - half)
+        wanted = (counted(there)[at] + 1) // 2
+        found = np.zeros(len(wanted), np.int64)
+        for bit in 1 << np.arange(int(len(levels)).bit_length())[::-1]:
+            ask = found + bit
+            below = np.zeros(len(found), np.int64)
+            for level in np.unique(ask[ask < len(levels)]):
+                own = ask == level
+                below[own] = counted(there & (codes < level))[at[0][own], at[1][own]]
+            found = np.where((ask < len(levels)) & (below < wanted), ask, found)
+        return pa.table({"page_id": page[inner], "y": y[inner], "x": x[inner], "median": levels[found]})
+
+    span = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - half) / tile)), F.floor((F.col(c) + half) / tile)))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    rows = pixels.select(long("page_id"), span("y").alias("ty"), long("y"), long("x"), F.col(value).cast("long").alias("v")).select("page_id", "ty", span("x").alias("tx"), "y", "x", "v")
+    found = rows.groupBy("page_id", "ty", "tx").applyInArrow(run, "page_id long, y long, x long, median long")
+    of = {**{c: pixels.schema[c].dataType for c in PIXEL}, "median": pixels.schema[value].dataType}
+    return found.select(*[F.col(c).cast(t).alias(c) for c, t in of.items()])
+
+
 def sobel(pixels: DataFrame, height: int, width: int, value: str = "s") -> DataFrame:
     """page_id, y, x, magnitude of the gradient by 3 by 3 Sobel kernels; beyond the border its pixels repeat. Every pixel of the page must be there."""
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(-dx * (2 - abs(dy))).alias("wx"), F.lit(-dy * (2 - abs(dx))).alias("wy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy])
@@ -218,17 +285,20 @@ def shape_filter(stats: DataFrame, height: int, width: int, low: float = 8e-5, h
     return stats.where(F.col("area").between(low * total, high * total) & (small >= side) & clear & (F.col("area") / (F.col("w") * F.col("h")) >= fill) & (small / large >= aspect))
 
 
+#: The detectors of each mode.
+PASSES = {"all": ("color", "bordered", "opencv_strict"), "both": ("color", "bordered"), "color": ("color",), "bordered": ("bordered",), "geometric": ("opencv_strict",)}
+
+
 def color_cells(pixels: DataFrame, bands: list[tuple[list[int], list[int]]], least: int = 1, height: int | None = None, width: int | None = None) -> DataFrame:
     """Boxes of the components of a colour mask."""
     return component_boxes(label(color_mask(pixels, bands, 3, 3, height, width), 8), least)
 
 
-def ensemble(**pools: DataFrame) -> DataFrame:
-    """The detectors' boxes in one pool, each with its detector's name as source and that source's score."""
+def ensemble(mode: str = "all", **pools: DataFrame) -> DataFrame:
+    """The boxes of the mode's detectors in one pool, each with its detector's name as source and that source's score. Detectors of other modes are left out."""
     from ..functions.geometry import source_score
 
-    out = None
-    for name, boxes in pools.items():
-        rows = boxes.select("page_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(name).alias("source")).withColumn("score", source_score(F.col("source")))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    if mode not in PASSES:
+        raise ValueError(f"mode must be one of {tuple(PASSES)}")
+    sided = [boxes.select("page_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(name).alias("source")) for name, boxes in pools.items() if name in PASSES[mode]]
+    return functools.reduce(DataFrame.unionByName, sided).withColumn("score", source_score(F.col("source")))
