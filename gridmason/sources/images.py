@@ -122,26 +122,61 @@ def jpeg_comment(raw: bytes) -> str:
     return ""
 
 
-def _exif(comment: bytes) -> bytes:
-    """An EXIF segment that holds nothing but a user comment."""
+def _rows(tiff: bytes, order: str, at: int) -> tuple[dict[int, bytes], bytes]:
+    """(the entries of a TIFF directory by tag, as they stand; the offset of the next one, as it stands)."""
+    n = struct.unpack(order + "H", tiff[at : at + 2])[0]
+    rows = [tiff[at + 2 + 12 * i : at + 14 + 12 * i] for i in range(n)]
+    if any(len(r) < 12 for r in rows):
+        raise ValueError("a TIFF directory is cut off")
+    return {struct.unpack(order + "H", r[:2])[0]: r for r in rows}, tiff[at + 2 + 12 * n : at + 6 + 12 * n].ljust(4, b"\0")
+
+
+def _with_comment(tiff: bytes, comment: bytes) -> bytes:
+    """TIFF data with another user comment. The two directories that lead to it are written anew at the end; whatever else there is stays in its place, so offsets into it hold."""
+    order = {b"II": "<", b"MM": ">"}[tiff[:2]]
+    pack = lambda f, *v: struct.pack(order + f, *v)
+    place = lambda v: struct.unpack(order + "I", v)[0]
+    out = bytearray(tiff + b"\0" * (len(tiff) % 2))
+
+    def add(rows: dict[int, bytes], after: bytes) -> int:
+        at = len(out)
+        out.extend(pack("H", len(rows)) + b"".join(rows[t] for t in sorted(rows)) + after)
+        return at
+
     text = COMMENT + comment
-    top = struct.pack("<HHHII", 1, EXIF_POINTER, 4, 1, 26) + struct.pack("<I", 0)
-    inner = struct.pack("<HHHII", 1, USER_COMMENT, 7, len(text), 44) + struct.pack("<I", 0)
-    body = b"Exif\0\0" + b"II*\0" + struct.pack("<I", 8) + top + inner + text
-    return b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body
+    at = len(out)
+    out.extend(text + b"\0" * (len(text) % 2))
+    top, after_top = _rows(tiff, order, place(tiff[4:8]))
+    inner, after = _rows(tiff, order, place(top[EXIF_POINTER][8:])) if EXIF_POINTER in top else ({}, bytes(4))
+    inner[USER_COMMENT] = pack("HHII", USER_COMMENT, 7, len(text), at)
+    top[EXIF_POINTER] = pack("HHII", EXIF_POINTER, 4, 1, add(inner, after))
+    out[4:8] = pack("I", add(top, after_top))
+    return bytes(out)
+
+
+def _exif(comment: bytes, old: bytes | None = None) -> bytes:
+    """An EXIF segment with a user comment, and with what an old one's TIFF data hold besides, unless they are damaged or leave no room."""
+    bare = b"II*\0" + struct.pack("<I", 8) + struct.pack("<HI", 0, 0)
+    try:
+        tiff = _with_comment(old or bare, comment)
+    except (ValueError, KeyError, struct.error):
+        tiff = b""
+    if not tiff or len(tiff) > 0xFFFF - 8:
+        tiff = _with_comment(bare, comment)
+    return b"\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff
 
 
 def read_metadata(raw: bytes | None) -> dict[str, str] | None:
-    """phash, date and whatever else was stored, or None: a JPEG file's from JSON in its comment, a PNG file's from its texts, which must have both."""
+    """phash, date and whatever else was stored, or None: a JPEG file's from JSON in its comment, a PNG file's from its texts, which must have both. A damaged file has none."""
     raw = bytes(raw or b"")
-    if raw.startswith(PNG):
-        found = png_texts(raw)
-    elif raw.startswith(b"\xff\xd8\xff"):
-        try:
+    try:
+        if raw.startswith(PNG):
+            found = png_texts(raw)
+        elif raw.startswith(b"\xff\xd8\xff"):
             found = json.loads(jpeg_comment(raw) or "{}")
-        except ValueError:
+        else:
             return None
-    else:
+    except (ValueError, struct.error, zlib.error):
         return None
     if not isinstance(found, dict) or not found.get("phash") or not found.get("date"):
         return None
@@ -149,7 +184,7 @@ def read_metadata(raw: bytes | None) -> dict[str, str] | None:
 
 
 def write_metadata(raw: bytes | None, phash: str, date: str, extra: dict[str, str] | None = None) -> bytes:
-    """The file with the metadata in it: unchanged if it holds the same phash, a date and all extras, or is of another format."""
+    """The file with the metadata in it, and all else that it holds: unchanged if it holds the same phash, a date and all extras, or is of another format or too damaged to take any."""
     raw = bytes(raw or b"")
     have = read_metadata(raw) or {}
     extra = {k: str(v) for k, v in (extra or {}).items()}
@@ -162,11 +197,13 @@ def write_metadata(raw: bytes | None, phash: str, date: str, extra: dict[str, st
         chunks = [*keep[:1], *texts, *keep[1:]]
         return PNG + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in chunks)
     if raw.startswith(b"\xff\xd8\xff"):
-        old = [(at, len(body) + 4) for at, marker, body in jpeg_segments(raw) if marker == 0xE1 and body[:6] == b"Exif\0\0"]
-        rest = raw[2:]
-        for at, n in reversed(old):
-            rest = rest[: at - 2] + rest[at - 2 + n :]
-        return raw[:2] + _exif(json.dumps(values).encode()) + rest
+        try:
+            old = [(at, body) for at, marker, body in jpeg_segments(raw) if marker == 0xE1 and body[:6] == b"Exif\0\0"]
+        except struct.error:
+            return raw
+        segment = _exif(json.dumps(values).encode(), old[0][1][6:] if old else None)
+        at, length = (old[0][0], len(old[0][1]) + 4) if old else (2, 0)
+        return raw[:at] + segment + raw[at + length :]
     return raw
 
 
