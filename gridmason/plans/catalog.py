@@ -84,7 +84,7 @@ REACH = f"""edges AS (SELECT page_id, i, j FROM pairs WHERE iou > {IOU} OR ios >
 @query(f", {PAIRS}, {REACH.format(pool='box_pool')} SELECT page_id, box_id, comp FROM comp", "box_pool")
 def box_components(spark, d):
     pool = view(spark, d, "box_pool")
-    return page_components(pool, suppress.links(pool, IOU, IOS))
+    return page_components(pool.select("page_id", "box_id"), suppress.links(pool, IOU, IOS))
 
 
 @query(f", {PAIRS}, {REACH.format(pool='box_pool')} SELECT box_id AS node, comp FROM comp WHERE box_id IN (SELECT i FROM both_ways)", "box_pool")
@@ -92,6 +92,29 @@ def edge_components(spark, d):
     return components(suppress.links(view(spark, d, "box_pool"), IOU, IOS).select("i", "j"))
 
 
+def greedy(lists: str, order: str, grow: str = "list_append(kept, box_id)") -> str:
+    """CTEs that decide a page's boxes one by one: turn (page_id, box_id, step, rejects, …) from `lists`, in `order`; chosen (page_id, box_id), the boxes that no kept one rejects. grow: what a box that is taken makes of the kept ones."""
+    return f"""turn AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS step FROM ({lists})),
+  walk(page_id, done, kept) AS (SELECT DISTINCT page_id, 0::BIGINT, []::BIGINT[] FROM turn
+    UNION ALL SELECT w.page_id, step, CASE WHEN list_has_any(kept, rejects) THEN kept ELSE {grow} END FROM walk w JOIN turn t ON t.page_id = w.page_id AND t.step = w.done + 1),
+  chosen AS (SELECT page_id, unnest(kept) AS box_id FROM (SELECT page_id, arg_max(kept, done) AS kept FROM walk GROUP BY page_id))"""
+
+
+def both_ways(pairs: str) -> str:
+    return f"SELECT page_id, i AS box_id, j AS other, iou, ios FROM {pairs} UNION ALL SELECT page_id, j, i, iou, ios FROM {pairs}"
+
+
+def listed(pool: str, pairs: str, rejects: str, *more: str) -> str:
+    """The boxes of a pool as b, with lists of the boxes o that overlap them, under conditions over b, o, iou and ios: rejects, and others."""
+    named = [f"coalesce(list(o.box_id) FILTER ({c}), []) AS {n}" for n, c in (("rejects", rejects), *(m.split(": ", 1) for m in more))]
+    return f"SELECT b.*, {', '.join(named)} FROM {pool} b LEFT JOIN ({both_ways(pairs)}) p ON p.page_id = b.page_id AND p.box_id = b.box_id LEFT JOIN {pool} o ON o.page_id = p.page_id AND o.box_id = p.other GROUP BY ALL"
+
+
+SQL_SIZE = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))"
+LARGER = f"{SQL_SIZE.format('b')} > {SQL_SIZE.format('o')}"
+SWAP = "CASE WHEN list_has_any(kept, swaps) THEN list_transform(kept, lambda x, i: CASE WHEN i = list_max(list_transform(swaps, lambda s: list_position(kept, s))) THEN box_id ELSE x END) ELSE list_append(kept, box_id) END"
+POOL = f"{BLOCKS}, pool AS (SELECT * FROM box_pool WHERE box_id NOT IN (SELECT box_id FROM blocks)), {PAIRS.replace('box_pool', 'pool')}"
+
 KEPT = f""", {BLOCKS}, pool AS (SELECT * FROM box_pool WHERE box_id NOT IN (SELECT box_id FROM blocks)), {PAIRS.replace('box_pool', 'pool')}, {REACH.format(pool='pool')}
 SELECT page_id, box_id, x1, y1, x2, y2, score, source, comp FROM (SELECT p.*, comp, row_number() OVER (PARTITION BY comp ORDER BY score DESC, (x2 - x1) * (y2 - y1) DESC, p.box_id) AS nth
   FROM pool p JOIN comp c ON p.box_id = c.box_id) WHERE nth = 1"""
@@ -105,19 +128,35 @@ def nms_cluster(spark, d):
 flagship = nms_cluster
 
 
-@query()
+@query(f""", {POOL}, {greedy(listed('pool', 'pairs', f"iou > {IOU} OR ios > {IOS} AND NOT {LARGER}", f"swaps: ios > {IOS} AND {LARGER}"), "score DESC, (x2 - x1) * (y2 - y1) DESC, box_id", SWAP)}
+SELECT p.* FROM pool p JOIN chosen USING (page_id, box_id)""", "box_pool")
 def nms_exact(spark, d):
     return suppress.nms_exact(view(spark, d, "box_pool"), IOU, IOS)
 
 
-@query()
+@query(f""", {PAIRS}, {greedy(listed('box_pool', 'pairs', f"ios >= 0.6 AND {SQL_SIZE.format('o')} > {SQL_SIZE.format('b')}"), "(x2 - x1) * (y2 - y1) DESC, box_id")}
+SELECT p.* FROM box_pool p JOIN chosen USING (page_id, box_id)""", "box_pool")
 def drop_contained(spark, d):
     return suppress.drop_contained(view(spark, d, "box_pool"))
 
 
-@query("SELECT page_id, box_id, x1, y1, x2, y2, score FROM box_pool", "box_pool")
-def trail_nms_default(spark, d):
-    return suppress.by_confidence(view(spark, d, "box_pool"), 1.0)
+@query(f""", {PAIRS}, {greedy(listed('box_pool', 'pairs', 'iou > 0.2'), "score DESC, box_id")}
+SELECT page_id, box_id, x1, y1, x2, y2, score FROM box_pool JOIN chosen USING (page_id, box_id)""", "box_pool")
+def trail_nms(spark, d):
+    return suppress.by_confidence(view(spark, d, "box_pool"), 0.2)
+
+
+FINER = f"""near AS (SELECT a.page_id, a.box_id, floor((least(a.x2, b.x2) - a.x1) / 4) AS hx, floor((greatest(a.x1, b.x1) - a.x1) / 4) AS lx, floor((least(a.y2, b.y2) - a.y1) / 4) AS hy, floor((greatest(a.y1, b.y1) - a.y1) / 4) AS ly,
+    floor((a.x2 - a.x1) / 4) AS w, floor((a.y2 - a.y1) / 4) AS h FROM fine a JOIN fine b ON a.page_id = b.page_id AND {SHARED} > 0 AND b.area < 0.9 * a.area),
+  down AS (SELECT *, unnest(range(CAST(ly AS BIGINT), CAST(least(hy, h) AS BIGINT))) AS gy FROM near), cells AS (SELECT DISTINCT page_id, box_id, w, h, gy, unnest(range(CAST(lx AS BIGINT), CAST(least(hx, w) AS BIGINT))) AS gx FROM down),
+  covered AS (SELECT page_id, box_id FROM cells GROUP BY page_id, box_id, w, h HAVING count(*) > 0.8 * greatest(1, w) * greatest(1, h))"""
+
+
+@query(f""", shapes AS (SELECT page_id, box_id, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) - box_id % 50 AS area FROM box_pool), {PAIRS}, {greedy(listed('shapes', 'pairs', 'iou > 0.3'), "area, box_id")},
+  fine AS (SELECT s.* FROM shapes s JOIN chosen USING (page_id, box_id)), {FINER} SELECT page_id, box_id FROM fine WHERE box_id NOT IN (SELECT box_id FROM covered)""", "box_pool")
+def prefer_fine(spark, d):
+    shapes = view(spark, d, "box_pool").withColumn("area", Box.of().area - F.col("box_id") % 50)
+    return suppress.prefer_fine(shapes, 0.3).select("page_id", "box_id")
 
 
 DEMERGE = f"""SELECT page_id, box_id FROM box_pool WHERE box_id NOT IN (SELECT b.box_id FROM box_pool a JOIN box_pool b ON a.page_id = b.page_id AND a.source = 'bordered' AND b.source <> 'bordered' AND {SHARED} > 0
@@ -129,10 +168,17 @@ def demerge(spark, d):
     return regions.demerge(view(spark, d, "box_pool"), F.lit(1200.0 * 900.0)).select("page_id", "box_id")
 
 
-@query()
+BESIDE = "abs(floor(({0}.x1 + {0}.x2) / 800) - floor(({1}.x1 + {1}.x2) / 800)) <= 1 AND abs(floor(({0}.y1 + {0}.y2) / 800) - floor(({1}.y1 + {1}.y2) / 800)) <= 1"
+FREE = f"""best AS (SELECT page_id, box_id, x1, y1, x2, y2 FROM (SELECT p.*, row_number() OVER (PARTITION BY comp ORDER BY score DESC, (x2 - x1) * (y2 - y1) DESC, p.box_id) AS nth FROM pool p JOIN comp c ON p.box_id = c.box_id) WHERE nth = 1),
+  free AS (SELECT * FROM box_pool a WHERE source = 'bordered' AND NOT EXISTS (SELECT 1 FROM best b WHERE a.page_id = b.page_id AND {SHARED} > 0 AND {BESIDE.format('a', 'b')} AND ({SQL_IOU} >= {IOU} OR {SQL_OWN} >= {IOS}))),
+  hides AS (SELECT a.page_id, a.box_id, list(b.box_id) AS rejects FROM free a JOIN free b ON a.page_id = b.page_id AND a.box_id > b.box_id AND {SHARED} > 0 AND {BESIDE.format('a', 'b')} AND ({SQL_IOU} >= {IOU} OR {SQL_OWN} >= {IOS}) GROUP BY ALL)"""
+
+
+@query(f""", {POOL}, {REACH.format(pool='pool')}, {FREE}, {greedy("SELECT f.page_id, f.box_id, coalesce(rejects, []) AS rejects FROM free f LEFT JOIN hides USING (page_id, box_id)", "box_id")}
+SELECT f.* FROM free f JOIN chosen USING (page_id, box_id)""", "box_pool")
 def recover_uncovered(spark, d):
     pool = view(spark, d, "box_pool")
-    return regions.recover_uncovered(pool, suppress.nms_cluster(pool, IOU, IOS), IOU, IOS)
+    return regions.recover_uncovered(pool, suppress.nms_cluster(pool, IOU, IOS), IOU, IOS).select(*pool.columns)
 
 
 @query("SELECT source, count(*) AS n FROM box_pool GROUP BY source", "box_pool")
@@ -157,7 +203,13 @@ def size_histogram(spark, d):
 def seam_clip(spark, d):
     p, n = F.col("page_id"), lambda x: F.lit(float(x))
     cut = geo.clipped(Box.of(), n(1200), n(900), p % 2, p % 3, 1200.0 * (1 + p % 3) + p % 2, 900.0 * (1 + p % 2) + p % 3)
-    return view(spark, d, "box_pool").select("box_id", cut.alias("clipped"), (Box.of().area <= 0.004 * 1200 * 900).alias("small"))
+    return view(spark, d, "box_pool").select("box_id", cut.alias("clipped"), geo.under_cap(Box.of(), n(1200), n(900), 0.004).alias("small"))
+
+
+@query("SELECT box_id, x1 + page_id % 2 * 1400 AS x1, y1 + page_id % 3 * 1400 AS y1, x2 + page_id % 2 * 1400 AS x2, y2 + page_id % 3 * 1400 AS y2 FROM box_pool", "box_pool")
+def page_places(spark, d):
+    b = geo.on_page(Box.of(), F.col("page_id") % 2 * 1400.0, F.col("page_id") % 3 * 1400.0)
+    return view(spark, d, "box_pool").select("box_id", b.x1.alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), b.y2.alias("y2"))
 
 
 @query("""SELECT p_partkey AS k, p_size * 130 AS extent, CASE WHEN p_size * 130 <= 1800 THEN [0] ELSE list_transform(range(0, CAST(ceil((p_size * 130 - 1800) / 1400.0) AS BIGINT) + 1), lambda i: i * 1400) END AS starts,
@@ -250,7 +302,13 @@ def labelled_boxes(spark, d):
     return _labelled(spark, d).select("box_id", "label", "n_text", "text_status")
 
 
-@query()
+ALONE = f"""spans AS (SELECT page_id, span_id AS box_id, text, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, greatest(60.0, 1.6::DOUBLE * (x1 - x0)) / 2 AS w, greatest(60.0, 2.2::DOUBLE * (y1 - y0)) / 2 AS h FROM text_items
+    WHERE {SQL_LIKE.format('text')} AND span_id NOT IN (SELECT span_id FROM held)),
+  holds AS (SELECT a.page_id, a.box_id, list(b.box_id) AS rejects FROM spans a JOIN spans b ON a.page_id = b.page_id AND b.box_id < a.box_id AND abs(a.cx - b.cx) <= b.w AND abs(a.cy - b.cy) <= b.h GROUP BY ALL)"""
+
+
+@query(f""", {HELD}, {ALONE}, {greedy("SELECT s.page_id, s.box_id, coalesce(rejects, []) AS rejects FROM spans s LEFT JOIN holds USING (page_id, box_id)", "box_id")}
+SELECT page_id, box_id AS span_id, text AS label, cx - w AS x1, cy - h AS y1, cx + w AS x2, cy + h AS y2, 0.5::DOUBLE AS score, 'text_recovered' AS source, {SQL_TAG.format('text')} AS text_status FROM spans JOIN chosen USING (page_id, box_id)""", "box_pool", "text_items")
 def recover_missing(spark, d):
     return labels.recover_missing(view(spark, d, "box_pool"), view(spark, d, "text_items"))
 
@@ -304,11 +362,11 @@ def hall_totals(spark, d):
     return regions.assign_halls(view(spark, d, "box_pool"), view(spark, d, "halls"), 0.02).groupBy("page_id", "hall").agg(F.count(F.lit(1)).alias("n_booths"))
 
 
-ARBITRATE = """small AS (SELECT * FROM box_pool WHERE box_id % 5 = 0), big AS (SELECT page_id, hall_idx AS box_id, x1, y1, x1 + (x2 - x1) / 2 AS x2, y1 + (y2 - y1) / 3 AS y2 FROM halls),
+ARBITRATE = """small AS (SELECT * FROM box_pool), big AS (SELECT page_id, hall_idx AS box_id, x1, y1, x1 + (x2 - x1) / 2 AS x2, y1 + (y2 - y1) / 3 AS y2 FROM halls),
   shared AS (SELECT b.page_id, b.box_id, s.box_id AS small_id, greatest(0, least(s.x2, b.x2) - greatest(s.x1, b.x1)) * greatest(0, least(s.y2, b.y2) - greatest(s.y1, b.y1)) AS shared FROM big b JOIN small s USING (page_id)),
   rated AS (SELECT b.*, coalesce((SELECT sum(shared) FROM shared s WHERE s.page_id = b.page_id AND s.box_id = b.box_id), 0) / ((x2 - x1) * (y2 - y1)) AS cover,
     (SELECT count(DISTINCT (floor((t.x0 + t.x1) / 2 / 250), floor((t.y0 + t.y1) / 2 / 250))) FROM text_items t WHERE t.page_id = b.page_id AND (t.x0 + t.x1) / 2 BETWEEN b.x1 AND b.x2 AND (t.y0 + t.y1) / 2 BETWEEN b.y1 AND b.y2) AS labels FROM big b),
-  alone AS (SELECT page_id, box_id FROM rated WHERE NOT (cover >= 0.9 OR labels > 1))"""
+  alone AS (SELECT page_id, box_id FROM rated WHERE NOT (cover >= 2.4 OR labels > 1))"""
 
 
 @query(f""", {ARBITRATE} SELECT page_id, box_id, 'big' AS kind FROM alone
@@ -316,7 +374,7 @@ UNION ALL SELECT page_id, box_id, 'small' FROM small WHERE box_id NOT IN (SELECT
 def big_regions(spark, d):
     h = view(spark, d, "halls")
     big = h.select("page_id", F.col("hall_idx").alias("box_id"), "x1", "y1", (F.col("x1") + (F.col("x2") - F.col("x1")) / 2).alias("x2"), (F.col("y1") + (F.col("y2") - F.col("y1")) / 3).alias("y2"))
-    return regions.arbitrate(view(spark, d, "box_pool").where("box_id % 5 = 0"), big, view(spark, d, "text_items"), 0.9, 1)
+    return regions.arbitrate(view(spark, d, "box_pool"), big, view(spark, d, "text_items"), 2.4, 1)
 
 
 # --- rasters -------------------------------------------------------------------------------------------------------------------
@@ -349,42 +407,42 @@ def line_pixels(spark, d):
     return raster.line_pixels(view(spark, d, "pixels"), 6)
 
 
-SPARSE = "sparse AS (SELECT * FROM pixels WHERE (x * 7 + y * 3 + page_id) % 3 = 0)"
 PACKED = "(page_id << 40) + (y << 20) + x"
-LABELLED = f"""{SPARSE}, {LINES.format(src='sparse')}, line AS (SELECT page_id, y, lo, hi, (page_id << 40) + (y << 20) + lo AS run FROM flat),
-  touch AS (SELECT a.run AS i, b.run AS j FROM line a JOIN line b ON a.page_id = b.page_id AND abs(a.y - b.y) = 1 AND a.lo <= b.hi + 1 AND b.lo <= a.hi + 1),
+def labelled(src: str, reach: int = 1) -> str:
+    """CTEs that label the pixels of src: lab (page_id, y, x, label), by runs that touch, cornerwise too if reach is 1."""
+    return f"""{LINES.format(src=src)}, line AS (SELECT page_id, y, lo, hi, (page_id << 40) + (y << 20) + lo AS run FROM flat),
+  touch AS (SELECT a.run AS i, b.run AS j FROM line a JOIN line b ON a.page_id = b.page_id AND abs(a.y - b.y) = 1 AND a.lo <= b.hi + {reach} AND b.lo <= a.hi + {reach}),
   reach(run, other) AS (SELECT run, run FROM line UNION SELECT r.run, t.j FROM reach r JOIN touch t ON r.other = t.i),
-  comp AS (SELECT run, min(other) AS label FROM reach GROUP BY run), lab AS (SELECT p.*, c.label FROM sparse p JOIN line l ON p.page_id = l.page_id AND p.y = l.y AND p.x BETWEEN l.lo AND l.hi JOIN comp c ON l.run = c.run)"""
+  comp AS (SELECT run, min(other) AS label FROM reach GROUP BY run), lab AS (SELECT p.*, c.label FROM {src} p JOIN line l ON p.page_id = l.page_id AND p.y = l.y AND p.x BETWEEN l.lo AND l.hi JOIN comp c ON l.run = c.run)"""
 
 
-def _sparse(spark, d):
-    return view(spark, d, "pixels").where("(x * 7 + y * 3 + page_id) % 3 = 0")
+LABELLED = labelled("specks")
 
 
-@query(f", {LABELLED} SELECT page_id, y, x, label FROM lab", "pixels")
+@query(f", {LABELLED} SELECT page_id, y, x, label FROM lab", "specks")
 def pixel_components(spark, d):
-    return raster.label(_sparse(spark, d), 8)
+    return raster.label(view(spark, d, "specks"), 8)
 
 
-@query(f", {LABELLED} SELECT page_id, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM lab GROUP BY page_id, label HAVING (max(x) + 1 - min(x)) * (max(y) + 1 - min(y)) >= 4", "pixels")
+@query(f", {LABELLED} SELECT page_id, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM lab GROUP BY page_id, label HAVING (max(x) + 1 - min(x)) * (max(y) + 1 - min(y)) >= 4", "specks")
 def component_boxes(spark, d):
-    return raster.component_boxes(raster.label(_sparse(spark, d), 8), 4)
+    return raster.component_boxes(raster.label(view(spark, d, "specks"), 8), 4)
 
 
-@query(f", {LABELLED} SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY label) AS component, x, y, w, h, area, round(cx, 9) AS cx, round(cy, 9) AS cy FROM (SELECT page_id, label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM lab GROUP BY page_id, label)", "pixels")
+@query(f", {LABELLED} SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY label) AS component, x, y, w, h, area, round(cx, 9) AS cx, round(cy, 9) AS cy FROM (SELECT page_id, label, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM lab GROUP BY page_id, label)", "specks")
 def component_stats(spark, d):
-    s = raster.component_stats(raster.label(_sparse(spark, d), 8))
+    s = raster.component_stats(raster.label(view(spark, d, "specks"), 8))
     return s.withColumn("component", F.col("component").cast("long")).withColumn("cx", nth_nine("cx")).withColumn("cy", nth_nine("cy"))
 
 
-@query(f", {LABELLED}, s AS (SELECT page_id, label, count(*) AS n FROM lab GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, label) AS nth FROM s) SELECT l.page_id, l.label, y, x FROM lab l JOIN b ON l.page_id = b.page_id AND l.label = b.label WHERE nth = 1 AND n >= 5", "pixels")
+@query(f", {LABELLED}, s AS (SELECT page_id, label, count(*) AS n FROM lab GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, label) AS nth FROM s) SELECT l.page_id, l.label, y, x FROM lab l JOIN b ON l.page_id = b.page_id AND l.label = b.label WHERE nth = 1 AND n >= 5", "specks")
 def largest_component(spark, d):
-    return raster.largest(raster.label(_sparse(spark, d), 8), F.lit(5))
+    return raster.largest(raster.label(view(spark, d, "specks"), 8), F.lit(5))
 
 
-@query(f", {LABELLED} SELECT DISTINCT page_id, label FROM lab WHERE y IN (0, 39) OR x IN (0, 59)", "pixels")
+@query(f", {LABELLED} SELECT DISTINCT page_id, label FROM lab WHERE y IN (0, 39) OR x IN (0, 59)", "specks")
 def border_components(spark, d):
-    return raster.touches_border(raster.label(_sparse(spark, d), 8), HEIGHT, WIDTH)
+    return raster.touches_border(raster.label(view(spark, d, "specks"), 8), HEIGHT, WIDTH)
 
 
 HOLES = f"""void AS (SELECT p.page_id, a.range AS y, b.range AS x FROM (SELECT DISTINCT page_id FROM pixels) p, range(0, 40) a, range(0, 60) b EXCEPT SELECT page_id, y, x FROM pixels), {LINES.format(src='void')},
@@ -406,6 +464,7 @@ def color_range(spark, d):
     return raster.in_range(view(spark, d, "colors"), BANDS)
 
 
+FAR = "least(abs(c.h - {0}.h), 180 - abs(c.h - {0}.h)) > 8"
 SQL_PLANES = "planes AS (SELECT *, greatest(b, g, r) AS v, CAST(CASE WHEN greatest(b, g, r) > 0 THEN round_even(255.0 * (greatest(b, g, r) - least(b, g, r)) / greatest(b, g, r), 0) ELSE 0 END AS INT) AS s, CAST(round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) AS INT) AS gray FROM colors)"
 
 
@@ -414,11 +473,12 @@ def color_planes(spark, d):
     return raster.planes(view(spark, d, "colors")).select("page_id", "y", "x", "v", "s", "gray")
 
 
-@query(f""", {SQL_PLANES}, h AS (SELECT s, v, CAST(coalesce((round_even(30.0 * CASE WHEN r = v THEN (g - b) / nullif(v - least(b, g, r), 0) WHEN g = v THEN 2 + (b - r) / nullif(v - least(b, g, r), 0) ELSE 4 + (r - g) / nullif(v - least(b, g, r), 0) END, 0) + 180) % 180, 0) AS INT) AS h FROM planes),
-  c AS (SELECT h, count(*) AS n FROM h WHERE s >= 60 AND v >= 60 GROUP BY h), p1 AS (SELECT * FROM c ORDER BY n DESC, h DESC LIMIT 1),
-  p2 AS (SELECT c.* FROM c, p1 WHERE least(abs(c.h - p1.h), 180 - abs(c.h - p1.h)) > 8 ORDER BY c.n DESC, c.h DESC LIMIT 1),
-  p3 AS (SELECT c.* FROM c, p1, p2 WHERE least(abs(c.h - p1.h), 180 - abs(c.h - p1.h)) > 8 AND least(abs(c.h - p2.h), 180 - abs(c.h - p2.h)) > 8 ORDER BY c.n DESC, c.h DESC LIMIT 1)
-SELECT rank, h AS hue, n, greatest(0, h - 8) AS lo, least(179, h + 8) AS hi FROM (SELECT 1 AS rank, * FROM p1 UNION ALL SELECT 2, * FROM p2 UNION ALL SELECT 3, * FROM p3)""", "colors")
+@query(f""", {SQL_PLANES}, h AS (SELECT page_id, s, v, CAST(coalesce((round_even(30.0 * CASE WHEN r = v THEN (g - b) / nullif(v - least(b, g, r), 0) WHEN g = v THEN 2 + (b - r) / nullif(v - least(b, g, r), 0) ELSE 4 + (r - g) / nullif(v - least(b, g, r), 0) END, 0) + 180) % 180, 0) AS INT) AS h FROM planes),
+  c AS (SELECT page_id, h, count(*) AS n FROM h WHERE s >= 60 AND v >= 60 GROUP BY page_id, h),
+  p1 AS (SELECT page_id, h, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, h DESC) AS nth FROM c) WHERE nth = 1),
+  p2 AS (SELECT page_id, h, n FROM (SELECT c.*, row_number() OVER (PARTITION BY c.page_id ORDER BY c.n DESC, c.h DESC) AS nth FROM c JOIN p1 USING (page_id) WHERE {FAR.format('p1')}) WHERE nth = 1),
+  p3 AS (SELECT page_id, h, n FROM (SELECT c.*, row_number() OVER (PARTITION BY c.page_id ORDER BY c.n DESC, c.h DESC) AS nth FROM c JOIN p1 USING (page_id) JOIN p2 USING (page_id) WHERE {FAR.format('p1')} AND {FAR.format('p2')}) WHERE nth = 1)
+SELECT page_id, rank, h AS hue, n, greatest(0, h - 8) AS lo, least(179, h + 8) AS hi FROM (SELECT 1 AS rank, * FROM p1 UNION ALL SELECT 2, * FROM p2 UNION ALL SELECT 3, * FROM p3)""", "colors")
 def hue_bands(spark, d):
     return raster.hue_bands(view(spark, d, "colors"))
 
@@ -428,6 +488,14 @@ def median_filter(spark, d):
     return raster.median(raster.planes(view(spark, d, "colors")), 3)
 
 
+AROUND = "(SELECT unnest(range(-4, 5)) AS v) {0}"
+
+
+@query(f", {SQL_PLANES}, near AS (SELECT page_id, y + a.v AS y, x + b.v AS x, gray FROM planes p, {AROUND.format('a')}, {AROUND.format('b')}) SELECT p.page_id, p.y, p.x, CAST(quantile_disc(n.gray, 0.5) AS INT) AS median FROM colors p JOIN near n USING (page_id, y, x) GROUP BY 1, 2, 3", "colors")
+def median_floor(spark, d):
+    return raster.median(raster.planes(view(spark, d, "colors")), 9)
+
+
 FULL = "page AS (SELECT a.range AS y, b.range AS x, CAST((a.range * 37 + b.range * b.range * 11) % 256 AS INT) AS s FROM range(0, 40) a, range(0, 60) b)"
 
 
@@ -443,25 +511,65 @@ def white_level(spark, d):
     return view(spark, d, "colors").groupBy("page_id").agg(F.percentile(F.greatest("b", "g", "r"), F.lit(0.8)).alias("q"))
 
 
-@query("SELECT page_id, y, x FROM colors WHERE b <= 120 AND r >= 100", "colors")
-def color_mask_plain(spark, d):
-    return raster.color_mask(view(spark, d, "colors"), BANDS[:1], 1, 1)
+def on_page(sql: str) -> str:
+    return f"SELECT * FROM ({sql}) WHERE y BETWEEN 0 AND {HEIGHT - 1} AND x BETWEEN 0 AND {WIDTH - 1}"
 
 
-@query()
+def clean(name: str, src: str) -> str:
+    """CTEs: the mask src, opened and closed by kernels of 3, as name."""
+    steps = ((f"{name}1", ERODED.format(src=src)), (f"{name}2", on_page(DILATED.format(src=f"{name}1"))), (f"{name}3", on_page(DILATED.format(src=f"{name}2"))), (name, ERODED.format(src=f"{name}3")))
+    return ", ".join(f"{n} AS ({sql})" for n, sql in steps)
+
+
+MASK = f"""red AS (SELECT page_id, y, x FROM drawn WHERE b <= 120 AND r >= 100), blue AS (SELECT page_id, y, x FROM drawn WHERE b >= 200 AND g BETWEEN 30 AND 90 AND r <= 200), {clean('redder', 'red')}, {clean('bluer', 'blue')},
+  mask AS (SELECT * FROM redder UNION SELECT * FROM bluer)"""
+VOID = f"SELECT p.page_id, a.range AS y, b.range AS x FROM (SELECT DISTINCT page_id FROM {{src}}) p, range(0, {HEIGHT}) a, range(0, {WIDTH}) b EXCEPT SELECT page_id, y, x FROM {{src}}"
+BOUNDS = "SELECT page_id, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM lab GROUP BY page_id, label"
+
+
+@query(f", {MASK} SELECT * FROM mask", "drawn")
+def color_mask(spark, d):
+    return raster.color_mask(view(spark, d, "drawn"), BANDS, 3, 3, HEIGHT, WIDTH)
+
+
+COLOR_CELLS = f"{MASK}, {labelled('mask')}, cells AS ({BOUNDS} HAVING (max(x) + 1 - min(x)) * (max(y) + 1 - min(y)) >= 12)"
+
+
+@query(f", {COLOR_CELLS} SELECT * FROM cells", "drawn")
 def color_cells(spark, d):
-    return raster.color_cells(view(spark, d, "colors"), BANDS, 2, HEIGHT, WIDTH)
+    return raster.color_cells(view(spark, d, "drawn"), BANDS, 12, HEIGHT, WIDTH)
 
 
-@query()
+OPEN = f"""{SQL_PLANES}, walls AS ({on_page(DILATED.format(src='(SELECT * FROM planes WHERE v < 130)'))}),
+  white AS (SELECT page_id, greatest(200, least(255, CASE WHEN count(*) FILTER (s < 25) > 1000 THEN CAST(floor(quantile_cont(v, 0.8) FILTER (s < 25)) AS INT) ELSE 245 END)) AS white FROM planes GROUP BY page_id),
+  free AS (SELECT p.page_id, y, x FROM planes p JOIN white USING (page_id) WHERE v >= white - 60 AND s < 40 AND NOT EXISTS (SELECT 1 FROM walls w WHERE w.page_id = p.page_id AND w.y = p.y AND w.x = p.x))"""
+
+
+@query(f", {OPEN}, {labelled('free', 0)} SELECT page_id, y, x FROM lab WHERE label IN (SELECT label FROM lab WHERE y IN (0, {HEIGHT - 1}) OR x IN (0, {WIDTH - 1}))", "colors")
 def page_background(spark, d):
     c = view(spark, d, "colors")
     return raster.background(c, raster.planes(c).where("v < 130").select("page_id", "y", "x"), HEIGHT, WIDTH)
 
 
-@query()
+LINED = f"dark AS (SELECT page_id, y, x FROM drawn WHERE round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) < 100), sealed AS ({on_page(DILATED.format(src='dark'))}), paper AS ({VOID.format(src='sealed')})"
+
+
+@query(f", {LINED}, {labelled('paper')}, cells AS ({BOUNDS} HAVING count(*) >= 4) SELECT * FROM cells", "drawn")
 def bordered_cells(spark, d):
-    return raster.bordered_cells(view(spark, d, "colors"), HEIGHT, WIDTH)
+    return raster.bordered_cells(view(spark, d, "drawn"), HEIGHT, WIDTH, 100, 3, 4)
+
+
+@query(f", {COLOR_CELLS} SELECT page_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, 'color' AS source, 0.75::DOUBLE AS score FROM cells UNION ALL SELECT page_id, x1 / 20, y1 / 20, x2 / 20, y2 / 20, 'bordered', 0.45 FROM box_pool", "drawn", "box_pool")
+def detector_modes(spark, d):
+    found = raster.color_cells(view(spark, d, "drawn"), BANDS, 12, HEIGHT, WIDTH)
+    lined = view(spark, d, "box_pool").select("page_id", *[(F.col(c) / 20).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return raster.ensemble("both", color=found, bordered=lined, opencv_strict=lined.limit(0))
+
+
+@query(f", {LABELLED} SELECT page_id, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM lab GROUP BY page_id, label HAVING count(*) BETWEEN 2 AND 240 AND min(x) > 2 AND min(y) > 2 AND max(x) + 1 < {WIDTH - 2} AND max(y) + 1 < {HEIGHT - 2} AND least(w, h) >= 2 AND area / (w * h) >= 0.6 AND least(w, h) / greatest(w, h) >= 0.4", "specks")
+def cell_shapes(spark, d):
+    stats = raster.component_stats(raster.label(view(spark, d, "specks"), 8))
+    return raster.shape_filter(stats, HEIGHT, WIDTH, 2 / (HEIGHT * WIDTH), 0.1, 2, 0.6, 0.4).select("page_id", "x", "y", "w", "h", "area")
 
 
 # --- lines ---------------------------------------------------------------------------------------------------------------------
@@ -474,7 +582,15 @@ def end_pairs(spark, d):
     return trails.end_pairs(view(spark, d, "segments"), 60.0).withColumn("d", F.round("d", 6))
 
 
-@query()
+BRIDGES = f"""ends AS (SELECT a.page_id, a.cluster <> b.cluster AS crossing, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.seg AS i, b.seg AS j, a.e AS ei, b.e AS ej FROM ports a JOIN ports b ON a.page_id = b.page_id AND a.seg < b.seg),
+  turn AS (SELECT *, i - page_id * 30 + 1 AS ii, j - page_id * 30 + 1 AS jj, row_number() OVER (PARTITION BY page_id ORDER BY crossing, d, i, j, ei, ej) AS step FROM ends WHERE d < CASE WHEN crossing THEN 15 ELSE 60 END),
+  walk(page_id, done, used, part, taken) AS (SELECT DISTINCT page_id, 0::BIGINT, []::VARCHAR[], range(1, 31), false FROM turn
+    UNION ALL SELECT page_id, step, CASE WHEN ok THEN list_concat(used, [i || ei, j || ej]) ELSE used END, CASE WHEN ok THEN list_transform(part, lambda x: CASE WHEN x = part[jj] THEN part[ii] ELSE x END) ELSE part END, ok
+    FROM (SELECT t.*, used, part, NOT list_has_any(used, [i || ei, j || ej]) AND part[ii] <> part[jj] AS ok FROM walk w JOIN turn t ON t.page_id = w.page_id AND t.step = w.done + 1))"""
+
+
+@query(f""", {PORTS}, {BRIDGES} SELECT t.page_id, i AS seg_i, j AS seg_j, ei AS ep_i, ej AS ep_j, round(d, 2) AS gap, CASE WHEN NOT crossing OR a.confidence >= b.confidence THEN a.cluster ELSE b.cluster END AS cluster, crossing AS cross
+FROM turn t JOIN walk w ON t.page_id = w.page_id AND t.step = w.done AND w.taken JOIN segments a ON a.seg = t.i JOIN segments b ON b.seg = t.j""", "segments")
 def bridges(spark, d):
     return trails.find_bridges(view(spark, d, "segments"), 60.0, 15.0)
 
@@ -485,9 +601,11 @@ def smooth_paths(spark, d):
 
 
 @query(""", s AS (SELECT *, CAST(greatest(1, ceil(coalesce(sqrt((nx - x) ** 2 + (ny - y) ** 2), 0) / 25.0)) AS INT) AS n FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM paths WINDOW w AS (PARTITION BY path_id ORDER BY pos)))
-SELECT path_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS k, round(sum(CASE WHEN k = 0 THEN x ELSE round_even(x + k / n * (nx - x), 3) END), 2) AS x FROM (SELECT *, unnest(range(0, n)) AS k FROM s) GROUP BY path_id""", "paths")
+SELECT path_id, CAST(pos AS BIGINT) AS pos, CAST(k AS INT) AS k, round(CASE WHEN k = 0 THEN x ELSE x + k / n * (nx - x) END, 3) AS x, round(CASE WHEN k = 0 THEN y ELSE y + k / n * (ny - y) END, 3) AS y FROM (SELECT *, unnest(range(0, n)) AS k FROM s)""", "paths")
 def densify_paths(spark, d):
-    return trails.densify(view(spark, d, "paths"), 25.0).groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.round(F.sum("x"), 2).alias("x"))
+    """Every point, to the thousandth. Coordinates are whole and a step is cut into ten at most, so no point lies halfway between two thousandths."""
+    p = trails.densify(view(spark, d, "paths"), 25.0)
+    return p.select("path_id", F.col("pos").cast("long").alias("pos"), "k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query(""", s AS (SELECT page_id, seg, (seg * 7) % 500 AS px, (seg * 11) % 400 AS py, ax, ay, bx - ax AS dx, by_ - ay AS dy, (bx - ax) ** 2 + (by_ - ay) ** 2 AS l FROM segments)
@@ -526,7 +644,7 @@ def merged_trails(spark, d):
 
 @query()
 def color_clusters(spark, d):
-    c = view(spark, d, "colors").select((F.col("y") * WIDTH + F.col("x") + F.col("page_id") * HEIGHT * WIDTH).alias("seg"), "r", "g", "b")
+    c = view(spark, d, "colors").select("page_id", (F.col("y") * WIDTH + F.col("x") + F.col("page_id") * HEIGHT * WIDTH).alias("seg"), "r", "g", "b")
     return trails.cluster_colors(c)
 
 
@@ -633,9 +751,12 @@ def registry_modes(spark, d):
 
 @query()
 def page_plan(spark, d):
-    from .pages import resolve_pages
+    from .pages import big_candidates, resolve_pages
 
-    return resolve_pages(view(spark, d, "box_pool"), view(spark, d, "text_items"), view(spark, d, "halls"), F.lit(1200.0 * 900.0))
+    halls = view(spark, d, "halls")
+    found = halls.select("page_id", (-10_000_000 - F.col("hall_idx")).alias("box_id"), "x1", "y1", "x2", (F.col("y1") + (F.col("x2") - F.col("x1"))).alias("y2"))
+    big = big_candidates(found, F.lit(0.8), F.lit(1600.0 * 1200.0))
+    return resolve_pages(view(spark, d, "box_pool"), view(spark, d, "text_items"), halls, F.lit(1200.0 * 900.0), big)
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (c_custkey % 7 > 0) AS sized, CAST(count(*) AS BIGINT) AS with_points FROM customer")

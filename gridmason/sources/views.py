@@ -54,7 +54,23 @@ SELECT user_id AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY even
 FROM {events}
 """
 
-SQL = {"box_pool": BOX_POOL, "text_items": TEXT_ITEMS, "halls": HALLS, "pixels": PIXELS, "colors": COLORS.replace("{pixels}", PIXELS), "segments": SEGMENTS, "paths": PATHS}
+#: Pixels of smaller pages, few of which touch.
+SPECKS = """
+SELECT DISTINCT CAST(floor(l_orderkey / 30) AS BIGINT) AS page_id, (l_suppkey * 7 + l_linenumber * 3) % 40 AS y, l_partkey % 60 AS x
+FROM {lineitem}
+"""
+
+#: Coloured pixels of rectangles of 3 to 7 pixels a side on pages of 60 by 40; where rectangles overlap, the last one's.
+DRAWN = """
+SELECT page_id, y, x, CAST(CASE k % 3 WHEN 0 THEN 20 WHEN 1 THEN 220 ELSE 90 END AS INT) AS b, CAST(CASE k % 3 WHEN 0 THEN 40 WHEN 1 THEN 60 ELSE 90 END AS INT) AS g,
+       CAST(CASE k % 3 WHEN 0 THEN 180 WHEN 1 THEN 50 ELSE 90 END AS INT) AS r
+FROM (SELECT page_id, t.y + a.n AS y, t.x + b.n AS x, max(k) AS k
+      FROM (SELECT c_custkey AS k, CAST(floor(c_custkey / 30) AS BIGINT) AS page_id, (c_custkey * 61) % 34 AS y, (c_custkey * 37) % 54 AS x, 3 + c_custkey % 4 AS h, 3 + c_custkey % 5 AS w FROM {customer}) t
+      JOIN (SELECT DISTINCT c_custkey - 1 AS n FROM {customer} WHERE c_custkey <= 7) a ON a.n < t.h JOIN (SELECT DISTINCT c_custkey - 1 AS n FROM {customer} WHERE c_custkey <= 7) b ON b.n < t.w
+      GROUP BY page_id, t.y + a.n, t.x + b.n) p
+"""
+
+SQL = {"box_pool": BOX_POOL, "text_items": TEXT_ITEMS, "halls": HALLS, "pixels": PIXELS, "colors": COLORS.replace("{pixels}", PIXELS), "segments": SEGMENTS, "paths": PATHS, "specks": SPECKS, "drawn": DRAWN}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,6 +20,6 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["color_clusters", "merged_trails", "synthetic_plan", "bordered_cells", "page_plan"])
+@pytest.mark.parametrize("name", ["color_clusters", "merged_trails", "synthetic_plan", "page_plan"])
 def test_query_runs(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() > 0

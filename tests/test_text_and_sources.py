@@ -48,6 +48,40 @@ def test_metadata_round_trip(raw):
     assert images.write_metadata(b"GIF89a", "a", "b") == b"GIF89a"
 
 
+def exif(order, entries, inner, extra=b""):
+    """A JPEG file with an EXIF segment: entries and inner are rows (tag, kind, count, four bytes)."""
+    pack = lambda f, *v: struct.pack(order + f, *v)
+    rows = lambda some: pack("H", len(some)) + b"".join(pack("HHI", t, k, n) + v for t, k, n, v in some) + pack("I", 0)
+    at = 8 + 2 + 12 * (len(entries) + 1) + 4
+    top = rows([*entries, (0x8769, 4, 1, pack("I", at))])
+    body = b"Exif\0\0" + (b"II*\0" if order == "<" else b"MM\0*") + pack("I", 8) + top + rows(inner) + extra
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + JPEG[2:]
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_other_exif_fields_stay(order):
+    short = lambda v: struct.pack(order + "HH", v, 0)
+    raw = exif(order, [(0x0112, 3, 1, short(6))], [(0xA002, 3, 1, short(640))], b"thumb")
+    out = images.write_metadata(raw, "abc", "2024-01-01T00:00:00Z", {"n": "1"})
+    out = images.write_metadata(out, "def", "2025-01-01T00:00:00Z")
+    assert images.read_metadata(out) == {"phash": "def", "date": "2025-01-01T00:00:00Z", "n": "1"}
+    (body,) = [b for _, marker, b in images.jpeg_segments(out) if marker == 0xE1]
+    tiff = body[6:]
+    at = lambda v: struct.unpack(order + "I", v)[0]
+    top = images._directory(tiff, order, at(tiff[4:8]))
+    assert top[0x0112][2] == short(6) and images._directory(tiff, order, at(top[images.EXIF_POINTER][2]))[0xA002][2] == short(640)
+    assert b"thumb" in tiff and out.endswith(JPEG[2:])
+
+
+def test_damaged_files_have_no_metadata():
+    bad = png()[:-12] + struct.pack(">I4s", 9, b"zTXt") + b"phash\0\0xx" + bytes(4)
+    cut = exif("<", [], [])[:40]
+    for raw in (bad, cut, b"\xff\xd8\xff\xe1\x00", images.PNG, b"", None):
+        assert images.read_metadata(raw) is None
+    broken = exif("<", [], []).replace(b"II*\0" + struct.pack("<I", 8), b"II*\0" + struct.pack("<I", 60_000))
+    assert images.read_metadata(images.write_metadata(broken, "a", "b")) == {"phash": "a", "date": "b"}
+
+
 def test_images_from_files(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(images.write_metadata(png(), "p", "d"))
     read = images.read_images(spark, str(tmp_path))
@@ -71,6 +105,40 @@ def test_pool_documents(spark, tmp_path):
     assert (got.n_boxes, got.boxes[0].area) == (1, 20.0)
 
 
+def test_reviewed_results_and_halls(spark, tmp_path):
+    (tmp_path / "kept.json").write_text(json.dumps({"kept": [{"bbox": [1, 2, 3, 4], "text_status": "boothlike", "source": "color"}, {"bbox": [5, 5, 0, 1], "text_status": "empty", "source": "bordered"}]}))
+    rows = formats.read_reviewed(spark, str(tmp_path / "kept.json")).orderBy("box_id").collect()
+    assert [(r.box_id, r.x1, r.y1, r.x2, r.y2, r.text_status) for r in rows] == [(0, 1.0, 2.0, 4.0, 6.0, "boothlike"), (1, 5.0, 5.0, 5.0, 6.0, "empty")]
+    assigned = spark.createDataFrame([(0, 1, "Hall_1"), (0, 2, "Hall_1"), (0, 3, "Other")], "page_id long, box_id long, hall string")
+    formats.write_halls(assigned, str(tmp_path / "halls"))
+    assert sorted((r.hall, r.n_booths) for r in spark.read.json(str(tmp_path / "halls")).collect()) == [("Hall_1", 2), ("Other", 1)]
+
+
+def test_the_largest_pool_is_recorded(spark):
+    kind = "page_id long, boxes array<struct<bbox:array<double>,score:double,source:string>>"
+    box = ([0.0, 0.0, 1.0, 1.0], 1.0, "color")
+    got = formats.record_largest(spark.createDataFrame([(0, [box]), (0, [box, box]), (1, [])], kind)).orderBy("page_id").collect()
+    assert [(r.page_id, r.n_calls, len(r.boxes)) for r in got] == [(0, 2, 2), (1, 1, 0)]
+
+
+def test_archive_adds(spark, tmp_path):
+    rows = spark.createDataFrame([("predict", "a b.png", bytearray(b"x"), "{}")], "endpoint string, name string, content binary, result string")
+    for _ in range(2):
+        formats.archive(rows, str(tmp_path / "archive"))
+    got = spark.read.parquet(str(tmp_path / "archive")).collect()
+    assert [(r.endpoint, r.name, r.result) for r in got] == [("predict", "ab", "{}")] * 2 and all(r.at and r.day for r in got)
+
+
+def test_working_size_and_big_candidates(spark):
+    from gridmason.plans.pages import big_candidates
+
+    rows = spark.createDataFrame([(1000, 500), (400, 300), (2300, 10), (3000, 2000), (4600, 100)], "h int, w int")
+    assert [round(r[0], 6) for r in rows.select(images.to_working_size(F.col("h"), F.col("w"))).collect()] == [2.3, 3.0, 1.0, 1.0, 0.5]
+    found = [(0, 1, 0.0, 0.0, 400.0, 400.0), (0, 2, 0.0, 0.0, 395.0, 398.0), (0, 3, 0.0, 0.0, 300.0, 900.0), (0, 4, 0.0, 0.0, 2000.0, 2000.0)]
+    got = big_candidates(spark.createDataFrame(found, "page_id long, box_id long, x1 double, y1 double, x2 double, y2 double"), F.lit(0.5), F.lit(4000.0 * 3000.0)).collect()
+    assert [(r.box_id, r.x2, r.score, r.source) for r in got] == [(1, 800.0, 1.0, "bigregion")]
+
+
 def test_polygons():
     square = [[0, 0], [2, 0], [2, 2], [0, 2]]
     assert shared_area(square, [[1, 1], [3, 1], [3, 3], [1, 3]]) == pytest.approx(1)

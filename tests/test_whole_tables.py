@@ -56,18 +56,25 @@ def plain_features(r, g, b):
 
 
 def test_color_clusters_of_every_page(spark, tmp_path):
-    """Pixels of six colours far apart on pages 0 to 2,304: as many clusters, whatever the page."""
-    places, every = [], sorted((y, x) for y in range(40) for x in range(60))
-    while len(places) < 6:  # the colour farthest from those before
-        at = lambda p: min((np.linalg.norm(plain_features(*shade(*p, 0)) - plain_features(*shade(*q, 0))) for q in places), default=0.0)
-        apart = lambda p: all(np.linalg.norm(np.subtract(shade(*p, 0), shade(*q, 0))) > 0.3 * 255 for q in places)
-        places.append(max((p for p in every if apart(p)), key=at))
-    rows = [(page * 100, x, 0, y * 27 % 40) for page in range(0, 2560, 256) for y, x in places]
+    """Pixels of a few colours far apart on every page, eight or so of each, among shades that differ by a step: on each page a cluster for each colour."""
+    rows, colors = [], {}
+    places = sorted((y, x) for y in range(40) for x in range(60))
+    apart = lambda p, q: np.linalg.norm(np.subtract(p, q))
+    for page in range(0, 2560, 256):
+        base: list = []
+        for y, x in places:
+            if len(base) < 4 and all(apart(plain_features(*shade(y, x, page)), plain_features(*shade(*q, page))) > 0.9 and apart(shade(y, x, page), shade(*q, page)) > 0.4 * 255 for q in base):
+                base.append((y, x))
+        for k, q in enumerate(base):
+            near = [p for p in places if apart(plain_features(*shade(*p, page)), plain_features(*shade(*q, page))) < 0.12][:8]
+            for y, x in near:
+                colors[page * 2400 + y * 60 + x] = (page, k)
+                rows.append((page * 100, x, 0, y * 27 % 40))
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r.seg: r.cluster for r in catalog.color_clusters(spark, str(tmp_path)).collect()}
-    assert set(got) == {page * 2400 + y * 60 + x for page in range(0, 2560, 256) for y, x in places}
-    of = [{got[page * 2400 + y * 60 + x] for page in range(0, 2560, 256)} for y, x in places]
-    assert all(len(c) == 1 for c in of) and len(set.union(*of)) == 6
+    got = {r.seg: (r.page_id, r.cluster) for r in catalog.color_clusters(spark, str(tmp_path)).collect()}
+    assert set(got) == set(colors) and len({p for p, _ in colors.values()}) == 10
+    pairs = {(colors[s], got[s]) for s in got}
+    assert len(pairs) == len(set(colors.values())) == len(set(got.values()))
 
 
 def test_recover_missing_over_all_boxes(spark, data):
