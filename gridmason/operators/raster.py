@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import page_components
 
 PIXEL = ("page_id", "y", "x")
 
@@ -114,7 +114,7 @@ def line_pixels(mask: DataFrame, least: int) -> DataFrame:
 
 
 def label(mask: DataFrame, connectivity: int = 8) -> DataFrame:
-    """page_id, y, x, label of every pixel. Pixels are joined to runs first; runs of neighbouring lines that touch are the edges, so components are found on far fewer nodes.
+    """page_id, y, x, label of every pixel. Pixels are joined to runs first; runs of neighbouring lines that touch are the edges, so components are found on far fewer nodes, in one pass over each page.
 
     A label is the number of its least run, on all pages.
     """
@@ -123,10 +123,9 @@ def label(mask: DataFrame, connectivity: int = 8) -> DataFrame:
     # a run's number: page, line and start, packed; 20 bits for each place
     line = line.withColumn("run", F.shiftleft(F.col("page_id").cast("long"), 40) + F.shiftleft(F.col("y").cast("long"), 20) + F.col("lo"))
     above = line.select("page_id", (F.col("y") + 1).alias("y"), F.col("lo").alias("ulo"), F.col("hi").alias("uhi"), F.col("run").alias("up"))
-    touching = line.join(above, ["page_id", "y"]).where((F.col("lo") <= F.col("uhi") + reach) & (F.col("ulo") <= F.col("hi") + reach)).select(F.col("run").alias("i"), F.col("up").alias("j"))
-    labels = components(touching).select(F.col("node").alias("run"), F.col("comp").alias("label"))
-    named = line.join(labels, "run", "left").withColumn("label", F.coalesce("label", "run"))
-    return named.select("page_id", "y", F.explode(F.sequence("lo", "hi")).alias("x"), "label")
+    touching = line.join(above, ["page_id", "y"]).where((F.col("lo") <= F.col("uhi") + reach) & (F.col("ulo") <= F.col("hi") + reach)).select("page_id", F.col("run").alias("i"), F.col("up").alias("j"))
+    named = page_components(line.select("page_id", F.col("run").alias("box_id"), "y", "lo", "hi"), touching)
+    return named.select("page_id", "y", F.explode(F.sequence("lo", "hi")).alias("x"), F.col("comp").alias("label"))
 
 
 def component_boxes(labels: DataFrame, least: int = 1, by: str = "box") -> DataFrame:
