@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 from functools import cache
 from itertools import pairwise
 
@@ -287,6 +287,32 @@ def parse(template: str) -> list:
     return body()[0]
 
 
+def _constant(run: Callable, *values: object) -> object:
+    try:
+        return run(*values)
+    except TypeError as e:
+        raise TemplateError(f"constants of kinds that don't go together: {', '.join(map(repr, values))}") from e
+
+
+def _named(node, name: str) -> int:
+    """How often a tree names a variable."""
+    if isinstance(node, (list, tuple)):
+        return sum(_named(n, name) for n in node)
+    if isinstance(node, Name):
+        return int(node.name == name)
+    if isinstance(node, Const) or not is_dataclass(node):
+        return 0
+    return int(isinstance(node, Set) and node.name == name) + sum(_named(getattr(node, f.name), name) for f in fields(node))
+
+
+def check_stream(template: str) -> None:
+    """Raise TemplateError unless the template reads its messages once, turn by turn, in one outer loop, as tables are formatted; render() takes any template."""
+    nodes = fold(parse(template))
+    loops = [n for n in nodes if isinstance(n, For) and n.over == Name("messages")]
+    if len(loops) != 1 or _named(nodes, "messages") != 1:
+        raise TemplateError("a template for tables must read its messages in one outer loop, and nowhere else")
+
+
 def fold(node):
     """The tree with constant parts computed: operators and filters of constants, branches that always or never hold, and neighbouring texts."""
     if isinstance(node, list):
@@ -311,11 +337,11 @@ def fold(node):
         case Op(op, args):
             args = [fold(a) for a in args]
             if op == "+" and isinstance(args[1], Const) and isinstance(args[0], Op) and args[0].op == "+" and isinstance(args[0].args[1], Const):
-                args = [args[0].args[0], Const(args[0].args[1].value + args[1].value)]
-            return Const(_OPS[op](*[a.value for a in args])) if all(isinstance(a, Const) for a in args) else Op(op, args)
+                args = [args[0].args[0], Const(_constant(_OPS["+"], args[0].args[1].value, args[1].value))]
+            return Const(_constant(_OPS[op], *[a.value for a in args])) if all(isinstance(a, Const) for a in args) else Op(op, args)
         case Filter(name, of):
             of = fold(of)
-            return Const(_FILTERS[name](of.value)) if isinstance(of, Const) else Filter(name, of)
+            return Const(_constant(_FILTERS[name], of.value)) if isinstance(of, Const) else Filter(name, of)
         case Member(of, key):
             return Member(fold(of), fold(key))
         case Text(value):
@@ -536,9 +562,12 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     A conversation is one row; a long one goes on in further rows, numbered by part, each of whole turns and of about ROW characters, so that no task holds
     a conversation whole. A conversation's rows are in one partition, in order.
 
+    The template must read its messages in one outer loop, and nowhere else; others are refused with TemplateError.
+
     Turns are taken by turn, nulls first; ties by role and text. Nulls: a null text or role is an empty one; null is a conversation of its own. Repeated rows are
     turns of their own. An empty table gives an empty result. Other columns are ignored.
     """
+    check_stream(template)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(_format(template), FORMATTED)
@@ -596,6 +625,7 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """The digests of every conversation and of the probe, read back from what format_conversations gives: null texts and roles are empty, repeated rows are turns of their own, and without conversations the probe is left."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(turns.unionByName(probe)))
