@@ -10,6 +10,7 @@ A store is a folder of Parquet tables in the file system of spark.checkpoint.dir
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -37,8 +38,16 @@ SEEN = 200_000
 PLAIN = re.compile(r" ?\S+")
 
 
+def splits_as_known(path: str) -> bool:
+    """Whether the tokenizer of a file cuts texts by the public pattern, and changes nothing before."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    first = file.get("pre_tokenizer") or {}
+    return file.get("normalizer") is None and first.get("type") == "ByteLevel" and bool(first.get("use_regex", True)) and not first.get("add_prefix_space")
+
+
 class Encoder:
-    """The tokenizers library over distinct pre-tokens. Byte-pair merges never cross pre-tokens, so each is encoded once and its ids are held."""
+    """The tokenizers library over distinct pre-tokens. Byte-pair merges never cross pre-tokens, so each is encoded once and its ids are held. A tokenizer that cuts texts by another pattern gets whole texts."""
 
     def __init__(self, path: str):
         import regex
@@ -48,7 +57,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        (self.line,) = self._plain("\n")
+        self.whole = not splits_as_known(path)
+        self.line = None if self.whole else self._plain("\n")[0]
         self.held: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> list[int]:
@@ -70,7 +80,7 @@ class Encoder:
         """The ids of each text, as the library gives them without special tokens added."""
         if len(self.held) > HELD:
             self.held.clear()
-        words = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
+        words = [None if self.whole or any(s in t for s in self.special) else self.split(t) for t in texts]
         held = self.held
         if missing := {w for ws in words if ws for w in ws if w not in held}:
             self.learn(list(missing))
