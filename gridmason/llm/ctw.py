@@ -256,7 +256,7 @@ def _price(top):
     return run
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, vocabulary long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, n_bytes long, vocabulary long"
 
 
 def _score(bundles: pa.Table, answers: pa.Table) -> pa.Table:
@@ -277,9 +277,10 @@ def _score(bundles: pa.Table, answers: pa.Table) -> pa.Table:
     for bundle in bundles.column("bundle").to_pylist():
         docs = _open(bundle)
         n = docs.num_rows
-        base, score, n_tokens, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        base, score, n_tokens, n_known, n_bytes = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for first, held, found, starts in pieces(docs.column("text").to_pylist(), DEPTH):
             some = slice(first, first + len(held))
+            n_bytes[some] = np.diff(np.r_[starts, len(found)])
             codes, distinct = pd.factorize(found)
             score[some] = np.add.reduceat(cost[np.searchsorted(grams_of, distinct)][codes], starts)
             words, lengths = names_of(held)
@@ -287,17 +288,17 @@ def _score(bundles: pa.Table, answers: pa.Table) -> pa.Table:
             at = np.searchsorted(names, distinct)
             from_ = np.cumsum(lengths) - lengths
             base[some], n_known[some], n_tokens[some] = np.add.reduceat(log_uses[at][codes], from_), np.add.reduceat((uses[at] > 0).astype(np.int64)[codes], from_), lengths
-        out.append(pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "log_counts": base, "score": score, "vocabulary": pa.nulls(n, pa.int64())}))
+        out.append(pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "log_counts": base, "score": score, "n_bytes": n_bytes, "vocabulary": pa.nulls(n, pa.int64())}))
     out.append(pa.table({"vocabulary": pa.array([vocabulary], pa.int64())} | {f.name: pa.nulls(1, f.type) for f in out[0].schema if f.name != "vocabulary"}).select(out[0].column_names))
     return pa.concat_tables(out)
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte for every document.
 
     The model is a context tree over bytes: each next byte is eight binary decisions, each predicted by mixing, from DEPTH bytes of context to none, the
     Krichevsky-Trofimov estimates, weighted as the training text's code lengths bid. A document's bytes are its lower-cased words joined by blanks, and an end, so score and
-    base_score are of the same tokens. score / log10(2), negated, is the code length in bits.
+    base_score are of the same tokens. score / log10(2), negated, is the code length in bits, and bits_per_byte that over n_bytes, the end among them.
 
     Documents are held in blocks of about BLOCK characters. A block asks for its distinct n-grams and words; their counts are summed over all blocks, subtrees of the
     context tree are settled in parallel, the nodes of 0 and 1 bytes (65,536 at most) on the driver, and the block gets back the figures it asked for.
@@ -331,8 +332,9 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     n = words_asked.agg(F.sum("n")).first()[0] or 0
     v = scored.agg(F.sum("vocabulary")).first()[0] or 0
     base = F.col("log_counts") - F.col("n_tokens") * math.log10(n + SMOOTH * (v + 1))
-    return scored.where("vocabulary is null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return scored.where("vocabulary is null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    """The figures of every row of documents, as score has them, and the code length per byte: a null text is its end alone, repeated rows count and are scored each, an empty table gives no rows."""
+    return score(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
