@@ -9,6 +9,7 @@ import re
 import struct
 import zlib
 from array import array
+from bisect import insort
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -35,12 +36,16 @@ OFFSET = 500
 BLANK = "▁"
 #: Parts of texts that can be cut apart: no piece holds a blank after another character, or a line end.
 PARTS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
-#: Parts of texts, up to LONG characters, whose segmentations a worker holds.
-HELD, LONG = 300_000, 40
-#: The loss of a second segmentation where there is none.
-NONE = 1 << 58
+#: Parts of texts whose segmentations a worker holds, and ids in them; parts of more than LONG characters are searched one by one.
+HELD, HELD_IDS, LONG = 300_000, 8_000_000, 40
+#: Positions of a long part whose arcs are found together.
+WINDOW = 4096
+#: Parts whose n best segmentations a worker holds.
+CHOSEN = 50_000
+#: The loss of a second segmentation where there is none, and the score of what is no piece.
+NONE, NO = 1 << 58, -(1 << 60)
 #: Texts whose parts are learned together.
-TEXTS = 256
+TEXTS = 512
 #: Of the polynomial hash of pieces.
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
@@ -80,7 +85,23 @@ class Choice(NamedTuple):
     """A segmentation: the sum of its pieces' scores, and their ids."""
 
     score: int
-    ids: tuple[int, ...]
+    ids: array
+
+
+class NBest(NamedTuple):
+    """The n best segmentations of each of several texts: ids[ends[i] : ends[i + 1]] and scores[i] are the best of text i. others[i] has the others, best first:
+    their scores, and edits to the best: (index of an id, how many ids go, the ids that come)."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    scores: list[int]
+    others: list[list[tuple[int, list[tuple[int, int, array]]]]]
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], and on for lengths[0] numbers; starts[1], and so on."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Lattice:
@@ -113,50 +134,99 @@ class Lattice:
         self.begin = np.searchsorted(heads, np.arange(1 << HEAD)).astype(np.int32)
         self.depth = int(np.bincount(heads).max())
         self.hashes, self.hash_ids = np.r_[self.hashes, np.zeros(self.depth, np.uint64)], np.r_[self.hash_ids, np.full(self.depth, -1)]
-        self.score_of = np.array(self.scores)
-        #: Of a part: the ids of its best segmentation, packed; its score; how much less the second scores.
-        self.held: dict[str, tuple[bytes, int, int]] = {}
+        self.heads = np.r_[np.bincount(heads, minlength=1 << HEAD)].astype(np.int8)
+        #: By id; the last is for no piece.
+        self.score_of = np.array([*self.scores, NO])
+        lengths = np.array(list(map(len, self.bytes)))
+        self.byte_at, self.byte_length = np.r_[0, np.cumsum(lengths)[:-1]], lengths
+        self.all_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget all parts."""
+        self.held: dict[str, int] = {}
+        self.chosen: dict[str, list[Choice]] = {}
+        #: Of each part held: where its best segmentation lies in flat, and its length; its score; how much less the second scores.
+        self.at, self.length, self.total, self.loss = (np.empty(0, np.int64) for _ in range(4))
+        self.flat = np.empty(0, np.int32)
+
+    def ending(self, part: str, end: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        """The pieces that end at a position, the longest first: where they begin, their scores and ids. A character that is no piece gives its bytes."""
+        ids, scores = self.ids, self.scores
+        here = [(at, scores[i], (i,)) for at in range(max(0, end - self.longest), end) if (i := ids.get(part[at:end])) is not None]
+        if not here or here[-1][0] != end - 1:
+            here.append((end - 1, self.unknown, tuple(self.byte_ids[b] for b in part[end - 1].encode())))
+        return here
 
     def arcs(self, part: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """For each position, the pieces that end there, the longest first: where they begin, their scores and ids. A character that is no piece gives its bytes."""
-        ids, scores = self.ids, self.scores
-        out: list[list[tuple[int, int, tuple[int, ...]]]] = [[]]
-        for end in range(1, len(part) + 1):
-            here = [(at, scores[i], (i,)) for at in range(max(0, end - self.longest), end) if (i := ids.get(part[at:end])) is not None]
-            if not here or here[-1][0] != end - 1:
-                here.append((end - 1, self.unknown, tuple(self.byte_ids[b] for b in part[end - 1].encode())))
-            out.append(here)
+        """ending() for each position."""
+        return [[], *(self.ending(part, end) for end in range(1, len(part) + 1))]
+
+    def _window(self, part: str, lo: int) -> list[list[tuple[int, int, tuple[int, ...]]]]:
+        """ending() for the WINDOW positions after lo."""
+        first, hi = max(0, lo - self.longest), min(len(part), lo + WINDOW)
+        chars = np.frombuffer(part[first:hi].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        # hashes of all runs of 1, 2, ... characters that end at each position
+        run, shape = np.zeros(len(chars), np.uint64), (self.longest, hi - lo)
+        found, power = np.full(shape, -1), 1
+        for length in range(1, min(self.longest, len(chars)) + 1):
+            run[length - 1 :] += chars[: len(chars) - length + 1] * np.uint64(power)
+            power = power * BASE % (1 << 64)
+            ends = np.arange(max(lo, first + length - 1), hi)
+            found[length - 1, ends - lo] = self._ids(run[ends - first])
+        out: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(hi - lo)]
+        at, shorter = np.nonzero(found[::-1].T >= 0)
+        ids = found[::-1].T[at, shorter]
+        for i, start, score, id in zip(at.tolist(), (lo + at + 1 - (self.longest - shorter)).tolist(), self.score_of[ids].tolist(), ids.tolist()):
+            out[i].append((start, score, (id,)))
+        for i in np.flatnonzero(found[0] < 0).tolist():
+            out[i].append((lo + i, self.unknown, tuple(self.byte_ids[b] for b in part[lo + i].encode("utf-8", "surrogatepass"))))
         return out
 
     def search(self, part: str, n: int) -> list[Choice]:
         """The n best segmentations of a part, best first.
 
         Viterbi scores from the start are the exact remaining scores of a search that runs backward from the end, so it pops
-        hypotheses in the order of their whole scores; none needs to pass a position more than n times. Ties go to the one that was reached first,
+        hypotheses in the order of their whole scores. Each hypothesis on the agenda stands for a segmentation of its own of exactly its score, so the agenda holds no more
+        of them than are still asked for, and memory grows with the part by its scores and the n lists of ids alone. Ties go to the one that was reached first,
         where longer last pieces are reached before shorter.
         """
-        arcs = self.arcs(part)
-        best = [0]
-        for here in arcs[1:]:
-            best.append(max([best[at] + score for at, score, _ in here]))
-        push, pop = heapq.heappush, heapq.heappop
-        agenda = [(-best[-1], 0, len(part), 0, None)]
-        passed = [0] * len(arcs)
-        found, order = [], 0
-        while agenda and len(found) < n:
-            _, _, at, behind, path = pop(agenda)
+        windows: dict[int, list[list[tuple[int, int, tuple[int, ...]]]]] = {}
+
+        def far(end: int) -> list[tuple[int, int, tuple[int, ...]]]:
+            k, i = divmod(end - 1, WINDOW)
+            if k not in windows:
+                if len(windows) == 4:
+                    del windows[next(iter(windows))]
+                windows[k] = self._window(part, k * WINDOW)
+            return windows[k][i]
+
+        arcs = self.arcs(part).__getitem__ if len(part) <= LONG else far
+        best = array("q", [0])
+        for end in range(1, len(part) + 1):
+            best.append(max([best[at] + score for at, score, _ in arcs(end)]))
+        #: (score, order, position, score behind, ids behind in a list that others share, how many of them count, the last piece)
+        agenda = [(-best[-1], 0, len(part), 0, array("i"), 0, ())]
+        found: list[Choice] = []
+        order = 0
+        while agenda:
+            _, _, at, behind, ids, length, last = agenda.pop(0)
+            if len(ids) != length:
+                ids = ids[:length]
+            ids.extend(last[::-1])
             if at == 0:
-                ids: list[int] = []
-                while path:
-                    ids += path[0]
-                    path = path[1]
-                found.append(Choice(behind, tuple(ids)))
-            elif passed[at] < n:
-                passed[at] += 1
-                for start, score, ids in arcs[at]:
-                    order += 1
-                    score += behind
-                    push(agenda, (-(best[start] + score), order, start, score, (ids, path)))
+                found.append(Choice(behind, ids[::-1]))  # a copy: others may share the list
+                if len(found) == n:
+                    break
+                continue
+            length, room = len(ids), n - len(found)
+            for start, score, piece in arcs(at):
+                order += 1
+                score += behind
+                whole = -(best[start] + score)
+                if len(agenda) < room or whole < agenda[-1][0]:
+                    insort(agenda, (whole, order, start, score, ids, length, piece))
+                    del agenda[room:]
         return found
 
     @staticmethod
@@ -168,102 +238,152 @@ class Lattice:
 
     def _ids(self, hashes: np.ndarray) -> np.ndarray:
         """The piece of each hash, -1 where there is none."""
-        hashes = hashes * np.uint64(MIX)
-        at = self.begin[hashes >> np.uint64(64 - HEAD)]
+        hashes = hashes.ravel() * np.uint64(MIX)
+        head = hashes >> np.uint64(64 - HEAD)
         out = np.full(hashes.shape, -1)
+        some = np.flatnonzero(self.heads[head])
+        many, begin, wanted = self.heads[head[some]], self.begin[head[some]], hashes[some]
         for step in range(self.depth):
-            hit = self.hashes[at + step] == hashes
-            out[hit] = self.hash_ids[at[hit] + step]
+            hit = self.hashes[begin + step] == wanted
+            out[some[hit]] = self.hash_ids[begin[hit] + step]
+            rest = np.flatnonzero(~hit & (many > step + 1))
+            some, many, begin, wanted = some[rest], many[rest], begin[rest], wanted[rest]
         return out
 
-    def learn(self, parts: list[str]) -> None:
-        """Hold the best segmentation of each part, its score, and how much less the second scores, by forward Viterbi over all parts of a length at once."""
+    def learn(self, parts: list[str], n: int = 2) -> None:
+        """Hold the best segmentation of each part, its score, and how much less the second scores: by forward Viterbi over all short parts of a length at once."""
         by_length: dict[int, list[str]] = {}
         for p in parts:
-            by_length.setdefault(len(p), []).append(p)
-        for length, some in by_length.items():
-            if length <= LONG:
-                for at in range(0, len(some), 4096):
-                    self._learn(length, some[at : at + 4096])
+            by_length.setdefault(len(p) if len(p) <= LONG else LONG + 1, []).append(p)
+        at, length, total, loss, flat, used = [self.at], [self.length], [self.total], [self.loss], [self.flat], len(self.flat)
+        for size, some in sorted(by_length.items()):
+            for i in range(0, len(some), 4096):
+                names = some[i : i + 4096]
+                ids, lengths, totals, losses = self._learn(size, names) if size <= LONG else self._first(names, n)
+                self.held.update(zip(names, range(len(self.held), len(self.held) + len(names))))
+                at.append(used + np.cumsum(lengths) - lengths)
+                used += len(ids)
+                for to, x in ((length, lengths), (total, totals), (loss, losses), (flat, ids)):
+                    to.append(x)
+        self.at, self.length, self.total, self.loss, self.flat = map(np.concatenate, (at, length, total, loss, flat))
+
+    def _first(self, parts: list[str], n: int) -> tuple[np.ndarray, ...]:
+        """As _learn, by search, for parts of any lengths. Their n best stay chosen."""
+        for p in parts:
+            self.chosen[p] = self.search(p, max(2, n))
+        best = [self.chosen[p] for p in parts]
+        ids = np.concatenate([np.frombuffer(c[0].ids, np.int32) for c in best])
+        return ids, np.array([len(c[0].ids) for c in best]), np.array([c[0].score for c in best]), np.array([c[0].score - c[1].score if len(c) > 1 else NONE for c in best])
 
-    def _learn(self, length: int, parts: list[str]) -> None:
+    def _learn(self, length: int, parts: list[str]) -> tuple[np.ndarray, ...]:
+        """Of parts of a length: the ids of their best segmentations, one after the other, how many each has, their scores, and how much less the second ones score."""
         n = len(parts)
-        chars = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").reshape(n, length).astype(np.uint64)
+        chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).astype(np.uint64)
         prefix = np.zeros((length + 1, n), np.uint64)
         power = np.ones(length + 1, np.uint64)
         for i in range(length):
             prefix[i + 1] = prefix[i] * np.uint64(BASE) + chars[:, i] + np.uint64(1)
             power[i + 1] = int(power[i]) * BASE % (1 << 64)
-        none = np.int64(-(1 << 60))
-        one, two = np.full((length + 1, n), none), np.full((length + 1, n), none)
+        one, two = np.full((length + 1, n), NO), np.full((length + 1, n), NO)
         one[0] = 0
         back, piece = np.zeros((length + 1, n), np.int64), np.full((length + 1, n), -1)
+        column = np.arange(n)
         for end in range(1, length + 1):
             starts = np.arange(max(0, end - self.longest), end)
-            h = prefix[end] - prefix[starts] * power[end - starts][:, None]
-            ids = self._ids(h)
-            score = np.where(ids >= 0, self.score_of[ids], none)
-            score[-1] = np.where(ids[-1] >= 0, score[-1], self.unknown)
-            through = np.maximum(one[starts] + score, none)
+            ids = self._ids(prefix[end] - prefix[starts] * power[end - starts][:, None]).reshape(len(starts), n)
+            score = self.score_of[ids]
+            score[-1, ids[-1] < 0] = self.unknown
+            through = one[starts] + score
             best = through.argmax(axis=0)  # the first of equals is the longest
-            at = np.arange(n)
-            one[end], back[end], piece[end] = through[best, at], starts[best], ids[best, at]
-            second = np.maximum(two[starts[best], at] + score[best, at], none)
-            through[best, at] = none
-            two[end] = np.maximum(second, through.max(axis=0))
-        total, loss = one[length].tolist(), (one[length] - two[length]).tolist()
-        pieces, backs = piece.T.tolist(), back.T.tolist()
-        for part, own, to, score, less in zip(parts, pieces, backs, total, loss):
-            ids: list[int] = []
-            end = length
-            while end:
-                ids += [own[end]] if own[end] >= 0 else [self.byte_ids[b] for b in reversed(part[end - 1].encode())]
-                end = to[end]
-            ids.reverse()
-            self.held[part] = (array("i", ids).tobytes(), score, min(less, NONE))
-
-    def first(self, part: str) -> tuple[bytes, int, int]:
-        """As learn, for one part, which isn't held."""
-        one, *more = self.search(part, 2)
-        return array("i", one.ids).tobytes(), one.score, one.score - more[0].score if more else NONE
-
-    def nbest(self, text: str, n: int) -> list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]:
+            one[end], back[end], piece[end] = through[best, column], starts[best], ids[best, column]
+            second = two[starts[best], column] + score[best, column]
+            through[best, column] = NO
+            two[end] = np.maximum(np.maximum(second, through.max(axis=0)), NO)
+        # back along all best paths at once; the pieces of step i are i-th from the end
+        steps, at = [], np.full(n, length)
+        while at.any():
+            own = piece[at, column]
+            steps.append(np.where(at > 0, own, -2))
+            for i in np.flatnonzero((at > 0) & (own < 0)):
+                steps[-1][i] = -3 - int(chars[i, at[i] - 1])
+            at = back[at, column]
+        path = np.stack(steps[::-1], axis=1)
+        ids, row = path[path != -2], np.nonzero(path != -2)[0]
+        lengths = np.bincount(row, minlength=n)
+        if (ids < 0).any():  # characters that are no pieces
+            spelled = [[i] if i >= 0 else [self.byte_ids[b] for b in chr(-3 - i).encode("utf-8", "surrogatepass")] for i in ids.tolist()]
+            lengths = np.bincount(np.repeat(row, list(map(len, spelled))), minlength=n)
+            ids = np.array(list(itertools.chain.from_iterable(spelled)))
+        return ids.astype(np.int32), lengths, one[length], np.minimum(one[length] - two[length], NONE)
+
+    def best(self, part: str) -> Choice:
+        """The best segmentation of a part that is held."""
+        i = self.held[part]
+        return Choice(int(self.total[i]), array("i", self.flat[self.at[i] : self.at[i] + self.length[i]].tobytes()))
+
+    def choices(self, part: str, n: int) -> list[Choice]:
+        """search(), held."""
+        found = self.chosen.get(part)
+        if found is None or len(found) < n and len(found) == 2:
+            if len(self.chosen) >= CHOSEN:
+                self.chosen.clear()
+            found = self.chosen[part] = self.search(part, n)
+        return found[:n]
+
+    def nbest(self, text: str, n: int) -> list[tuple[int, list[tuple[int, int, array]]]]:
         """The n best segmentations of a text: the first by its score and one edit (0, 0, all its ids); the others by their scores and edits to the first:
         (index of an id, how many ids go, the ids that come). An empty text has one, without ids."""
-        return next(self.nbest_of([text], n))
+        found = self.nbest_of([text], n)
+        return [(found.scores[0], [(0, 0, array("i", found.ids.tobytes()))]), *found.others[0]]
 
-    def nbest_of(self, texts: list[str | None], n: int) -> Iterator[list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """nbest of each text; their parts are learned together."""
+    def nbest_of(self, texts: list[str | None], n: int) -> NBest:
+        """The n best segmentations of each text; their parts are learned together."""
+        if len(self.held) > HELD or len(self.flat) > HELD_IDS:
+            self.reset()
         split = [PARTS.findall(" " + t) if t else [] for t in texts]
-        if len(self.held) > HELD:
-            self.held.clear()
-        if new := set(itertools.chain.from_iterable(split)).difference(self.held):
-            self.learn(list(new))
-        for names in split:
-            yield self._combined(names, n)
-
-    def _combined(self, names: list[str], n: int) -> list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]:
-        held = self.held
-        if names and max(map(len, names)) > LONG:
-            held = {p: self.first(p) if len(p) > LONG else held[p] for p in names}
-        parts = list(map(held.__getitem__, names))
-        packed = [p[0] for p in parts]
-        ids = array("i", b"".join(packed))
-        total = sum([p[1] for p in parts])
-        out = [(total, [(0, 0, ids)])]
-        if n == 1:
-            return out
-        # a combination within the n best changes only the n - 1 parts that lose least
-        losses = np.array([p[2] for p in parts], np.int64)
-        some = np.sort(np.argsort(losses, kind="stable")[: n - 1])
+        names = list(itertools.chain.from_iterable(split))
+        if new := set(names).difference(self.held):
+            self.learn(list(new), n)
+        number = np.fromiter(map(self.held.__getitem__, names), np.int64, len(names))
+        bounds = np.cumsum([0, *map(len, split)])
+        lengths = self.length[number]
+        begin = np.r_[0, np.cumsum(lengths)]
+        totals = np.r_[0, np.cumsum(self.total[number])][bounds]
+        losses = self.loss[number]
+        others = [self._others(names, losses, lengths, begin, lo, hi, int(total), n) for lo, hi, total in zip(bounds.tolist(), bounds[1:].tolist(), np.diff(totals))]
+        return NBest(self.flat[ranges(self.at[number], lengths)], begin[bounds], np.diff(totals).tolist(), others)
+
+    def _others(self, names: list[str], losses: np.ndarray, lengths: np.ndarray, begin: np.ndarray, lo: int, hi: int, total: int, n: int) -> list[tuple[int, list[tuple[int, int, array]]]]:
+        """The second to the n-th best segmentation of the text whose parts are names[lo:hi]."""
+        if n == 1 or lo == hi:
+            return []
+        # a combination within the n best changes only the n - 1 parts that lose least; of equals, the first
+        own = losses[lo:hi]
+        if len(own) >= n:
+            most = np.partition(own, n - 2)[n - 2]
+            less = np.flatnonzero(own < most)
+            some = np.sort(np.r_[less, np.flatnonzero(own == most)[: n - 1 - len(less)]])
+        else:
+            some = np.arange(len(own))
         mixed: list[tuple[int, tuple[tuple[int, int], ...]]] = [(0, ())]
-        choices = {i: self.search(names[i], n) for i in some.tolist() if losses[i] < NONE}
-        for i in sorted(choices):
-            more = [(lost + choices[i][0].score - c.score, picks + ((i, k),) if k else picks) for lost, picks in mixed for k, c in enumerate(choices[i])]
+        choices = {i: self.choices(names[lo + i], n) for i in some.tolist() if own[i] < NONE}
+        for i, found in choices.items():
+            more = [(lost + found[0].score - c.score, picks + ((i, k),) if k else picks) for lost, picks in mixed for k, c in enumerate(found)]
             mixed = heapq.nsmallest(n, more)
-        at = {i: sum(map(len, packed[:i])) // 4 for i in choices}
-        out += [(total - lost, [(at[i], len(packed[i]) // 4, choices[i][k].ids) for i, k in picks]) for lost, picks in mixed[1:]]
-        return out
+        at = {i: (int(begin[lo + i] - begin[lo]), int(lengths[lo + i])) for i in choices}
+        return [(total - lost, [(*at[i], choices[i][k].ids) for i, k in picks]) for lost, picks in mixed[1:]]
+
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the bytes of the texts ids[ends[i] : ends[i + 1]], one after the other, where each begins and the last ends). A blank that stands before every text is taken away."""
+        lengths = self.byte_length[ids]
+        begin = np.r_[0, np.cumsum(lengths)]
+        out = self.all_bytes[ranges(self.byte_at[ids], lengths)]
+        at = begin[ends]
+        first = at[:-1][at[:-1] < at[1:]]
+        first = first[out[first] == 0x20]
+        keep = np.ones(len(out), bool)
+        keep[first] = False
+        return out[keep], at - np.searchsorted(first, at)
 
     def decode(self, ids) -> str:
         """The text of a segmentation. A blank that stands before every text is taken away."""
@@ -295,23 +415,38 @@ def encode(docs: DataFrame, path: str, n: int = 4, text: str = "text") -> DataFr
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa.RecordBatch]:
     """Batches whose last column is the text, with ids, score and others in its place."""
     model = lattice(path)
-    kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("gone", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
     for whole in batches:
         for at in range(0, whole.num_rows, TEXTS):
             b = whole.slice(at, TEXTS)
-            flat, ends, scores, others = array("i"), [0], [], []
-            for (score, [(_, _, ids)]), *rest in model.nbest_of(b.column(b.num_columns - 1).to_pylist(), n):
-                flat.extend(ids)
-                ends.append(len(flat))
-                scores.append(score / UNIT)
-                others.append([{"score": s / UNIT, "edits": [{"at": a, "gone": g, "ids": list(x)} for a, g, x in edits]} for s, edits in rest])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(scores, pa.float64()), pa.array(others, kind)], names=[*b.schema.names[:-1], "ids", "score", "others"])
+            found = model.nbest_of(b.column(b.num_columns - 1).to_pylist(), n)
+            lists = pa.ListArray.from_arrays(pa.array(found.ends, pa.int32()), pa.array(found.ids))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(np.array(found.scores) / UNIT), _edits(found.others)], names=[*b.schema.names[:-1], "ids", "score", "others"])
+
+
+def _edits(others: list[list[tuple[int, list[tuple[int, int, array]]]]]) -> pa.ListArray:
+    """NBest.others as nested lists."""
+    each = [x for some in others for x in some]
+    edits = [e for _, x in each for e in x]
+    ids = array("i")
+    for *_, x in edits:
+        ids.extend(x)
+    ends = lambda lists: pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+    column = lambda values, kind: pa.array(np.array(values, kind))
+    new = pa.ListArray.from_arrays(ends([e[2] for e in edits]), column(ids, np.int32))
+    changes = pa.StructArray.from_arrays([column([e[0] for e in edits], np.int32), column([e[1] for e in edits], np.int32), new], ["at", "gone", "ids"])
+    rows = pa.StructArray.from_arrays([column([s / UNIT for s, _ in each], np.float64), pa.ListArray.from_arrays(ends([x for _, x in each]), changes)], ["score", "edits"])
+    return pa.ListArray.from_arrays(ends(others), rows)
+
+
+def _spelled(column: pa.ListArray, model: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+    return model.spell(column.flatten().to_numpy(zero_copy_only=False), ends)
 
 
 def _decoded(column: pa.ListArray, model: Lattice) -> list[str]:
-    flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *[n or 0 for n in pc.list_value_length(column).to_pylist()]]).tolist()
-    return [model.decode(flat[x:y]) for x, y in zip(at, at[1:])]
+    text, ends = _spelled(column, model)
+    held = text.tobytes()
+    return [held[a:b].decode(errors="replace") for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -332,14 +467,19 @@ def _model() -> str:
 
 
 def pieces(docs: DataFrame, path: str, n: int = 4, *more: str) -> DataFrame:
-    """doc_id, n_pieces, ids, score, others, text_crc32 (of the text that ids decode to), and the columns named in more. Texts are encoded and decoded in one task, one batch after the other."""
+    """doc_id, n_pieces, ids, score, others, text_crc32 (of the text that ids decode to), and the columns named in more. Texts are encoded and decoded in one task, one batch after the other.
+
+    A null or empty text has no pieces, score 0, no others and crc 0. Repeated rows and null ids are rows like any other; an empty table gives no rows; further columns are ignored. A text without any blank is
+    searched with memory for its scores, its arcs of a few thousand positions, and its n lists of ids.
+    """
     keep = [F.col("doc_id").cast("long").alias("doc_id"), *more]
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*more).schema.fields) if more else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _encoded(batches, path, n):
             doc_id, *own, ids, score, others = b.columns
-            crcs = [zlib.crc32(t.encode()) for t in _decoded(ids, lattice(path))]
+            text, ends = _spelled(ids, lattice(path))
+            crcs = [zlib.crc32(text[a:z]) for a, z in zip(ends.tolist(), ends[1:].tolist())]
             columns = [doc_id, pc.list_value_length(ids).cast(pa.int64()), ids, score, others, pa.array(crcs, pa.int64()), *own]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "score", "others", "text_crc32", *more])
 
@@ -347,6 +487,7 @@ def pieces(docs: DataFrame, path: str, n: int = 4, *more: str) -> DataFrame:
 
 
 def op4(spark, sf_dir: str, path: str | None = None) -> DataFrame:
+    """pieces() of every row of documents. Its ids are the likeliest segmentation by the pieces' log-probabilities, not the merges that the byte-pair encoder of the same file would make."""
     return pieces(table(spark, sf_dir, "documents"), path or _model())
 
 
