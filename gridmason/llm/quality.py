@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bind, cut, table
+from .common import WORD, bind, cut, stored, table
 
 SYMBOLS = "#*$%&|<>"
 #: Each rule is a share of 0 to 1, higher for worse texts, held in BINS steps.
@@ -141,9 +141,9 @@ def label_of(labels: DataFrame) -> DataFrame:
 
 
 def fit(feats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cutoffs from the labelled texts that the base rules keep."""
+    """Cutoffs from the labelled texts that the base rules keep: a row for each stratum, written as a table, so that the planner knows how small it is."""
     held = feats.where("not base_failed").join(label_of(labels), F.col("doc_id") == F.col("labelled_id"))
-    return cut(cutoffs(held))
+    return stored(cutoffs(held))
 
 
 def with_verdict(feats: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -166,17 +166,20 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """The counts of every row of documents, base_failed and kept, as judge has them: nulls and empty texts fail, repeated rows are judged each, an empty table gives no rows."""
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with cutoffs fitted on the stage's own labelled documents."""
-    cuts = fit(features(docs), table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    carried = docs.select("doc_id", "lang", "text", F.struct(*columns).alias("__row"))
-    kept = with_verdict(features(carried, ("doc_id", "lang", "__row")), cuts).where("kept")
-    return kept.select("__row.*")
+    """The documents that the rules keep, with cutoffs fitted on the stage's own labelled documents.
+
+    Each text is measured once: rows are written with their features, which the fit and the verdicts read. Null and empty texts go, since they have no words. Repeated rows are judged each, columns of
+    any names are kept, an empty table gives an empty one, and without labels only the base rules reject.
+    """
+    carried = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("__row"))
+    scored = stored(features(carried, ("doc_id", "lang", "__row")))
+    return with_verdict(scored, fit(scored, table(spark, sf_dir, "labels"))).where("kept").select("__row.*")
 
 
 ORACLE = r"""
