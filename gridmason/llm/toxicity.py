@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import zlib
 from collections import Counter
@@ -34,7 +35,7 @@ COMMON = 0.004
 CONFUSABLE = 300
 SEED = 3
 #: Rows, texts and words handled at once while fitting.
-PART = 4096
+PART = 1024
 
 
 def _classes() -> np.ndarray:
@@ -69,7 +70,7 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     keep[ends[single]] = False
     z, of = z[keep], of[keep]
     starts = np.flatnonzero(z == 0)
-    return z, starts, of[starts]
+    return z, starts.astype(np.int32), of[starts].astype(np.int32)
 
 
 def subsequences(z: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -113,6 +114,14 @@ def kernel(z: np.ndarray, starts: np.ndarray, landmarks: np.ndarray, rows: np.nd
     return out
 
 
+def features_of(z: np.ndarray, starts: np.ndarray, landmarks: np.ndarray, rows: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The kernel times root, PART words at a time."""
+    out = np.empty((len(starts), root.shape[1]), np.float32)
+    for at, some in enumerate(parts_of(z, starts)):
+        np.matmul(kernel(*some, landmarks, rows), root, out=out[at * PART : at * PART + PART])
+    return out
+
+
 def _weights(words: list[str], more: list[bytes] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """(subsequences by words, rows): each word's weight of each subsequence that any of them has, of length 1 a word. more: words given by their classes."""
     z, starts, of = symbols(words)
@@ -175,6 +184,40 @@ def _words(text: str) -> set[str]:
     return {w for w in ("".join(filter(str.isalnum, x)) for x in text.lower().split()) if len(w) > 3}
 
 
+def words_in(z: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The classes of each word, the 0 before it among them."""
+    held = z.tobytes()
+    return [held[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(z)])]
+
+
+def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """z and starts of words that words_in gave."""
+    return np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)], dtype=np.int64)[:-1]
+
+
+def parts_of(z: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """z and starts of PART words at a time."""
+    ends = np.r_[starts[1:], len(z)]
+    for at in range(0, len(starts), PART):
+        some = slice(at, at + PART)
+        yield z[starts[some][0] : ends[some][-1]], starts[some] - starts[some][0]
+
+
+def indexed(groups: list[list[str]]) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """(the distinct words of all texts, for each group the numbers of its texts' words and where each text begins)."""
+    number: dict[bytes, int] = {}
+    out = []
+    for texts in groups:
+        ids, begin, n = [], [], 0
+        for at in range(0, len(texts), 256):
+            z, starts, of = symbols(texts[at : at + 256])
+            ids.append(np.array([number.setdefault(x, len(number)) for x in words_in(z, starts)], np.int32))
+            begin.append(n + np.flatnonzero(np.r_[True, of[1:] != of[:-1]]))
+            n += len(starts)
+        out.append((np.concatenate(ids or [np.empty(0, np.int32)]), np.concatenate(begin or [np.empty(0, np.int64)])))
+    return list(number), out
+
+
 def landmark_words(toxic: list[str], clean: list[str]) -> tuple[dict[str, int], list[str]]:
     """Words of toxic texts only, with the number of groups of texts that they stand in, those of most groups; and the words in most clean texts.
 
@@ -213,7 +256,10 @@ def fit(toxic: list[str], clean: list[str], more: list[str], labels: np.ndarray)
         return Model(np.zeros(CODES), 0.0, 1.0, float(np.log((labels.sum() + 1) / (rest + 1))))
     z, starts, _ = symbols(sorted(set().union(*map(_words, clean[:CONFUSABLE]))))
     alike = kernel(z, starts, *_weights(list(only)))
-    near = {z[starts[i] : [*starts[1:], len(z)][i]].tobytes() for i in np.unique(np.argsort(-alike, axis=0)[:LIKE])}
+    like = np.unique([np.argsort(-alike[:, j])[:LIKE] for j in range(alike.shape[1])])
+    candidates = words_in(z, starts)
+    near = {candidates[i] for i in like}
+    del alike, candidates
     marks, rows = _weights(words, sorted(near))
     value, vector = np.linalg.eigh(marks.T @ marks)
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T  # of the landmarks' kernel matrix, inverted
@@ -225,45 +271,37 @@ def fit(toxic: list[str], clean: list[str], more: list[str], labels: np.ndarray)
         return table
 
     weights = spread(np.r_[[n / len(toxic) for n in only.values()], -np.ones(len(others) + len(near)) / len(others)])
-    bad, good = ([symbols(x[i : i + 256]) for i in range(0, len(x), 256)] for x in (toxic, clean))
-
-    def words_of(part: tuple) -> Iterator[bytes]:
-        z, starts, _ = part
-        held = z.tobytes()
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(z)]):
-            yield held[a:b]
-
-    def picked(parts: list[tuple], n: int) -> Iterator[bytes]:
-        """The n words that score highest in each text."""
-        for z, starts, text in parts:
-            sums = word_sums(z, starts, weights.astype(np.float32))
-            order = np.lexsort((-sums, text))
-            first = np.flatnonzero(np.r_[True, text[order][1:] != text[order][:-1]])
-            nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-            ends = np.r_[starts[1:], len(z)]
-            for i in order[nth < n]:
-                yield z[starts[i] : ends[i]].tobytes()
+    vocabulary, (bad, good) = indexed([toxic, clean])
+    z, starts = joined(vocabulary)
+    of_clean = np.zeros(len(vocabulary), bool)
+    of_clean[good[0]] = True
+
+    def picked(ids: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+        """The n words that score highest in each text, by their numbers."""
+        sums = np.concatenate([word_sums(*some, weights.astype(np.float32)) for some in parts_of(z, starts)])[ids]
+        text = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(ids)]))
+        order = np.lexsort((-sums, text))
+        return ids[order[np.arange(len(ids)) - begin[text] < n]]
 
     rng = np.random.default_rng(SEED)
-    z, starts, _ = symbols([w for w, n in only.items() if n >= max(3, COMMON * len(toxic))])
-    ends = np.r_[starts[1:], len(z)]
-    known = [x for a, b in zip(starts, ends) if len(x := z[a:b].tobytes()) > 1]
+    known = [x for x in words_in(*symbols([w for w, n in only.items() if n >= max(3, COMMON * len(toxic))])[:2]) if len(x) > 1]
     examples = Counter(known) + Counter(v for x in known for v in variants(x, rng))
-    clean_words = {w for part in good for w in words_of(part)}
-    hard: set[bytes] = set(picked(good, HARD))
+    each = 5 / max(1, len(examples))
+    number = {x: i for i, x in enumerate(vocabulary)}
+    examples = {x: n for x, n in examples.items() if not (x in number and of_clean[number[x]])}
+    del number
+    hard = np.zeros(len(vocabulary), bool)
+    hard[picked(*good, HARD)] = True
     for _ in range(ROUNDS):
-        top = Counter(picked(bad, 1))
-        positive = {x: n / len(toxic) for x, n in top.items() if x not in clean_words}
+        top = np.bincount(picked(*bad, 1), minlength=len(vocabulary)) * ~of_clean
+        positive = {vocabulary[i]: int(top[i]) / len(toxic) for i in np.flatnonzero(top)}
         for x, n in examples.items():
-            if x not in clean_words:
-                positive[x] = positive.get(x, 0) + 5 * n / len(examples)
-        keys = [*positive, *sorted(hard - positive.keys())]
-        z = np.frombuffer(b"".join(keys), np.uint8)
-        starts = np.cumsum([0, *map(len, keys)])[:-1]
+            positive[x] = positive.get(x, 0) + n * each
+        keys = [*positive, *sorted(vocabulary[i] for i in np.flatnonzero(hard) if vocabulary[i] not in positive)]
         n_bad, n_good = len(positive), len(keys) - len(positive)
-        w = svm(kernel(z, starts, marks, rows) @ root.astype(np.float32), np.r_[np.ones(n_bad), -np.ones(n_good)], np.r_[[*positive.values()], np.full(n_good, 10 / max(1, n_good))])
+        w = svm(features_of(*joined(keys), marks, rows, root.astype(np.float32)), np.r_[np.ones(n_bad), -np.ones(n_good)], np.r_[[*positive.values()], np.full(n_good, 10 / max(1, n_good))])
         weights = spread(root @ w[:-1])
-        hard |= set(picked(good, HARD))
+        hard[picked(*good, HARD)] = True
     model = Model(weights, w[-1], 1.0, 0.0)
     model.slope, model.shift = platt(model.decide(more), labels)
     return model
@@ -300,7 +338,8 @@ def fold(id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labelled rows of fold 0, calibrated on fold 2; at most `sample` toxic texts and CLEAN times as many others of each fold, those whose ids hash lowest, reach the driver.
 
-    A doc_id with several labels counts as toxic if one says so; null labels and ids don't count.
+    A doc_id with several labels counts as toxic if one says so; null labels and ids don't count. Of a doc_id with several texts, the model learns from the greatest in order of characters. A null text is an
+    empty one. Without toxic examples, or others, every text gets the share of toxic ones as its score.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold != 1")
@@ -315,11 +354,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for r in rows.orderBy("doc_id").toLocalIterator():
         found.setdefault((r.fold, r.toxic), []).append(r.text or "")
     get = lambda f, t: found.get((f, t), [])
-    return fit(get(0, 1), get(0, 0), get(2, 1) + get(2, 0), np.r_[np.ones(len(get(2, 1))), np.zeros(len(get(2, 0)))])
+    model = fit(get(0, 1), get(0, 0), get(2, 1) + get(2, 0), np.r_[np.ones(len(get(2, 1))), np.zeros(len(get(2, 0)))])
+    found.clear()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)  # else the C library keeps what the fit has freed
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1) in place of the text: the probability that it is toxic, by its most insulting word. A null text is scored as an empty one."""
+    """docs with score (0 to 1) in place of the text: the probability that it is toxic, by its most insulting word. A null text is scored as an empty one, repeated rows each, and an empty table gives an empty one."""
     keep = [c for c in docs.columns if c != text]
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -333,6 +376,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents, as score has them; a null id isn't held out."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     held = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
@@ -341,7 +385,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score below THRESHOLD, by a model trained on the labelled ones among them."""
+    """The documents that score below THRESHOLD, by a model trained on the labelled ones among them. Null and empty texts have the score of no insult; repeated rows go or stay together; columns of any names are kept; an empty table gives an empty one."""
     model = train(docs, table(spark, sf_dir, "labels"))
     columns = docs.columns
     scored = score(docs.select(F.struct(*columns).alias("__row"), F.col("text").alias("__text")), model, "__text")
