@@ -9,16 +9,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import cut, stored, table
+from ..operators.graph import union_find
+from .common import release, stored, table
 from .graph import components
 
 BITS = 64
-#: Fingerprints are cut into this many blocks. Of two that differ in at most DISTANCE bits, BLOCKS - DISTANCE blocks or more agree.
+#: Fingerprints are cut into this many blocks or more. Of two that differ in at most DISTANCE bits, all blocks but DISTANCE or more agree.
 BLOCKS = 6
 DISTANCE = 4
+#: Fingerprints that share a key by chance, on average, at most.
+CROWD = 4
 SEED = 42
 #: A bucket with more fingerprints than this is searched in tiles, by several tasks.
 TILE = 1 << 16
@@ -59,11 +63,19 @@ def fingerprints(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def block_masks(blocks: int = BLOCKS, agree: int = BLOCKS - DISTANCE) -> list[int]:
+def blocks_for(n: int) -> int:
+    """The number of blocks for n distinct fingerprints: the keys, of all blocks but DISTANCE, widen with it, so that chance buckets don't grow with the corpus. 6 up to some 10 million, 8 up to 17 billion."""
+    blocks = BLOCKS
+    while BITS * (blocks - DISTANCE) // blocks < math.log2(max(n, 1) / CROWD) and blocks < 16:
+        blocks += 1
+    return blocks
+
+
+def block_masks(blocks: int = BLOCKS) -> list[int]:
     """For each choice of blocks that may agree, a mask of their bits."""
     at = [round(i * BITS / blocks) for i in range(blocks + 1)]
     parts = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(at)]
-    return [sum(c) for c in itertools.combinations(parts, agree)]
+    return [sum(c) for c in itertools.combinations(parts, blocks - DISTANCE)]
 
 
 def _near(one: np.ndarray, other) -> np.ndarray:
@@ -120,14 +132,14 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(*held)
 
 
-def link_forest(fps: DataFrame) -> DataFrame:
+def link_forest(fps: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """a, b: links among the distinct fingerprints in column fp that connect whatever all links connect.
 
     For each choice of blocks, fingerprints that agree in them meet in a bucket, where Hamming distances are verified. Buckets are read in sorted order,
     a step from each fingerprint to those not yet reached, so that a dense group of n costs n steps and n - 1 edges and not all its pairs.
     A bucket above TILE is dealt to tiles by hash: each pair of its parts meets in one tile.
     """
-    choices = [F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)).alias("k")) for i, m in enumerate(block_masks())]
+    choices = [F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)).alias("k")) for i, m in enumerate(block_masks(blocks))]
     keyed = fps.select("fp", F.explode(F.array(*choices)).alias("e")).select("fp", F.xxhash64("e.c", "e.k").alias("k"))
     return _dealt(keyed, "fp").mapInArrow(_links, "a long, b long").distinct()
 
@@ -153,16 +165,19 @@ def classes(docs: DataFrame, shingle: int = 5, text: str = "text", id: str = "do
     A null text counts as empty: fingerprint 0, linked like any other. Null ids are never the smallest. Repeated rows stay.
     An empty table gives an empty result. Other columns are ignored.
     """
-    marked = cut(fingerprints(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), shingle))
-    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(link_forest(distinct.select("fp")))
-    of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
-    of = of.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("of"), "component_id")
-    return marked.join(of, F.col("fp") == F.col("of")).select(F.col("id").alias(id), "fp", "component_id")
+    marked = stored(fingerprints(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), shingle))
+    distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("low")))
+    roots = components(link_forest(distinct.select("fp"), blocks_for(distinct.count())))
+    linked = stored(roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "low", "root"))
+    # written, so that the join by root has nothing but exchanges below it, of which large parts can be split
+    least = stored(linked.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("least")))
+    moved = linked.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("of"), "least")
+    of = distinct.join(moved, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias("own"), F.when(F.col("of").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+    return marked.join(of, F.col("fp") == F.col("own")).select(F.col("id").alias(id), "fp", "component_id")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of documents, as classes has them: a null text is an empty one, null ids are never a component's, repeated rows stay, an empty table gives no rows."""
     out = classes(table(spark, sf_dir, "documents"), shingle=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -174,7 +189,11 @@ WORDS = 8
 #: A pair whose fingerprints are as far apart as is usual at the similarity asked for shares a block with this probability at least.
 RECALL = 0.999
 #: Fingerprints this many standard deviations further apart than usual at the similarity asked for are still candidates.
-SPREAD = 6
+SPREAD = 4
+#: Words of a wide fingerprint that go with each key while clusters are sought.
+SHORT = 4
+#: In buckets of up to so many, all pairs are held against one another at once; so many pairs at a time.
+FEW, PAIRS = 48, 1 << 17
 
 
 def turned(similarity: float) -> float:
@@ -182,9 +201,9 @@ def turned(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def most_bits(similarity: float) -> int:
-    """The largest distance of candidates."""
-    n, p = 64 * WORDS, turned(similarity)
+def most_bits(similarity: float, words: int = WORDS) -> int:
+    """The largest distance of candidates, by so many words of their fingerprints."""
+    n, p = 64 * words, turned(similarity)
     return int(n * p + SPREAD * math.sqrt(n * p * (1 - p)))
 
 
@@ -233,8 +252,8 @@ def _sig(hashes: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _key_blocks(blocks: np.ndarray):
-    """From rows (sig, label, fp): a row (k, sig, label, fp) for each block."""
+def _key_blocks(blocks: np.ndarray, words: int, names: list[str]):
+    """From rows (…, fp): for each block a row (k, …, fp), of the first words of the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.uint64(1) << np.arange(blocks.shape[1], dtype=np.uint64)
@@ -242,77 +261,112 @@ def _key_blocks(blocks: np.ndarray):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                fps = b.column(2).to_pylist()
-                bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1).astype(np.uint64)
+                fps = np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                bits = np.unpackbits(fps, axis=1).astype(np.uint64)
                 keys = np.stack([(bits[:, rows] * weights).sum(axis=1) | np.uint64(i << 48) for i, rows in enumerate(blocks)], axis=1)
-                sig, label = (np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(sig), pa.array(label), pa.array([x for x in fps for _ in range(n)], pa.binary())], names=["k", "sig", "label", "fp"])
+                kept = [np.repeat(b.column(i).to_numpy(), n) for i in range(b.num_columns - 1)]
+                short = np.repeat(fps[:, : 8 * words], n, axis=0)
+                held = pa.Array.from_buffers(pa.binary(8 * words), len(short), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), *map(pa.array, kept), held], names=["k", *names])
 
     return run
 
 
-def _wide_links(most: int, every: bool):
-    """From rows sorted by bucket and tile: a spanning forest of the candidates in each, as in _links; or with every, all candidates whose labels differ."""
+def _wide_links(most: int, words: int, every: bool):
+    """From rows (k, t, sig, fp) sorted by bucket and tile: edges that connect what the candidates in each connect; or with every, from rows (k, t, sig, label, fp), all candidates whose labels differ."""
 
     def far(fps: np.ndarray, x: np.ndarray) -> np.ndarray:
         return np.bitwise_count(fps ^ x).sum(axis=-1, dtype=np.int64)
 
-    def forest_of(sig: np.ndarray, label: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
-        rest = np.arange(len(sig))
-        while len(rest) > 1:
-            frontier, rest = [rest[0]], rest[1:]
-            while frontier and len(rest):
-                x = frontier.pop()
-                hit = far(fps[rest], fps[x]) <= most
-                if hit.any():
-                    for y in rest[hit]:
-                        yield int(sig[x]), int(sig[y])
-                    frontier += list(rest[hit])
-                    rest = rest[~hit]
-
-    def pairs_of(sig: np.ndarray, label: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
-        for x in range(len(sig) - 1):
-            for y in x + 1 + np.flatnonzero((label[x + 1 :] != label[x]) & (far(fps[x + 1 :], fps[x]) <= most)):
-                yield int(min(sig[x], sig[y])), int(max(sig[x], sig[y]))
+    def near(fps: np.ndarray, label: np.ndarray, starts: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of candidates: all pairs of small buckets; of large ones all, or a step from each row to those not yet reached."""
+        for m in np.unique(n[(n > 1) & (n <= FEW)]):
+            i, j = np.triu_indices(m, 1)
+            own = starts[n == m]
+            for some in np.array_split(own, -(-len(own) * len(i) // PAIRS)):
+                a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                hit = far(fps[a], fps[b]) <= most
+                yield a[hit], b[hit]
+        for at, m in zip(starts[n > FEW], n[n > FEW]):
+            if every:
+                for x in range(at, at + m - 1):
+                    hit = x + 1 + np.flatnonzero((label[x + 1 : at + m] != label[x]) & (far(fps[x + 1 : at + m], fps[x]) <= most))
+                    yield np.full(len(hit), x), hit
+                continue
+            rest = np.arange(at, at + m)
+            while len(rest) > 1:
+                frontier, rest = [rest[0]], rest[1:]
+                while frontier and len(rest):
+                    x = frontier.pop()
+                    hit = far(fps[rest], fps[x]) <= most
+                    if hit.any():
+                        yield np.full(hit.sum(), x), rest[hit]
+                        frontier += list(rest[hit])
+                        rest = rest[~hit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                cols = [batch.column(i).to_numpy() for i in range(4)]
-                cols.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, WORDS))
+                cols = [c.to_numpy() for c in batch.columns[:-1]]
+                cols.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint64).reshape(-1, words))
                 held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
             if not held or not len(held[0]):
                 continue
-            k, t, sig, label, fps = held
+            k, t, sig, *label, fps = held
+            label = label[0] if every else sig
             change = np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1
             end = len(k) if batch is None else change[-1] if len(change) else 0
             starts = np.r_[0, change]
             starts = starts[starts < end]
-            n = np.diff(np.r_[starts, end])
-            found: list[tuple[int, int]] = []
-            two = starts[n == 2]
-            hit = two[(far(fps[two], fps[two + 1]) <= most) & (not every or label[two] != label[two + 1])] if len(two) else two
-            found += zip(np.minimum(sig[hit], sig[hit + 1]).tolist(), np.maximum(sig[hit], sig[hit + 1]).tolist())
-            for at, m in zip(starts[n > 2], n[n > 2]):
-                found += (pairs_of if every else forest_of)(sig[at : at + m], label[at : at + m], fps[at : at + m])
+            found = list(near(fps, label, starts, np.diff(np.r_[starts, end])))
+            a, b = (np.concatenate([x[i] for x in found] or [np.empty(0, np.int64)]).astype(np.int64) for i in (0, 1))
+            if every:
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+            else:  # of a dense bucket, as many edges as it has rows
+                low = union_find(end, a, b)
+                a = np.flatnonzero(low != np.arange(end))
+                b = low[a]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b]))], names=["a", "b"])
             held = [x[end:] for x in held]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id, component_id, as in classes, where texts are linked whose sets of shingles have this Jaccard similarity or more.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (cluster, fp): how many rows of a cluster, here, have each bit."""
+    held: dict[int, np.ndarray] = {}
 
-    Wide fingerprints give the candidates; each link is verified on the sets. Candidates form clusters. In each, every text is held against the cluster's first;
-    then the forests of the blocks against what is still apart; then every candidate pair that is still apart. So a dense group of n costs some n verified pairs, and
-    all its pairs only if few of them are similar enough.
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["cluster", "counts"])
 
-    Texts below five words are compared whole. Rows without an id are left out; of rows with the same id and different texts, each is compared. Repeated rows give one row. An empty table gives an empty result.
-    """
-    most = most_bits(similarity)
-    named = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    for b in batches:
+        bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
+        for c, own in zip(b.column(0).to_pylist(), bits):
+            held[c] = held.get(c, 0) + np.r_[own, 1].astype(np.int32)
+            if len(held) > 2000:
+                yield out()
+                held.clear()
+    yield out()
+
+
+def _majority(group: pa.Table) -> pa.Table:
+    """The bits that more than half of a cluster's rows have."""
+    counts = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in group.column("counts").to_pylist())
+    return pa.table({"of_cluster": group.column("cluster")[:1], "middle": pa.array([np.packbits(2 * counts[:-1] > counts[-1]).tobytes()], pa.binary())})
+
+
+def _off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (cluster, sig, fp, middle): how far each fingerprint is from the middle."""
+    for b in batches:
+        one, other = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3))
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64))], names=["cluster", "sig", "off"])
+
+
+def _similar(named: DataFrame, shingle: int, similarity: float, unique: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, sig, fp of each row; sig, fp, low of each distinct text; node, label of each sig that has a candidate). named: id, of any type that has an order, and text. unique: no id comes twice."""
+    id_type = named.schema["id"]
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,43 +376,90 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: st
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                sets = [shingle_set(x, shingle) for x in whole.column(1).slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_sig(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "hashes"])
+                b = whole.slice(at, 256)
+                sets = [shingle_set(x, shingle) for x in b.column(2).to_pylist()]
+                own = [i for i, (s, sig) in enumerate(zip(sets, b.column(1).to_pylist())) if _sig(s) == sig]  # an id may have further texts
+                kept = b.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns[:2], pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], names=["cluster", "sig", "hashes"])
 
-    marked = stored(named.mapInArrow(marks, "id long, sig long, fp binary").distinct())
+    marked = stored(named.select("id", "text").mapInArrow(marks, StructType([id_type]).add("sig", "long").add("fp", "binary")))
     distinct = stored(marked.groupBy("sig", "fp").agg(F.min("id").alias("low")))
     blocks = plan_blocks(distinct.count(), similarity)
 
     def candidates(nodes: DataFrame, every: bool) -> DataFrame:
-        keyed = nodes.mapInArrow(_key_blocks(blocks), "k long, sig long, label long, fp binary")
-        return _dealt(keyed, "sig", True).mapInArrow(_wide_links(most, every), "a long, b long").distinct()
+        words, names = (WORDS, ["sig", "label", "fp"]) if every else (SHORT, ["sig", "fp"])
+        keyed = nodes.select(*names).mapInArrow(_key_blocks(blocks, words, names), "k long, sig long, " + "label long, " * every + "fp binary")
+        return _dealt(keyed, "sig", True).mapInArrow(_wide_links(most_bits(similarity, words), words, every), "a long, b long").distinct()
 
-    loose = stored(candidates(distinct.select("sig", F.col("sig").alias("label"), "fp"), False))
-    clusters = stored(components(loose))
-    needed = distinct.join(clusters, F.col("sig") == F.col("node"), "left_semi").select(F.col("low").alias("of")).distinct()
-    sets = stored(named.join(needed, F.col("id") == F.col("of"), "left_semi").mapInArrow(sets_of, "sig long, hashes array<long>").dropDuplicates(["sig"]))
+    loose = stored(candidates(distinct, False))
+    clusters = stored(components(loose).withColumnRenamed("root", "cluster"))
+    needed = distinct.join(clusters, F.col("sig") == F.col("node")).select(F.col("low").alias("of"), "cluster", "sig")
+    sets = named.join(needed, F.col("id") == F.col("of")).select("cluster", "sig", "text").mapInArrow(sets_of, "cluster long, sig long, hashes array<long>")
+    sets = stored(sets if unique else sets.dropDuplicates(["sig"]))
+
+    def alike(a: str, b: str) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        return both / (F.size(a) + F.size(b) - both) >= similarity
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: sets.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("ha", "hb")))
-        return both.where(F.col("n") / (F.size("ha") + F.size("hb") - F.col("n")) >= similarity).drop("ha", "hb", "n")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(alike("ha", "hb")).drop("ha", "hb")
+
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """labels after links la, lb between them."""
+        moved = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        out = stored(labels.join(moved, F.col("label") == F.col("was"), "left").select("node", "cluster", F.coalesce("now", "label").alias("label")))
+        release(labels)
+        return out
 
-    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-        """labels after the verified ones of pairs whose labels differ."""
+    def apart(labels: DataFrame, pairs: DataFrame) -> DataFrame:
         own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-        apart = pairs.join(own("a"), "a").join(own("b"), "b").where("la != lb")
-        moved = components(verified(apart).select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
-        return stored(labels.join(moved, F.col("label") == F.col("was"), "left").select("node", "cluster", F.coalesce("now", "label").alias("label")))
-
-    first = verified(clusters.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))).select("a", "b")
-    labels = stored(clusters.join(first, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("cluster"), F.coalesce("b", "node").alias("label")))
-    mixed = lambda: labels.groupBy(F.col("cluster").alias("c")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("c")
-    if not mixed().isEmpty():
-        labels = joined(labels, loose)
-        still = labels.join(mixed(), F.col("cluster") == F.col("c"), "left_semi").select("node", "label")
-        nodes = stored(distinct.join(still, F.col("sig") == F.col("node")).select("sig", "label", "fp"))
-        labels = joined(labels, candidates(nodes, True))
-    # an id with several texts links their classes
+        return pairs.join(own("a"), "a").join(own("b"), "b").where("la != lb")
+
+    def still_mixed(labels: DataFrame) -> DataFrame | None:
+        """node, cluster, label in clusters of several labels; None if there are no such."""
+        mixed = labels.groupBy(F.col("cluster").alias("c")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("c")
+        rest = stored(labels.join(mixed, F.col("cluster") == F.col("c"), "left_semi"))
+        return None if rest.isEmpty() else rest
+
+    def against_middle(rest: DataFrame) -> DataFrame:
+        """Links la, lb of the texts of each cluster with the one whose fingerprint is nearest to what most of its fingerprints have: what a text's copies have in common is near the text."""
+        prints = stored(rest.join(distinct, F.col("node") == F.col("sig")).select("cluster", "sig", "fp"))
+        middle = prints.select("cluster", "fp").mapInArrow(_counted, "cluster long, counts binary").groupBy("cluster").applyInArrow(_majority, "of_cluster long, middle binary")
+        off = prints.join(stored(middle), F.col("cluster") == F.col("of_cluster")).select("cluster", "sig", "fp", "middle").mapInArrow(_off, "cluster long, sig long, off long")
+        hubs = stored(off.groupBy(F.col("cluster").alias("c")).agg(F.min(F.struct("off", "sig")).alias("best")).select("c", F.col("best.sig").alias("hub")))
+        own = rest.select("node", "label")
+        hub_sets = stored(hubs.join(own, F.col("hub") == F.col("node")).join(sets, F.col("hub") == F.col("sig")).select("c", F.col("label").alias("lb"), F.col("hashes").alias("hb")))
+        members = stored(sets.join(own, F.col("sig") == F.col("node")).select("cluster", F.col("label").alias("la"), F.col("hashes").alias("ha")))
+        release(prints)
+        return members.join(hub_sets, F.col("cluster") == F.col("c")).where("la != lb").where(alike("ha", "hb")).select("la", "lb")
+
+    roots = sets.where("sig = cluster").select(F.col("cluster").alias("c"), F.col("hashes").alias("hb"))
+    first = sets.where("sig != cluster").join(roots, F.col("cluster") == F.col("c")).where(alike("hashes", "hb")).select(F.col("sig").alias("a"), F.col("cluster").alias("b"))
+    labels = stored(clusters.join(first, F.col("node") == F.col("a"), "left").select("node", "cluster", F.coalesce("b", "node").alias("label")))
+    if (rest := still_mixed(labels)) is not None:
+        labels = joined(labels, against_middle(rest))
+    if rest is not None and (rest := still_mixed(labels)) is not None:
+        labels = joined(labels, verified(apart(rest, loose)))
+    if rest is not None and (rest := still_mixed(labels)) is not None:
+        nodes = stored(distinct.join(rest.select("node", "label"), F.col("sig") == F.col("node")).select("sig", "label", "fp"))
+        labels = joined(labels, verified(apart(rest, candidates(nodes, True))))
+        release(nodes)
+    release(loose, clusters, sets)
+    return marked, distinct, labels
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """id, component_id, as in classes, where texts are linked whose sets of shingles have this Jaccard similarity or more.
+
+    Wide fingerprints give the candidates; each link is verified on the sets. Candidates form clusters. In each, every text is held against the cluster's first; where some are still apart, against the one in
+    the middle of the cluster; then along the edges that made the cluster; then every candidate pair that is still apart. So a dense group of n costs some n verified pairs, and
+    all its pairs only if few of them are similar enough.
+
+    Texts below five words are compared whole. Rows without an id are left out; an id with several texts links their classes. Repeated rows give one row. An empty table gives an empty result.
+    """
+    named = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    marked, _, labels = _similar(named, shingle, similarity, False)
     of = marked.join(labels, F.col("sig") == F.col("node"), "left").select("id", F.coalesce("label", "sig").alias("label")).distinct()
     least = of.groupBy(F.col("label").alias("l")).agg(F.min("id").alias("low"))
     roots = components(of.join(least, F.col("label") == F.col("l")).select(F.col("id").alias("a"), F.col("low").alias("b")))
@@ -367,7 +468,15 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: st
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five-word shingles, similarity of 0.8 or more), the document with the smallest id; of several such rows, one. Documents without an id stay."""
-    best = similar(docs).where("doc_id = component_id").select(F.col("doc_id").alias("best"))
-    kept = docs.join(best, F.col("doc_id") == F.col("best"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each class of near duplicates (five-word shingles, similarity of 0.8 or more), the row with the smallest id.
+
+    Rows are told apart by a number of their own, and classes follow from texts alone: rows that share an id but not a text each have a class. Of rows of one class, null ids come last, and of equal ids the
+    first row stays. Texts without words (null, empty) are one class, columns of any names are kept, and an empty table gives an empty one.
+    """
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("nth"), "doc_id", "text", F.struct(*docs.columns).alias("doc")))
+    named = numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "nth").alias("id"), "text")
+    marked, distinct, labels = _similar(named, 5, 0.8, True)
+    of = distinct.join(labels, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("label", "sig").alias("label")).agg(F.min("low").alias("low"))
+    best = stored(of.select(F.col("low.nth").alias("best")))
+    release(marked, distinct, labels)
+    return numbered.select("nth", "doc").join(best, F.col("nth") == F.col("best"), "left_semi").select("doc.*")
