@@ -60,6 +60,16 @@ def release(*tables: DataFrame) -> None:
         _remove(t._gridmason_folder)
 
 
+def left() -> set[str]:
+    """The folders of the tables that stored() wrote and nobody has released."""
+    return set(_LEFT)
+
+
+def release_folders(folders: set[str]) -> None:
+    for f in folders:
+        _remove(f)
+
+
 @atexit.register
 def _remove_all() -> None:
     for folder in list(_LEFT):

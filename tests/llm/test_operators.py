@@ -107,6 +107,21 @@ def test_templates():
     assert chat.render("{{ messages.__class__ }}", [])[0] == ""
 
 
+@pytest.mark.parametrize("body", ["{{ 1 + 'a' }}", "{{ 'a' < 2 }}", "{{ 3 | length }}", "{{ role + 1 + 'a' }}"])
+def test_constants_of_unlike_kinds_are_refused(body):
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(body)
+
+
+@pytest.mark.parametrize("template", ["no loop", "{% for m in messages %}{{ m.text }}{% endfor %}{% for m in messages %}{{ m.role }}{% endfor %}", "{{ messages | length }}{% for m in messages %}{% endfor %}",
+    "{{ messages[0].text }}", "{% set messages = none %}{% for m in messages %}x{% endfor %}", "{% if true == x %}{% for m in messages %}x{% endfor %}{% endif %}"])
+def test_templates_that_read_turns_otherwise_are_refused_for_tables(spark, template):
+    turns = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(chat.TemplateError):
+        chat.format_conversations(turns, template)
+    chat.render(template, [{"role": "user", "text": "hi"}])
+
+
 @pytest.mark.parametrize("row", [60, 1 << 18])
 def test_conversations_read_back(spark, row, monkeypatch):
     monkeypatch.setattr(chat, "ROW", row)
@@ -166,6 +181,22 @@ def test_schedule_is_even(spark, docs):
         assert abs(half[s] - n / 2) <= 3
 
 
+def test_ranks_are_counts_of_earlier_slots(spark):
+    """Against the points themselves: which source each slot is, and how many of that source's slots come before it."""
+    rows = [("a", 50, 50.0, 50, 0, 1 << 30), ("b", 20, 20.0, 20, 1 << 30, 3 << 29), (None, 7, 7.0, 7, 3 << 29, (3 << 29) + 3), ("d", 9, 9.0, 9, (3 << 29) + 3, 1 << 31), ("none", 0, 0.0, 0, 1 << 31, 1 << 31)]
+    sources = spark.createDataFrame(rows, "source string, source_size long, target double, quota long, lo long, hi long")
+    got = {(r.slot, r.source): (r.rank, r.n_slots) for r in mixing.schedule(spark, sources, 300).collect()}
+    expected, seen = {}, collections.Counter()
+    for slot in range(300):
+        point = int(f"{slot:031b}"[::-1], 2)
+        source = next(s for s, *_, lo, hi in rows if lo <= point < hi)
+        expected[slot, source] = seen[source]
+        seen[source] += 1
+    assert {k: v[0] for k, v in got.items() if k[0] < 300} == expected
+    assert all(n == seen[s] for (slot, s), (_, n) in got.items() if slot < 300)
+    assert {k for k in got if k[0] == 300} == {(300, s) for s, _, _, q, *_ in rows if q and not seen[s]}
+
+
 def test_stage_mixes_rows_without_ids(spark):
     """Each source gives its quota to within a document, also one of null ids, and one whose rows all share an id; each row has its own copies."""
     r = random.Random(31)
@@ -206,8 +237,7 @@ def test_nbest_is_exact():
     for part in ("  the cat", " banana", "\n", " é漢x", " inininin"):
         assert [-c.score for c in model.search(part, 6)] == all_paths(model, part)[:6]
         model.learn([part])
-        best = model.search(part, 2)
-        assert model.held[part][1] == best[0].score and np.frombuffer(model.held[part][0], np.int32).tolist() == list(best[0].ids)
+        assert model.best(part) == model.search(part, 2)[0]
     text = "the cat sat on inin it"
     choices = [model.search(p, 8) for p in pieces.PARTS.findall(" " + text)]
     expected = sorted(-sum(c.score for c in combination) for combination in itertools.product(*choices))[:6]
@@ -220,6 +250,28 @@ def test_nbest_is_exact():
         assert model.decode(ids) == text and sum(model.scores[i] for i in ids) == score
 
 
+def test_long_parts_are_searched_in_windows():
+    """A text without a blank: the windows change nothing, pieces meet across their ends, and alternatives are edits as ever."""
+    model = pieces.Lattice(MODEL)
+    r = random.Random(41)
+    part = "".join(r.choice("etaoin漢sh12é") for _ in range(3 * pieces.WINDOW + 7))
+    one = [0]
+    for end, here in enumerate(model.arcs(part)[1:], 1):
+        one.append(max(one[at] + score for at, score, _ in here))
+    found = model.search(part, 4)
+    assert found[0].score == one[-1] and len({tuple(c.ids) for c in found}) == 4 and sorted(found, key=lambda c: -c.score) == found
+    for c in found:
+        assert b"".join(model.bytes[i] for i in c.ids).decode() == part
+    text = "a " + part + " b"
+    best, *others = model.nbest(text, 4)
+    assert model.decode(best[1][0][2]) == text and len(others) == 3
+    for _, edits in others:
+        ids = list(best[1][0][2])
+        for at, gone, new in reversed(edits):
+            ids[at : at + gone] = new
+        assert model.decode(ids) == text
+
+
 def test_search_agrees_with_library(tmp_path):
     """A unigram model with the same pieces: the library's own search gives the same scores."""
     import sentencepiece
@@ -409,6 +461,21 @@ def test_admission_is_sequential():
     assert got == expected
 
 
+def test_sharding_query_as_a_whole(spark, data):
+    """op6 against plain loops over the ring: turn by turn, clockwise from each row's arc, to the first shard with room."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    got = {r.doc_id: r for r in ring.op6(spark, data).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        r = got[d.doc_id]
+        raw = (d.text or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+    n = collections.Counter(r.shard for r in got.values())
+    assert set(n) <= set(range(8)) and max(n.values()) - min(n.values()) <= 1
+    for s in n:
+        assert sorted(r.slot for r in got.values() if r.shard == s) == list(range(n[s]))
+
+
 def test_few_rows_move(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "cast(id as string) AS text")
     before = {r.key: r.shard for r in ring.assign(docs, 8).collect()}
@@ -560,6 +627,23 @@ def test_toxicity_learns_gapped_insults(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_query_keeps_its_contract(spark, data):
+    """Folds by checksum, predictions by the threshold, labels of the held-out fold never read, and most held-out labels right."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    got = toxicity.op9(spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.collect())
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    fold = lambda r: zlib.crc32(str(r.doc_id).encode()) % 3
+    turned = spark.createDataFrame([(r.doc_id, r.quality, 1 - r.toxic if fold(r) == 1 else r.toxic) for r in labels.collect()], labels.schema)
+    other = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, turned))
+    assert {r.doc_id: r.score for r in other.collect()} == {r.doc_id: r.score for r in got}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(truth[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in truth]
+    assert sum(a == b for a, b in held) >= 0.85 * len(held)
+
+
 def test_kernel_by_definition():
     def plain(s, t):
         def f(w):
@@ -593,6 +677,22 @@ def test_encoder_matches_library():
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_other_splitters_get_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(BPE, encoding="utf-8") as f:
+        file = json.load(f)
+    file["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, file["pre_tokenizer"]]}
+    path = tmp_path / "digits.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    texts = ["in 1234 years", "", " a  b\n\n99", "x" * 500]
+    library = Tokenizer.from_file(str(path))
+    assert [token_store.encode(t, str(path)) for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert token_store.encode(texts[0], str(path)) != token_store.encode(texts[0], BPE)
+
+
 def test_store_round_trip(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
@@ -683,6 +783,106 @@ def test_queries_match_sql(spark, data):
         assert rows(queries.QUERIES[name](spark, data).toPandas()) == rows(oracle(sql, data)), name
 
 
+CLASH = ("best", "nth", "doc", "h", "size", "copies", "label", "low", "id", "score", "kept", "__row", "__text", "n_words", "row", "fp", "sig")
+
+
+def clashing(spark, rows):
+    """Documents with columns of the names that stages use themselves."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    return spark.createDataFrame([(*r, *CLASH) for r in rows], kinds).repartition(3)
+
+
+def stage_of(name):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def edge_rows():
+    r = random.Random(51)
+    prose = lambda n: " ".join(r.choice(WORDS) + r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(n))
+    same = prose(60)
+    rows = [(i, prose(r.randint(20, 60)), "en", f"s{i % 3}", 1) for i in range(30)]
+    rows += [(1, prose(40), "en", "s1", 1), (None, prose(40), None, None, None), (None, prose(40), None, None, None), (50, None, "en", "s0", 0), (51, "", "de", "s0", 0), (52, " \n\t", None, "s0", 0)]
+    return rows + [(60, same, "en", "s0", 1), (61, same, "de", "s1", 1), (61, same, "de", "s1", 1), (None, same, "en", "s2", 1), (70, prose(20_000), "en", "s2", 1), (71, "漢" * 50_000, "en", "s2", 1)]
+
+
+@pytest.mark.parametrize("name", ["quality rules", "toxicity", "near duplicates", "mixing", "pieces"])
+def test_stages_at_the_edges(spark, data, name):
+    """Nulls in every column, empty and long texts, repeated rows, an id with two texts, clashing columns, an empty table."""
+    rows = edge_rows()
+    docs = clashing(spark, rows)
+    out = stage_of(name)(spark, docs, data)
+    got = out.collect()
+    full = collections.Counter((*x, *CLASH) for x in rows)
+    words_of = lambda x: len(words(x[1]))
+    if name == "pieces":
+        assert sorted(r.text_crc32 for r in got) == sorted(zlib.crc32((x[1] or "").encode()) for x in rows)
+    else:
+        assert out.columns == docs.columns and set(map(tuple, got)) <= set(full)
+        left = collections.Counter(map(tuple, got))
+    if name == "quality rules":
+        assert all(words_of(x) >= 10 for x in left) and left == collections.Counter({x: n for x, n in full.items() if x in left})
+        assert left[(70, *[x for x in rows if x[0] == 70][0][1:], *CLASH)] == 1
+    elif name == "toxicity":
+        assert left == full
+    elif name == "near duplicates":
+        expected = collections.Counter(x for x in full if x[1] != rows[-6][1] and words_of(x))
+        expected.update(x for x in full if x[0] == 60)
+        expected.update(x for x in full if x[0] == 50)
+        assert left == expected
+    elif name == "mixing":
+        assert all(words_of(x) for x in left) and max(n / full[x] for x, n in left.items()) <= mixing.CAP
+    assert stage_of(name)(spark, docs.limit(0), data).count() == 0
+
+
+def plain_duplicates(rows):
+    """Of rows (doc_id, text) in order, the places of those that stay: of each class of shingle sets of Jaccard 0.8 or more, the row with the least id."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    alike = lambda a, b: a == b or len(a & b) / max(1, len(a | b)) >= 0.8
+    low = union(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and alike(sets[i], sets[j])])
+    return {min((i for i in range(len(rows)) if low[i] == c), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)) for c in set(low)}
+
+
+def test_pipeline_by_plain_stages(spark, data):
+    """run() against each stage's plain form in turn: verdicts row by row, scores on the driver, all pairs of texts, places in the sources' streams, and the lattice on the driver."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    kept = {r.doc_id for r in quality.judge(docs, labels).where("kept").collect()}
+    now = docs.where(F.col("doc_id").isin(*kept))
+    rows = {r.doc_id: r for r in now.collect()}
+    model = toxicity.train(now, labels)
+    score = dict(zip(rows, model.score([r.text for r in rows.values()])))
+    rows = [r for r in rows.values() if score[r.doc_id] < toxicity.THRESHOLD]
+    best = plain_duplicates([(r.doc_id, r.text) for r in rows])
+    rows = [r for i, r in enumerate(rows) if i in best]
+    # a source's slots take its stream from the start, round and round, up to its quota
+    digest = lambda r: int(hashlib.md5(f"20|{r.doc_id}|{hashlib.md5(r.text.encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
+    quotas = {s.source: (s.source_size, s.quota) for s in mixing.mix(docs.where(F.col("doc_id").isin(*[r.doc_id for r in rows])))[1].collect()}
+    expected, at = collections.Counter(), collections.Counter()
+    for r in sorted(rows, key=digest):
+        size, n = quotas[r.source][0], len(words(r.text))
+        start = at[r.source]
+        at[r.source] += n
+        for k in range(mixing.CAP):
+            got = max(0, min(quotas[r.source][1], k * size + start + n) - (k * size + start))
+            expected[r.doc_id] += 2 * got >= n
+    lattice = pieces.Lattice(MODEL)
+    text = {r.doc_id: r.text for r in rows}
+    found = corpus_pipeline.run(spark, data).collect()
+    assert collections.Counter(r.doc_id for r in found) == +expected
+    for r in {r.doc_id: r for r in found}.values():
+        (total, [(_, _, ids)]), *others = lattice.nbest(text[r.doc_id], 4)
+        assert r.ids == list(ids) and r.score == total / pieces.UNIT and r.n_pieces == len(ids) and r.text_crc32 == zlib.crc32(text[r.doc_id].encode())
+        assert [o.score for o in r.others] == [s / pieces.UNIT for s, _ in others]
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
