@@ -173,7 +173,8 @@ def classes(docs: DataFrame, shingle: int = 5, text: str = "text", id: str = "do
     least = stored(linked.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("least")))
     moved = linked.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("of"), "least")
     of = distinct.join(moved, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias("own"), F.when(F.col("of").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
-    return marked.join(of, F.col("fp") == F.col("own")).select(F.col("id").alias(id), "fp", "component_id")
+    # written for the same reason: one fingerprint may be that of very many copies
+    return marked.join(stored(of), F.col("fp") == F.col("own")).select(F.col("id").alias(id), "fp", "component_id")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -190,6 +191,8 @@ WORDS = 8
 RECALL = 0.999
 #: Fingerprints this many standard deviations further apart than usual at the similarity asked for are still candidates.
 SPREAD = 4
+#: As SPREAD, where every pair that is still apart is a candidate: what RECALL asks of the blocks, by the normal law.
+LAST = 3.09
 #: Words of a wide fingerprint that go with each key while clusters are sought.
 SHORT = 4
 #: In buckets of up to so many, all pairs are held against one another at once; so many pairs at a time.
@@ -201,10 +204,10 @@ def turned(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def most_bits(similarity: float, words: int = WORDS) -> int:
+def most_bits(similarity: float, words: int = WORDS, spread: float = SPREAD) -> int:
     """The largest distance of candidates, by so many words of their fingerprints."""
     n, p = 64 * words, turned(similarity)
-    return int(n * p + SPREAD * math.sqrt(n * p * (1 - p)))
+    return int(n * p + spread * math.sqrt(n * p * (1 - p)))
 
 
 def plan_blocks(n: int, similarity: float) -> np.ndarray:
@@ -389,7 +392,7 @@ def _similar(named: DataFrame, shingle: int, similarity: float, unique: bool) ->
     def candidates(nodes: DataFrame, every: bool) -> DataFrame:
         words, names = (WORDS, ["sig", "label", "fp"]) if every else (SHORT, ["sig", "fp"])
         keyed = nodes.select(*names).mapInArrow(_key_blocks(blocks, words, names), "k long, sig long, " + "label long, " * every + "fp binary")
-        return _dealt(keyed, "sig", True).mapInArrow(_wide_links(most_bits(similarity, words), words, every), "a long, b long").distinct()
+        return _dealt(keyed, "sig", True).mapInArrow(_wide_links(most_bits(similarity, words, LAST if every else SPREAD), words, every), "a long, b long").distinct()
 
     loose = stored(candidates(distinct, False))
     clusters = stored(components(loose).withColumnRenamed("root", "cluster"))
