@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridmason.llm import mixing, pieces, quality, simhash, toxicity
-from gridmason.llm.common import left, release, release_folders, stored
+from gridmason.llm.common import left, release, release_folders, stored, tidy
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Folders of the tables that stages before have left behind.
@@ -21,6 +21,7 @@ def clearing(stage: Stage) -> Stage:
         read = docs.inputFiles()
         release_folders(gone := {f for f in _behind if not any(f.rstrip("/").rsplit("/", 1)[-1] in x for x in read)})
         _behind.difference_update(gone)
+        tidy(spark)
         before = left()
         out = stage(spark, docs, sf_dir)
         _behind.update(left() - before)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +62,16 @@ def release(*tables: DataFrame) -> None:
         _remove(t._gridmason_folder)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Give back what nothing holds any more: the driver's memory, and on all disks the shuffle files of plans that have run, which otherwise stay until the driver's JVM happens to collect its garbage."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # not glibc
+    spark.sparkContext._jvm.System.gc()
+
+
 def left() -> set[str]:
     """The folders of the tables that stored() wrote and nobody has released."""
     return set(_LEFT)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.graph import union_find
-from .common import release, stored, table
+from .common import release, stored, table, tidy
 from .graph import components
 
 BITS = 64
@@ -191,12 +191,12 @@ WORDS = 8
 RECALL = 0.999
 #: Fingerprints this many standard deviations further apart than usual at the similarity asked for are still candidates.
 SPREAD = 4
-#: As SPREAD, where every pair that is still apart is a candidate: what RECALL asks of the blocks, by the normal law.
-LAST = 3.09
 #: Words of a wide fingerprint that go with each key while clusters are sought.
 SHORT = 4
 #: In buckets of up to so many, all pairs are held against one another at once; so many pairs at a time.
 FEW, PAIRS = 48, 1 << 17
+#: Bits by which rows that can't be meant are left out before a join: a whole number of Spark's bitmaps of 32,768 bits, 2 MB in all.
+MAYBE = 1 << 24
 
 
 def turned(similarity: float) -> float:
@@ -255,8 +255,8 @@ def _sig(hashes: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _key_blocks(blocks: np.ndarray, words: int, names: list[str]):
-    """From rows (…, fp): for each block a row (k, …, fp), of the first words of the fingerprint."""
+def _key_blocks(blocks: np.ndarray, words: int):
+    """From rows (sig, fp): for each block a row (k, sig, fp), of the first words of the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.uint64(1) << np.arange(blocks.shape[1], dtype=np.uint64)
@@ -264,38 +264,59 @@ def _key_blocks(blocks: np.ndarray, words: int, names: list[str]):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                fps = np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 bits = np.unpackbits(fps, axis=1).astype(np.uint64)
                 keys = np.stack([(bits[:, rows] * weights).sum(axis=1) | np.uint64(i << 48) for i, rows in enumerate(blocks)], axis=1)
-                kept = [np.repeat(b.column(i).to_numpy(), n) for i in range(b.num_columns - 1)]
                 short = np.repeat(fps[:, : 8 * words], n, axis=0)
                 held = pa.Array.from_buffers(pa.binary(8 * words), len(short), [None, pa.py_buffer(short.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), *map(pa.array, kept), held], names=["k", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), n)), held], names=["k", "sig", "fp"])
 
     return run
 
 
-def _wide_links(most: int, words: int, every: bool):
-    """From rows (k, t, sig, fp) sorted by bucket and tile: edges that connect what the candidates in each connect; or with every, from rows (k, t, sig, label, fp), all candidates whose labels differ."""
+def _buckets(batches: Iterator[pa.RecordBatch], arrays) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """From rows (k, t, …) sorted by bucket and tile: the columns of some whole buckets, as arrays() makes them of a batch, where each bucket starts, and its number of rows."""
+    held: list[np.ndarray] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            cols = arrays(batch)
+            held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
+        if not held or not len(held[0]):
+            continue
+        k, t = held[:2]
+        change = np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1
+        end = len(k) if batch is None else change[-1] if len(change) else 0
+        starts = np.r_[0, change]
+        starts = starts[starts < end]
+        yield [x[:end] for x in held], starts, np.diff(np.r_[starts, end])
+        held = [x[end:] for x in held]
+
+
+def _few(starts: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of each bucket of up to FEW rows."""
+    for m in np.unique(n[(n > 1) & (n <= FEW)]):
+        i, j = np.triu_indices(m, 1)
+        own = starts[n == m]
+        for some in np.array_split(own, -(-len(own) * len(i) // PAIRS)):
+            yield (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([x[i] for x in found] or [np.empty(0, np.int64)]).astype(np.int64) for i in (0, 1))
+
+
+def _wide_links(most: int, words: int):
+    """From rows (k, t, sig, fp) sorted by bucket and tile: edges that connect what the candidates in each connect."""
 
     def far(fps: np.ndarray, x: np.ndarray) -> np.ndarray:
         return np.bitwise_count(fps ^ x).sum(axis=-1, dtype=np.int64)
 
-    def near(fps: np.ndarray, label: np.ndarray, starts: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows of candidates: all pairs of small buckets; of large ones all, or a step from each row to those not yet reached."""
-        for m in np.unique(n[(n > 1) & (n <= FEW)]):
-            i, j = np.triu_indices(m, 1)
-            own = starts[n == m]
-            for some in np.array_split(own, -(-len(own) * len(i) // PAIRS)):
-                a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                hit = far(fps[a], fps[b]) <= most
-                yield a[hit], b[hit]
+    def near(fps: np.ndarray, starts: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of candidates: all pairs of small buckets; of large ones a step from each row to those not yet reached."""
+        for a, b in _few(starts, n):
+            hit = far(fps[a], fps[b]) <= most
+            yield a[hit], b[hit]
         for at, m in zip(starts[n > FEW], n[n > FEW]):
-            if every:
-                for x in range(at, at + m - 1):
-                    hit = x + 1 + np.flatnonzero((label[x + 1 : at + m] != label[x]) & (far(fps[x + 1 : at + m], fps[x]) <= most))
-                    yield np.full(len(hit), x), hit
-                continue
             rest = np.arange(at, at + m)
             while len(rest) > 1:
                 frontier, rest = [rest[0]], rest[1:]
@@ -307,36 +328,79 @@ def _wide_links(most: int, words: int, every: bool):
                         frontier += list(rest[hit])
                         rest = rest[~hit]
 
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [*(c.to_numpy() for c in batch.columns[:-1]), np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint64).reshape(-1, words)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                cols = [c.to_numpy() for c in batch.columns[:-1]]
-                cols.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint64).reshape(-1, words))
-                held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
-            if not held or not len(held[0]):
-                continue
-            k, t, sig, *label, fps = held
-            label = label[0] if every else sig
-            change = np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1
-            end = len(k) if batch is None else change[-1] if len(change) else 0
-            starts = np.r_[0, change]
-            starts = starts[starts < end]
-            found = list(near(fps, label, starts, np.diff(np.r_[starts, end])))
-            a, b = (np.concatenate([x[i] for x in found] or [np.empty(0, np.int64)]).astype(np.int64) for i in (0, 1))
-            if every:
-                apart = label[a] != label[b]
-                a, b = a[apart], b[apart]
-            else:  # of a dense bucket, as many edges as it has rows
-                low = union_find(end, a, b)
-                a = np.flatnonzero(low != np.arange(end))
-                b = low[a]
+        for (_, _, sig, fps), starts, n in _buckets(batches, arrays):
+            low = union_find(len(sig), *_edges(list(near(fps, starts, n))))  # of a dense bucket, as many edges as it has rows
+            a = np.flatnonzero(low != np.arange(len(sig)))
+            b = low[a]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[a], sig[b])), pa.array(np.maximum(sig[a], sig[b]))], names=["a", "b"])
-            held = [x[end:] for x in held]
 
     return run
 
 
+def _prefixes(similarity: float):
+    """From rows (cluster, sig, label, hashes, middle): for each hash of a set's prefix a row (k, sig, label, size, place).
+
+    A cluster's hashes are in one order: first those that aren't in its middle text, then the others, by value. If sets of n and m hashes have a Jaccard similarity s, they share s / (1 + s) * (n + m) hashes; so
+    the first that they share has no more than n and m less that many before it, and lies among the first n - s * n + 1 of either. Texts that differ enough from the middle have such prefixes of hashes of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                keys, own, sizes, places = [np.empty(0, np.int64)], [], [], [np.empty(0, np.int64)]
+                for cluster, hashes, middle in zip(b.column(0).to_pylist(), b.column(3), b.column(4)):
+                    h = hashes.values.to_numpy()
+                    n = len(h)
+                    kept = h[np.argsort(np.isin(h, middle.values.to_numpy()), kind="stable")][: n - math.ceil(similarity * n - 1e-9) + 1] if n else h
+                    keys.append(kept ^ np.int64(cluster))  # texts of other clusters that meet by chance are told apart where pairs are verified
+                    places.append(np.arange(len(kept)))
+                    own.append(len(kept))
+                    sizes.append(n)
+                sig, label = (np.repeat(b.column(i).to_numpy(), own) for i in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.concatenate(keys), sig, label, np.repeat(sizes, own), np.concatenate(places))], names=["k", "sig", "label", "size", "place"])
+
+    return run
+
+
+def _sharing(similarity: float):
+    """From rows (k, t, sig, label, size, place) sorted by bucket and tile: pairs of unlike labels that can be similar enough if this hash is the first that they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, sig, label, size, place), starts, n in _buckets(batches, lambda batch: [c.to_numpy() for c in batch.columns]):
+
+            def hits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                least = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - 1e-9)
+                return (label[a] != label[b]) & (place[a] <= size[a] - least) & (place[b] <= size[b] - least)
+
+            found = [(a[hit], b[hit]) for a, b in _few(starts, n) for hit in [hits(a, b)]]
+            for at, m in zip(starts[n > FEW], n[n > FEW]):
+                rows = np.arange(at, at + m)
+                labels, of, count = np.unique(label[rows], return_inverse=True, return_counts=True)
+                for x in rows[of != count.argmax()]:  # pairs within the most common label are of no use
+                    hit = hits(np.full(m, x), rows)
+                    found.append((np.full(hit.sum(), x), rows[hit]))
+            a, b = _edges(found)
+            both = np.unique(np.stack([np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _maybe(rows: DataFrame, id: Column, few: DataFrame, of: Column) -> DataFrame:
+    """rows, with maybe: true wherever id is among the ids `of` of few, and for some other rows; so that a join with few needs to shuffle little. The bits, of bounded size, go to every task."""
+    hashed = lambda x: F.pmod(F.xxhash64(x), F.lit(MAYBE)).cast("long")
+    bits = few.select(hashed(of).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bitmap")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    at = F.bitmap_bit_position(hashed(id)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return rows.join(F.broadcast(stored(bits)), F.bitmap_bucket_number(hashed(id)) == F.col("bitmap"), "left").select(*[F.col(c) for c in rows.columns], found.alias("maybe"))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (cluster, fp): how many rows of a cluster, here, have each bit."""
     held: dict[int, np.ndarray] = {}
@@ -369,7 +433,7 @@ def _off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(named: DataFrame, shingle: int, similarity: float, unique: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, sig, fp of each row; sig, fp, low of each distinct text; node, label of each sig that has a candidate). named: id, of any type that has an order, and text. unique: no id comes twice."""
-    id_type = named.schema["id"]
+    spark, id_type = named.sparkSession, named.schema["id"]
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -389,16 +453,16 @@ def _similar(named: DataFrame, shingle: int, similarity: float, unique: bool) ->
     distinct = stored(marked.groupBy("sig", "fp").agg(F.min("id").alias("low")))
     blocks = plan_blocks(distinct.count(), similarity)
 
-    def candidates(nodes: DataFrame, every: bool) -> DataFrame:
-        words, names = (WORDS, ["sig", "label", "fp"]) if every else (SHORT, ["sig", "fp"])
-        keyed = nodes.select(*names).mapInArrow(_key_blocks(blocks, words, names), "k long, sig long, " + "label long, " * every + "fp binary")
-        return _dealt(keyed, "sig", True).mapInArrow(_wide_links(most_bits(similarity, words, LAST if every else SPREAD), words, every), "a long, b long").distinct()
-
-    loose = stored(candidates(distinct, False))
+    keyed = distinct.select("sig", "fp").mapInArrow(_key_blocks(blocks, SHORT), "k long, sig long, fp binary")
+    loose = stored(_dealt(keyed, "sig", True).mapInArrow(_wide_links(most_bits(similarity, SHORT), SHORT), "a long, b long").distinct())
+    tidy(spark)
     clusters = stored(components(loose).withColumnRenamed("root", "cluster"))
-    needed = distinct.join(clusters, F.col("sig") == F.col("node")).select(F.col("low").alias("of"), "cluster", "sig")
-    sets = named.join(needed, F.col("id") == F.col("of")).select("cluster", "sig", "text").mapInArrow(sets_of, "cluster long, sig long, hashes array<long>")
+    tidy(spark)
+    needed = stored(distinct.join(clusters, F.col("sig") == F.col("node")).select(F.col("low").alias("of"), "cluster", "sig"))
+    sets = _maybe(named, F.col("id"), needed, F.col("of")).where("maybe").join(needed, F.col("id") == F.col("of")).select("cluster", "sig", "text").mapInArrow(sets_of, "cluster long, sig long, hashes array<long>")
     sets = stored(sets if unique else sets.dropDuplicates(["sig"]))
+    release(needed)
+    tidy(spark)
 
     def alike(a: str, b: str) -> Column:
         both = F.size(F.array_intersect(a, b))
@@ -413,6 +477,7 @@ def _similar(named: DataFrame, shingle: int, similarity: float, unique: bool) ->
         moved = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
         out = stored(labels.join(moved, F.col("label") == F.col("was"), "left").select("node", "cluster", F.coalesce("now", "label").alias("label")))
         release(labels)
+        tidy(spark)
         return out
 
     def apart(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -425,29 +490,36 @@ def _similar(named: DataFrame, shingle: int, similarity: float, unique: bool) ->
         rest = stored(labels.join(mixed, F.col("cluster") == F.col("c"), "left_semi"))
         return None if rest.isEmpty() else rest
 
-    def against_middle(rest: DataFrame) -> DataFrame:
-        """Links la, lb of the texts of each cluster with the one whose fingerprint is nearest to what most of its fingerprints have: what a text's copies have in common is near the text."""
+    def middles(rest: DataFrame) -> DataFrame:
+        """c, lb, hb: of each cluster, the label and the set of the text whose fingerprint is nearest to what most of its fingerprints have: what a text's copies have in common is near the text."""
         prints = stored(rest.join(distinct, F.col("node") == F.col("sig")).select("cluster", "sig", "fp"))
         middle = prints.select("cluster", "fp").mapInArrow(_counted, "cluster long, counts binary").groupBy("cluster").applyInArrow(_majority, "of_cluster long, middle binary")
         off = prints.join(stored(middle), F.col("cluster") == F.col("of_cluster")).select("cluster", "sig", "fp", "middle").mapInArrow(_off, "cluster long, sig long, off long")
         hubs = stored(off.groupBy(F.col("cluster").alias("c")).agg(F.min(F.struct("off", "sig")).alias("best")).select("c", F.col("best.sig").alias("hub")))
-        own = rest.select("node", "label")
-        hub_sets = stored(hubs.join(own, F.col("hub") == F.col("node")).join(sets, F.col("hub") == F.col("sig")).select("c", F.col("label").alias("lb"), F.col("hashes").alias("hb")))
-        members = stored(sets.join(own, F.col("sig") == F.col("node")).select("cluster", F.col("label").alias("la"), F.col("hashes").alias("ha")))
+        out = stored(hubs.join(rest.select("node", "label"), F.col("hub") == F.col("node")).join(sets, F.col("hub") == F.col("sig")).select("c", F.col("label").alias("lb"), F.col("hashes").alias("hb")))
         release(prints)
-        return members.join(hub_sets, F.col("cluster") == F.col("c")).where("la != lb").where(alike("ha", "hb")).select("la", "lb")
+        return out
+
+    def beside_middle(rest: DataFrame) -> DataFrame:
+        """cluster, sig, la, ha, lb, hb: the texts of each cluster with its middle."""
+        members = stored(sets.join(rest.select("node", F.col("label").alias("la")), F.col("sig") == F.col("node")).select("cluster", "sig", "la", F.col("hashes").alias("ha")))
+        return members.join(middle, F.col("cluster") == F.col("c"))
+
+    def sharing(rest: DataFrame) -> DataFrame:
+        """All pairs a, b of texts of one cluster that are still apart and can be similar enough, by the hashes in the prefixes of their sets."""
+        keyed = beside_middle(rest).select("cluster", "sig", "la", "ha", "hb").mapInArrow(_prefixes(similarity), "k long, sig long, label long, size long, place long")
+        return _dealt(keyed, "sig", True).mapInArrow(_sharing(similarity), "a long, b long").distinct()
 
     roots = sets.where("sig = cluster").select(F.col("cluster").alias("c"), F.col("hashes").alias("hb"))
     first = sets.where("sig != cluster").join(roots, F.col("cluster") == F.col("c")).where(alike("hashes", "hb")).select(F.col("sig").alias("a"), F.col("cluster").alias("b"))
     labels = stored(clusters.join(first, F.col("node") == F.col("a"), "left").select("node", "cluster", F.coalesce("b", "node").alias("label")))
     if (rest := still_mixed(labels)) is not None:
-        labels = joined(labels, against_middle(rest))
+        middle = middles(rest)
+        labels = joined(labels, beside_middle(rest).where("la != lb").where(alike("ha", "hb")).select("la", "lb"))
     if rest is not None and (rest := still_mixed(labels)) is not None:
         labels = joined(labels, verified(apart(rest, loose)))
     if rest is not None and (rest := still_mixed(labels)) is not None:
-        nodes = stored(distinct.join(rest.select("node", "label"), F.col("sig") == F.col("node")).select("sig", "label", "fp"))
-        labels = joined(labels, verified(apart(rest, candidates(nodes, True))))
-        release(nodes)
+        labels = joined(labels, verified(apart(rest, sharing(rest))))
     release(loose, clusters, sets)
     return marked, distinct, labels
 
@@ -456,8 +528,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: st
     """id, component_id, as in classes, where texts are linked whose sets of shingles have this Jaccard similarity or more.
 
     Wide fingerprints give the candidates; each link is verified on the sets. Candidates form clusters. In each, every text is held against the cluster's first; where some are still apart, against the one in
-    the middle of the cluster; then along the edges that made the cluster; then every candidate pair that is still apart. So a dense group of n costs some n verified pairs, and
-    all its pairs only if few of them are similar enough.
+    the middle of the cluster; then along the edges that made the cluster; then every pair of a cluster that is still apart and shares a hash in the prefixes of its sets, which no pair that is similar enough fails to
+    do. So a dense group of n costs some n verified pairs, whether its texts are similar enough or not.
 
     Texts below five words are compared whole. Rows without an id are left out; an id with several texts links their classes. Repeated rows give one row. An empty table gives an empty result.
     """
@@ -476,10 +548,15 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a number of their own, and classes follow from texts alone: rows that share an id but not a text each have a class. Of rows of one class, null ids come last, and of equal ids the
     first row stays. Texts without words (null, empty) are one class, columns of any names are kept, and an empty table gives an empty one.
     """
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("nth"), "doc_id", "text", F.struct(*docs.columns).alias("doc")))
-    named = numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "nth").alias("id"), "text")
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("nth"), F.struct(*docs.columns).alias("doc")))
+    doc_id = F.col("doc")["doc_id"]
+    named = numbered.select(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "nth").alias("id"), F.col("doc")["text"].alias("text"))
     marked, distinct, labels = _similar(named, 5, 0.8, True)
     of = distinct.join(labels, F.col("sig") == F.col("node"), "left").groupBy(F.coalesce("label", "sig").alias("label")).agg(F.min("low").alias("low"))
     best = stored(of.select(F.col("low.nth").alias("best")))
-    release(marked, distinct, labels)
-    return numbered.select("nth", "doc").join(best, F.col("nth") == F.col("best"), "left_semi").select("doc.*")
+    # few rows are dropped, so most are told from them without a shuffle of texts
+    dropped = stored(marked.select(F.col("id.nth").alias("gone")).join(best, F.col("gone") == F.col("best"), "left_anti"))
+    release(marked, distinct, labels, best)
+    rows = _maybe(numbered, F.col("nth"), dropped, F.col("gone"))
+    kept = rows.where("maybe").join(dropped, F.col("nth") == F.col("gone"), "left_anti")
+    return rows.where("not maybe").unionByName(kept).select("doc.*")

@@ -406,6 +406,47 @@ def test_similar_finds_pairs_at_the_threshold(spark):
     assert found >= 0.98 * len(wanted)
 
 
+def sharing(spark, rows, cluster=7, similarity=0.8):
+    """The pairs that the last pass verifies, of rows (sig, label, text); the middle is the first text."""
+    sets = [simhash.shingle_set(t, 5).view(np.int64).tolist() for _, _, t in rows]
+    table = spark.createDataFrame([(cluster, s, l, h, sets[0]) for (s, l, _), h in zip(rows, sets)], "cluster long, sig long, label long, hashes array<long>, middle array<long>")
+    keyed = table.mapInArrow(simhash._prefixes(similarity), "k long, sig long, label long, size long, place long")
+    return {(x.a, x.b) for x in simhash._dealt(keyed, "sig", True).mapInArrow(simhash._sharing(similarity), "a long, b long").distinct().collect()}
+
+
+def test_dense_groups_of_unlike_texts_make_few_pairs(spark):
+    r = random.Random(5)
+    base = [r.choice(WORDS) + str(r.randint(0, 300)) for _ in range(200)]
+    rows = [(0, 0, " ".join(base))]
+    for i in range(1, 400):
+        text = list(base)
+        for at in r.sample(range(200), 3 if i % 2 else 12):
+            text[at] = f"x{r.random()}"
+        rows.append((i, 0 if i % 2 else i, " ".join(text)))  # the odd ones are linked with the middle; the even ones aren't similar to any
+    assert len(sharing(spark, rows)) < len(rows)
+
+
+def test_prefixes_lose_no_pair(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(150):
+        text = [f"w{j % 40 if i % 3 else j}" for j in range(r.randint(30, 80))]
+        for at in r.sample(range(len(text)), r.randint(0, 4)):
+            text[at] = r.choice(["a", "b", f"c{i}"])
+        rows.append((i, i, " ".join(text)))
+    rows += [(200, 200, "one two"), (201, 201, "")]
+    found = sharing(spark, rows)
+    expected = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if jaccard(a[2], b[2]) >= 0.8}
+    assert len(expected) > 20 and expected <= found
+
+
+def test_maybe_misses_no_row(spark):
+    few = spark.range(0, 5000, 7).select(simhash.F.col("id").alias("of"))
+    got = simhash._maybe(spark.range(5000), simhash.F.col("id"), few, simhash.F.col("of")).where("maybe").collect()
+    assert {x.id for x in got} >= set(range(0, 5000, 7)) and len(got) < 1000
+    assert simhash._maybe(spark.range(9), simhash.F.col("id"), few.limit(0), simhash.F.col("of")).where("maybe").count() == 0
+
+
 def test_similar_matches_brute_force(spark):
     """Chains of edits, in which a candidate that fails does not hide one that holds; short texts, copies and an id with two texts."""
     r = random.Random(22)
