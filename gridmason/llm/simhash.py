@@ -529,7 +529,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: st
 
     Wide fingerprints give the candidates; each link is verified on the sets. Candidates form clusters. In each, every text is held against the cluster's first; where some are still apart, against the one in
     the middle of the cluster; then along the edges that made the cluster; then every pair of a cluster that is still apart and shares a hash in the prefixes of its sets, which no pair that is similar enough fails to
-    do. So a dense group of n costs some n verified pairs, whether its texts are similar enough or not.
+    do. So a dense group of n costs some n verified pairs, also if its texts differ enough from its middle;
+    texts that share rare hashes and aren't similar enough cost a verification for each pair.
 
     Texts below five words are compared whole. Rows without an id are left out; an id with several texts links their classes. Repeated rows give one row. An empty table gives an empty result.
     """
